@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from timberline.llm.exact_dedup import exact_groups
 from timberline.llm.mixture import curriculum
+from timberline.llm.packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ FROM t WINDOW w AS (PARTITION BY h)
 """
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,6 +60,7 @@ SELECT doc_id, size, source_size, target, (k * size + greatest(0, least(size, ro
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op10_curriculum_mix": op10_curriculum_mix,
     }
 
