@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timberline.llm import quality, toxicity
 from timberline.llm.exact_dedup import exact_groups
 from timberline.llm.mixture import curriculum
 from timberline.llm.packing import pack
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,8 +68,10 @@ SELECT doc_id, size, source_size, target, (k * size + greatest(0, least(size, ro
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op9_quality": op9_quality,
         "op10_curriculum_mix": op10_curriculum_mix,
     }
 
