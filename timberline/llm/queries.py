@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from timberline.llm import quality, toxicity
 from timberline.llm.exact_dedup import exact_groups
 from timberline.llm.mixture import curriculum
+from timberline.llm.near_dedup import near_groups
 from timberline.llm.packing import pack
 
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -68,6 +73,7 @@ SELECT doc_id, size, source_size, target, (k * size + greatest(0, least(size, ro
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_dedup": op2_near_dedup,
         "op3_toxicity": op3_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
