@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,3 +66,11 @@ def running(df: DataFrame, key: str, order: list[str], value: str, before: str)
         .withColumn(before, F.coalesce(F.sum(value).over(within), zero) + F.coalesce("__carried", zero))
         .drop("__range", "__carried")
     )
+
+
+def in_worker(name: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and uses again in its later tasks."""
+    held = sys.modules.setdefault("timberline_worker", types.ModuleType("timberline_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]

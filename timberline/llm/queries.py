@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from timberline.llm import quality, toxicity
 from timberline.llm.exact_dedup import exact_groups
+from timberline.llm.merkle import against_edit
 from timberline.llm.mixture import curriculum
 from timberline.llm.near_dedup import near_groups
 from timberline.llm.packing import pack
@@ -36,6 +37,10 @@ FROM t WINDOW w AS (PARTITION BY h)
 """
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return against_edit(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": op2_near_dedup,
         "op3_toxicity": op3_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_fingerprints": op6_fingerprints,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op9_quality": op9_quality,
         "op10_curriculum_mix": op10_curriculum_mix,
