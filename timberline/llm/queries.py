@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from timberline.llm import quality, toxicity
+from timberline.llm.chat import format_chats
 from timberline.llm.exact_dedup import exact_groups
 from timberline.llm.merkle import against_edit
 from timberline.llm.mixture import curriculum
@@ -45,6 +46,27 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
+OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations
+), p AS (
+  SELECT conv_id, pos, n, md5(string_agg(md5(role || chr(31) || text), ',') OVER (PARTITION BY conv_id ORDER BY pos)) AS h FROM t
+), longer AS (SELECT DISTINCT h FROM p WHERE pos < n
+), k AS (
+  SELECT min(conv_id) AS conv_id, n, count(*)::BIGINT AS snapshots FROM p WHERE pos = n AND h NOT IN (SELECT h FROM longer) GROUP BY h, n
+)
+SELECT k.conv_id, ((pos - 1) // 512)::INT AS part, k.n AS n_turns, snapshots,
+  string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
+FROM k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -83,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_fingerprints": op6_fingerprints,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_chat_snapshots": op8_chat_snapshots,
         "op9_quality": op9_quality,
         "op10_curriculum_mix": op10_curriculum_mix,
     }
@@ -91,5 +114,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": OP5_SQL,
+        "op8_chat_snapshots": OP8_SQL,
         "op10_curriculum_mix": OP10_SQL,
     }
