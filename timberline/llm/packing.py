@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import keep, running, text_of
+from timberline.llm.common import in_worker, keep, running, text_of
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of text whose ids a task remembers, in each of two generations.
-REMEMBERED = 250_000
+#: Pieces of text whose ids a Python worker remembers, in each of two generations.
+REMEMBERED = 500_000
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -100,7 +100,7 @@ def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | No
     path, end = path or tokenizer_path(), np.array([END_ID], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = in_worker(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
             rows, ids, texts = (batch.column(i) for i in range(3))
             for lo in range(0, batch.num_rows, 64):
