@@ -62,13 +62,14 @@ def targets(sources: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFrame:
     return sources.withColumn("target", F.least(limit, F.col("weight") * F.lit(level)))
 
 
-def curriculum(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", schedules: list | None = None, max_repeats: float = MAX_REPEATS) -> DataFrame:
+def curriculum(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", schedules: list | None = None, max_repeats: float = MAX_REPEATS, order: str | None = None) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, position (of its first word; null where none is taken), and passes.
 
-    ``schedules`` repeat over the sources in code-point order.
+    ``schedules`` repeat over the sources in code-point order. Documents of a
+    source stand in the order of a hash of ``order``, the id by default.
     """
     schedules = [[(0.0, w)] if isinstance(w, (int, float)) else list(w) for w in (schedules or WEIGHTS)]
-    sized = keep(df.select(F.col(id).alias("__id"), F.col(source).cast("string").alias("__source"), n_words(text).alias("size")))
+    sized = keep(df.select(F.col(id).alias("__id"), F.md5(F.coalesce(F.col(order or id).cast("string"), F.lit(""))).alias("__mix"), F.col(source).cast("string").alias("__source"), n_words(text).alias("size")))
     sources = sized.groupBy("__source").agg(F.sum("size").alias("source_size")).withColumns({"__one": F.lit(1).cast("long"), "__all": F.lit(0), "__none": F.col("__source").isNull()})
     ranked = running(sources, "__all", ["__none", "__source"], "__one", "rank").withColumn("curve", (F.col("rank") % len(schedules)).cast("int"))
     ranked = keep(ranked.drop("__one", "__all", "__none"))
@@ -79,7 +80,6 @@ def curriculum(df: DataFrame, id: str = "doc_id", text: str = "text", source: st
 
     # Sources are few as a rule, and AQE then broadcasts them; it splits a hot source if it has to shuffle.
     placed = sized.join(aimed.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s", "__source")
-    placed = placed.withColumn("__mix", F.md5(F.coalesce(F.col("__id").cast("string"), F.lit(""))))
     placed = running(placed, "rank", ["__mix", "__id", "size"], "size", "begin")
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -106,13 +106,11 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
 
     A document comes once for each pass that takes at least half of its words,
     so each source ends within half a document of its target. Documents without
-    words are left out. ``id`` must be unique.
+    words are left out.
     """
-    df = without(df, "__id2", "__copies")
-    plan = curriculum(df, id, text, source, schedules, max_repeats).filter("taken > 0")
-    chosen = plan.select(F.col(id).alias("__id2"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__copies"), "position")
-    chosen = chosen.filter("__copies > 0").withColumn("__place", F.col("position"))
-    out = df.join(chosen.drop("position"), F.col(f"`{id}`") == F.col("__id2"))
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    out = out.repartitionByRange("__copy", "__place", id).sortWithinPartitions("__copy", "__place", id)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    df = keep(without(df, "__row", "__copies", "__place").withColumn("__row", F.monotonically_increasing_id()))
+    plan = curriculum(df, "__row", text, source, schedules, max_repeats, order=id).filter("taken > 0")
+    chosen = plan.select("__row", F.round(F.col("taken") / F.col("size")).cast("int").alias("__copies"), F.col("position").alias("__place")).filter("__copies > 0")
+    out = df.join(chosen, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    out = out.repartitionByRange("__copy", "__place", "__row").sortWithinPartitions("__copy", "__place", "__row")
+    return out.drop("__row", "__copies", "__place", "__copy")
