@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import quality, toxicity
+from timberline.llm import brown, quality, toxicity
 from timberline.llm.chat import format_chats
 from timberline.llm.exact_dedup import exact_groups
 from timberline.llm.merkle import against_edit
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
@@ -100,6 +104,7 @@ SELECT doc_id, size, source_size, target, (k * size + greatest(0, least(size, ro
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_scores": op1_brown_scores,
         "op2_near_dedup": op2_near_dedup,
         "op3_toxicity": op3_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
