@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from timberline.llm import brown, quality, toxicity
 from timberline.llm.chat import format_chats
@@ -13,6 +14,7 @@ from timberline.llm.merkle import against_edit
 from timberline.llm.mixture import curriculum
 from timberline.llm.near_dedup import near_groups
 from timberline.llm.packing import pack
+from timberline.llm.secrets import scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by place; the strings themselves only as digests."""
+    found = scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "number", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -107,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_brown_scores": op1_brown_scores,
         "op2_near_dedup": op2_near_dedup,
         "op3_toxicity": op3_toxicity,
+        "op4_secret_scan": op4_secret_scan,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_fingerprints": op6_fingerprints,
         "op7_best_fit_packing": op7_best_fit_packing,
