@@ -9,7 +9,7 @@ from timberline.llm.common import keep
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b) -> (node, component): the smallest node that each linked node reaches.
+    """links(a, b) -> (node, component): the smallest node that a linked node reaches, for all but that node itself.
 
     A step groups neighbours only by their minimum, so no neighbourhood is
     gathered in one place. The number of steps grows with the logarithm of the

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from timberline.llm.bloom import anti, maybe, semi
 from timberline.llm.common import keep, text_of, without
 from timberline.llm.components import components
 from timberline.llm.exact_dedup import frequent
@@ -48,6 +49,8 @@ LIST = 64
 HOT = 512
 #: Comparisons with one document that a task makes in a row.
 BLOCK = 500
+#: Document frequency up to which shingles are told apart, and values of a sketch by which a pair is met only once.
+OFTEN, ONCE = 4096, 64
 REMEMBERED = 400_000
 _TURN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -84,7 +87,7 @@ def sketch_size(n: Column, num: int, den: int) -> Column:
 def least_overlap(k: Column, num: int, den: int) -> Column:
     """Retained values that linked documents share, but for about one link in 10^9."""
     p = num / den
-    return F.greatest(F.lit(1), F.ceil(p * k - 7 * F.sqrt(p * (1 - p) * k)))
+    return F.greatest(F.lit(1), F.ceil(p * k - 8 * F.sqrt(p * (1 - p) * k)))
 
 
 def sketches(df: DataFrame, id: str, text: str, words: int, num: int, den: int) -> DataFrame:
@@ -183,23 +186,60 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     return rows.select("a", "b", "t").mapInArrow(run, "a long, b long")
 
 
-def _rare_first(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Sketches of these texts under the order of document frequency: id, n, rare (shingles of no other text), v, df, for the retained v that are shared."""
+def _rare_first(texts: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Sketches of these texts under the order of document frequency: id, n, rare (shingles of no other text), place and v, for the retained v that are shared; sizes(id, n).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Frequencies count up to ``OFTEN``. Shingles of one text are only counted on.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for b in batches:
             for lo in range(0, b.num_rows, 50):
                 part = b.slice(lo, 50)
                 sets = [shingles(t, words, known) for t in part.column(1).to_pylist()]
                 n = np.array([len(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "v"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, going, last_value = [np.zeros(0, np.int64)] * 2, False, None  # going: rows of this value have left with OFTEN
+
+        def emit(v: np.ndarray, i: np.ndarray, first_often: bool) -> Iterator[pa.RecordBatch]:
+            if not len(v):
+                return
+            start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            run = np.diff(np.append(start, len(v)))
+            run_df = np.minimum(run, OFTEN)
+            if first_often:
+                run_df[0] = OFTEN
+            df = np.repeat(run_df, run)
+            alone, n = np.unique(i[df == 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64()), pa.array(n)], ["id", "v", "df"])
+            some = df > 1
+            yield pa.RecordBatch.from_arrays([pa.array(i[some]), pa.array(v[some]), pa.array(df[some])], ["id", "v", "df"])
 
-    rows = keep(texts.select("id", "t").mapInArrow(run, "id long, n long, v long"))
-    counted = rows.join(rows.groupBy("v").agg(F.count("*").alias("df")), "v")
+        for b in batches:
+            v, i = (np.concatenate([h, b.column(k).to_numpy()]) for k, h in enumerate(held))
+            last = int(np.searchsorted(v, v[-1])) if len(v) else 0
+            going = going and len(v) > 0 and v[0] == last_value
+            if last:
+                yield from emit(v[:last], i[:last], going)
+                going = False
+            if len(v) - last >= OFTEN:  # frequent enough, whatever follows
+                yield from emit(v[last:], i[last:], True)
+                going, last_value, held = True, v[-1], [v[:0], i[:0]]
+            else:
+                held = [v[last:], i[last:]]
+        yield from emit(*held, going)
+
+    rows = texts.select("id", "t").mapInArrow(explode, "id long, v long").select("v", "id").repartition("v").sortWithinPartitions("v")
+    counted = rows.mapInArrow(count, "id long, v long, df long")
     of = Window.partitionBy("id")
-    ranked = counted.withColumns({"place": F.row_number().over(of.orderBy("df", "v")), "rare": F.count(F.when(F.col("df") == 1, 1)).over(of)})
-    return ranked.filter((F.col("place") <= sketch_size(F.col("n"), num, den)) & (F.col("df") > 1)).select("id", "n", "rare", "v")
+    marks = F.count(F.when(F.col("v").isNull(), 1)).over(of)
+    rare = F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("df"))).over(of), F.lit(0))
+    place = F.row_number().over(of.orderBy(F.col("v").isNotNull(), "df", "v"))
+    ranked = counted.withColumns({"rare": rare, "place": place - marks + rare}).filter("v is not null").join(sizes, "id")
+    return ranked.filter(F.col("place") <= sketch_size(F.col("n"), num, den)).select("id", "n", "rare", "place", "v")
 
 
 def _can_link(na: str, ra: str, nb: str, rb: str, num: int, den: int) -> Column:
@@ -214,7 +254,8 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     linkable = drawn.filter("n > 0 and id is not null")
     classes = linkable.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep")
     members = keep(linkable.select("id", "digest").join(classes, "digest").filter("id <> rep").select("id", "digest", "rep"))
-    reps = linkable.join(members.select("id", "digest"), ["id", "digest"], "left_anti").select("id", "n", "sketch")
+    copy = maybe(members.select("id").distinct())
+    reps = linkable.filter(~copy).unionByName(linkable.filter(copy).join(members.select("id", "digest"), ["id", "digest"], "left_anti")).select("id", "n", "sketch")
 
     # Inverted lists of retained values.
     values = reps.select("id", "n", F.explode("sketch").alias("v"))
@@ -227,18 +268,20 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     marks = marks.unionByName(values.join(F.broadcast(hot), "v").select("id", "n", F.lit(1).cast("long").alias("long")))
     smallest = F.floor(sketch_size(F.col("n"), num, den) * num / den) - 1
     again = marks.groupBy("id", "n").agg(F.count("*").alias("shared"), F.sum("long").alias("long"))
-    again = keep(again.filter((F.col("long") > 0) & (F.col("shared") >= least_overlap(F.greatest(F.lit(0), smallest), num, den))).select("id"))
+    again = keep(again.filter((F.col("long") > 0) & (F.col("shared") >= least_overlap(F.greatest(F.lit(0), smallest), num, den))).select("id", "n"))
 
     # Overlaps, and the estimate from the union sketch.
     known = F.least(sketch_size(F.col("na"), num, den), sketch_size(F.col("nb"), num, den))
     pairs = lists.filter("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
     pairs = keep(pairs.filter(F.col("overlap") >= least_overlap(known, num, den)).select("a", "b", (F.col("overlap") / known).alias("likely")))
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(again).distinct()
-    texts = keep(df.select(F.col(id).cast("long").alias("id"), text_of(text).cast("binary").alias("t")).join(ids, "id", "left_semi"))
-    rare = keep(_rare_first(texts.join(again, "id", "left_semi"), words, num, den))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(again.select("id")).distinct()
+    texts = keep(semi(df.select(F.col(id).cast("long").alias("id"), text_of(text).cast("binary").alias("t")), keep(ids)))
+    rare = keep(_rare_first(semi(texts, again), again, words, num, den))
     sizes = rare.groupBy("v").agg(F.count("*").alias("many"), F.min(F.struct((F.col("rare") / F.col("n")).alias("part"), "id", "n", "rare")).alias("lead"))
-    listed = keep(rare.join(sizes.filter(F.col("many") > LIST), "v").select("v", "id", "n", "rare", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.rare").alias("lead_rare")))
+    long = rare.join(sizes.filter(F.col("many") > LIST), "v")
+    met = long.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "v"))), 1, ONCE).alias("met"))  # at most a sketch for each document
+    listed = keep(long.join(met.select("id", F.col("met.v").alias("met")), "id").select("v", "id", "n", "rare", "place", "met", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.rare").alias("lead_rare")))
     short = rare.join(sizes.filter((F.col("many") > 1) & (F.col("many") <= LIST)).select("v"), "v", "left_semi")
     more = _lists_to_pairs(short, num, den).filter("b is not null").select("a", "b").distinct()
 
@@ -253,8 +296,12 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     # Then what is left between components.
     of = lambda rows, col, to: rows.join(found.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
     placed = keep(of(of(listed, "id", "at"), "lead", "lead_at"))
-    probe = placed.filter("id <> lead and at <> lead_at").select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("at").alias("bt"))
-    rest = placed.filter("id <> lead").join(probe, "v").filter((F.col("at") != F.col("bt")) & ((F.col("at") == F.col("lead_at")) | (F.col("id") < F.col("b"))) & _can_link("n", "rare", "nb", "rb", num, den))
+    probe = placed.filter("id <> lead and at <> lead_at").select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("place").alias("pb"), F.col("met").alias("mb"), F.col("at").alias("bt"))
+    # A pair counts in the first list that both are in; nothing before it is common, so the places bound the overlap.
+    first_met = F.array_intersect("met", "mb")
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
+    here = F.when(F.size(first_met) > 0, (F.element_at(first_met, 1) == F.col("v")) & (den * most >= num * (F.col("n") + F.col("nb") - most))).otherwise(_can_link("n", "rare", "nb", "rb", num, den))
+    rest = placed.filter("id <> lead").join(probe, "v").filter((F.col("at") != F.col("bt")) & ((F.col("at") == F.col("lead_at")) | (F.col("id") < F.col("b"))) & here)
     rest = rest.select(F.col("id").alias("a"), "b").union(pairs.select("a", "b")).union(more).distinct()
     rest = of(of(rest, "a", "at"), "b", "bt").filter("at <> bt").select("a", "b").join(tried, ["a", "b"], "left_anti")
     links2 = verified(keep(rest), texts, words, num, den)
@@ -268,6 +315,6 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
 
 def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """The documents with the smallest id of each group, with all their columns."""
-    df = without(df, "__id")
-    gone = near_groups(df, id, text, words, num, den).filter(~F.col("kept")).select(F.col(id).alias("__id")).distinct()
-    return df.join(gone, F.col(f"`{id}`").cast("long") == F.col("__id"), "left_anti")
+    df = without(df, "__id").withColumn("__id", F.col(id).cast("long"))
+    gone = keep(near_groups(df, id, text, words, num, den).filter(~F.col("kept")).select(F.col(id).alias("__id")).distinct())
+    return anti(df, gone, "__id").drop("__id")
