@@ -10,17 +10,14 @@ from pyspark.sql import functions as F
 from timberline.operators.encode import class_counts, class_mapping, encode, majority
 from timberline.operators.model import Node, Tree
 from timberline.operators.select import best_per_feature, best_split
-from timberline.operators.sweep import boundaries, candidates, tiled_boundaries, value_histogram
+from timberline.operators.sweep import candidates, swept
 from timberline.options import Options, Pruning
 from timberline.tables import keep
 
 
 def level_splits(rows: DataFrame, k: int, options: Options) -> DataFrame:
     """The best split of each node of rows(node_id, features, class_id)."""
-    hist = keep(value_histogram(rows, k))
-    largest = hist.groupBy("node_id", "feature_index").count().agg(F.max("count")).first()[0] or 0
-    bounds = (tiled_boundaries if largest > options.tile_rows else boundaries)(hist, k)
-    return best_split(best_per_feature(candidates(bounds, k, options), options), options)
+    return best_split(best_per_feature(candidates(swept(rows, k, options.tile_rows), k, options), options), options)
 
 
 def fit(df: DataFrame, options: Options, label: str = "label") -> Tree:

@@ -28,30 +28,42 @@ def _columns(k: int, prefix: str) -> list[Column]:
     return [F.col(f"{prefix}{i}") for i in range(k)]
 
 
+def _totals(hist: DataFrame, k: int) -> DataFrame:
+    """Class counts t0.. of each node, from its first feature: a row a node of the level, which is broadcast."""
+    return F.broadcast(hist.filter("feature_index = 0").groupBy("node_id").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in range(k)]))
+
+
 def boundaries(hist: DataFrame, k: int) -> DataFrame:
-    """Each value with the value before it, that value's largest class, counts below (l0..) and of all (t0..)."""
-    of = Window.partitionBy("node_id", "feature_index")
-    by = of.orderBy("value")
+    """Each value with the value before it, that value's largest class, counts below (l0..) and of the node (t0..)."""
+    by = Window.partitionBy("node_id", "feature_index").orderBy("value")
     below = by.rowsBetween(Window.unboundedPreceding, -1)
     out = {"before": F.lag("value").over(by), "before_class": F.lag("max_class").over(by)}
-    out |= {f"l{i}": F.sum(f"c{i}").over(below) for i in range(k)} | {f"t{i}": F.sum(f"c{i}").over(of) for i in range(k)}
-    return hist.withColumns(out).filter("before is not null")
+    out |= {f"l{i}": F.sum(f"c{i}").over(below) for i in range(k)}
+    return hist.withColumns(out).filter("before is not null").join(_totals(hist, k), "node_id")
 
 
 def tiled_boundaries(hist: DataFrame, k: int) -> DataFrame:
-    """The same from ranges of (node, feature, value): totals and last values of earlier ranges are carried by a broadcast of a few rows a range."""
+    """The same from ranges of (node, feature, value): counts and last values of earlier ranges are carried by a few rows a range."""
     tiles = keep(hist.repartitionByRange("node_id", "feature_index", "value").withColumn("tile", F.spark_partition_id()))
     key = ["node_id", "feature_index"]
     sums = tiles.groupBy(*key, "tile").agg(*[F.sum(f"c{i}").alias(f"s{i}") for i in range(k)], F.max(F.struct("value", "max_class")).alias("last"))
-    of = Window.partitionBy(*key)
-    earlier = of.orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    of = Window.partitionBy(*key).orderBy("tile")
+    earlier = of.rowsBetween(Window.unboundedPreceding, -1)
     # One row for each (node, feature) and range that it reaches.
-    carried = sums.select(*key, "tile", *[F.coalesce(F.sum(f"s{i}").over(earlier), F.lit(0)).alias(f"p{i}") for i in range(k)], *[F.sum(f"s{i}").over(of).alias(f"t{i}") for i in range(k)], F.lag("last").over(of.orderBy("tile")).alias("carried"))
+    carried = sums.select(*key, "tile", *[F.coalesce(F.sum(f"s{i}").over(earlier), F.lit(0)).alias(f"p{i}") for i in range(k)], F.lag("last").over(of).alias("carried"))
     by = Window.partitionBy(*key, "tile").orderBy("value")
     below = by.rowsBetween(Window.unboundedPreceding, -1)
     out = {"before": F.coalesce(F.lag("value").over(by), F.col("carried.value")), "before_class": F.coalesce(F.lag("max_class").over(by), F.col("carried.max_class"))}
     out |= {f"l{i}": F.coalesce(F.sum(f"c{i}").over(below), F.lit(0)) + F.col(f"p{i}") for i in range(k)}
-    return tiles.join(carried, [*key, "tile"]).withColumns(out).filter("before is not null").drop("tile", "carried", *[f"p{i}" for i in range(k)])
+    found = tiles.join(carried, [*key, "tile"]).withColumns(out).filter("before is not null").drop("tile", "carried", *[f"p{i}" for i in range(k)])
+    return found.join(_totals(tiles, k), "node_id")
+
+
+def swept(rows: DataFrame, k: int, tile_rows: int) -> DataFrame:
+    """Boundaries of rows(node_id, features, class_id); tiled where a node has over ``tile_rows`` values of a feature."""
+    hist = keep(value_histogram(rows, k))
+    largest = hist.groupBy("node_id", "feature_index").count().agg(F.max("count")).first()[0] or 0
+    return (tiled_boundaries if largest > tile_rows else boundaries)(hist, k)
 
 
 def candidates(bounds: DataFrame, k: int, options: Options) -> DataFrame:

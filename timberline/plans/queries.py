@@ -17,12 +17,12 @@ from timberline.operators.predict import evaluate, predict
 from timberline.operators.prune import prune
 from timberline.operators.render import Box, layout, parse_text, tree_text
 from timberline.operators.select import best_per_feature, best_split, mean_gain_filter
-from timberline.operators.sweep import boundaries, candidates, partition_measures, tiled_boundaries, value_histogram
+from timberline.operators.sweep import boundaries, candidates, partition_measures, swept, tiled_boundaries, value_histogram
 from timberline.options import C45, CART, Impurity, Options, Pruning
 from timberline.plans import sql
 from timberline.plans.data import DATA, Data
 from timberline.sources import dataset_summary, load_inferred, load_positional
-from timberline.tables import shared_dir
+from timberline.tables import keep, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,7 +155,7 @@ def _bounds(name: str, tiled: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, labels = _rows(DATA[name], spark, sf_dir)
         k = len(labels)
-        found = (tiled_boundaries if tiled else boundaries)(value_histogram(rows, k), k)
+        found = (tiled_boundaries if tiled else boundaries)(keep(value_histogram(rows, k)), k)
         found = found.filter((F.abs(F.col("before") - F.col("value")) >= 1e-9) & (F.col("before_class") != F.col("min_class")))
         return found.select("feature_index", ((F.col("before") + F.col("value")).cast("double") / 2.0).alias("threshold"), "before", "value", *[f"l{i}" for i in range(k)])
 
@@ -164,8 +164,8 @@ def _bounds(name: str, tiled: bool = False) -> Query:
 
 def _sql_bounds(name: str) -> str:
     data = DATA[name]
-    keep = ", ".join(f"l{i}" for i in range(data.classes))
-    return sql.query([*sql.rows(data), *sql.histogram(data, 0), *sql.sweep(data, 0, CART)], f"SELECT fi AS feature_index, (pv + v)::DOUBLE / 2.0 AS threshold, pv AS before, v AS value, {keep} FROM w0 WHERE abs(pv - v) >= 1e-9 AND pmx <> mn")
+    below = ", ".join(f"l{i}" for i in range(data.classes))
+    return sql.query([*sql.rows(data), *sql.histogram(data, 0), *sql.sweep(data, 0, CART)], f"SELECT fi AS feature_index, (pv + v)::DOUBLE / 2.0 AS threshold, pv AS before, v AS value, {below} FROM w0 WHERE abs(pv - v) >= 1e-9 AND pmx <> mn")
 
 
 for _n in ("part", "events", "lineitem"):
@@ -180,7 +180,7 @@ _MEASURES = ("gain", "split_info", "gain_ratio")
 
 def _scored(name: str, o: Options, spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, labels = _rows(DATA[name], spark, sf_dir)
-    return candidates(boundaries(value_histogram(rows, len(labels)), len(labels)), len(labels), o)
+    return candidates(swept(rows, len(labels), o.tile_rows), len(labels), o)
 
 
 def _shown(df: DataFrame) -> DataFrame:
