@@ -53,8 +53,8 @@ def frequent_words(docs: DataFrame, head: int) -> list[bytes]:
             for lo in range(0, b.num_rows, 500):
                 for t in b.column(0).slice(lo, 500).to_pylist():
                     seen.update(t.lower().split())
-            if len(seen) > 40 * head:
-                seen = Counter(dict(seen.most_common(20 * head)))
+            if len(seen) > 12 * head:
+                seen = Counter(dict(seen.most_common(6 * head)))
         words = seen.most_common(head)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["w", "n"])
 
@@ -103,30 +103,43 @@ class Tokens:
         k = CLASSES
         self.ids = lists.flatten().to_numpy()
         length = np.diff(lists.offsets.to_numpy())
-        self.text = np.repeat(np.arange(len(length)), length)
-        own = np.append(classes, k)[self.ids]  # -1 is the class of all other words
+        self.text = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        own = np.append(classes, k).astype(np.int32)[self.ids]  # -1 is the class of all other words
         first = np.cumsum(length) - length
         pad = classes[0]
         self.own = own
-        self.h1 = np.concatenate([[pad], own[:-1]])
-        self.h2 = np.concatenate([[pad, pad], own[:-2]])[: len(own)]
+        self.h1 = np.concatenate([own[:1], own[:-1]])
+        self.h2 = np.concatenate([own[:2], own[:-2]])[: len(own)]
         self.h1[first], self.h2[first] = pad, pad
         longer = first[length > 1] + 1
         self.h2[longer] = pad
-        self.next = np.concatenate([own[1:], [k]])
+        self.next = np.append(own[1:], np.int32(k))
         self.last = np.cumsum(length) - 1
 
 
+def _lists(column: pa.Array) -> pa.ListArray:
+    return column if isinstance(column, pa.ListArray) else column.cast(pa.list_(column.type.value_type))
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about GATHER tokens at most, or of one text."""
+    at = _lists(batch.column(column)).offsets.to_numpy()
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + GATHER, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _gathered(batches: Batches, column: str) -> Iterator[pa.ListArray]:
     held, n = [], 0
     for b in batches:
-        c = b.column(column)
-        c = c if isinstance(c, pa.ListArray) else c.cast(pa.list_(c.type.value_type))
-        held.append(c)
-        n += len(c.flatten())
-        if n >= GATHER:
-            yield pa.concat_arrays(held)
-            held, n = [], 0
+        for part in _slices(b, column):
+            held.append(_lists(part.column(column)))
+            n += len(held[-1].flatten())
+            if n >= GATHER // 2:
+                yield pa.concat_arrays(held)
+                held, n = [], 0
     if held:
         yield pa.concat_arrays(held)
 
@@ -255,10 +268,8 @@ def other_words(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> Dat
 
     def tokens(batches: Batches) -> Batches:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                lists = part.column(2)
-                t = Tokens(lists if isinstance(lists, pa.ListArray) else lists.cast(pa.list_(pa.int32())), classes)
+            for part in _slices(b, "ids"):
+                t = Tokens(_lists(part.column(2)), classes)
                 at = np.flatnonzero(t.ids < 0)
                 where = t.text[at]
                 code = ((t.h2[at] * (k + 1) + t.h1[at]) * (k + 1) + t.next[at]).astype(np.int32)
@@ -362,15 +373,13 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 5,
 
     def by_head(batches: Batches) -> Batches:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                lists = part.column(1)
-                t = Tokens(lists if isinstance(lists, pa.ListArray) else lists.cast(pa.list_(pa.int32())), classes)
+            for part in _slices(b, "ids"):
+                t = Tokens(_lists(part.column(1)), classes)
                 ours = t.ids >= 0
                 known = known_head[t.ids]
                 value = np.where(known, log3[t.h2, t.h1, np.minimum(t.own, CLASSES - 1)] + of_head[t.ids], np.log10(unseen) * ours)
                 sums = [np.bincount(t.text, w, part.num_rows) for w in (base_head[t.ids], value, known)]
-                length = np.diff(lists.offsets.to_numpy()) if isinstance(lists, pa.ListArray) else np.bincount(t.text, minlength=part.num_rows)
+                length = np.bincount(t.text, minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["row", "tokens", "known", "base", "value"])
 
     def by_rest(batches: Batches) -> Batches:
