@@ -4,29 +4,18 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.tables import keep as keep
+
 #: A word, and a run of the white space that separates words (ASCII only).
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: later jobs neither recompute nor depend on executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/timberline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -69,8 +58,9 @@ def running(df: DataFrame, key: str, order: list[str], value: str, before: str)
 
 
 def in_worker(name: str, make: Callable[[], object]) -> object:
-    """An object that a Python worker makes once and uses again in its later tasks."""
+    """An object that a Python worker makes once and uses again in its later tasks; another name takes its place."""
     held = sys.modules.setdefault("timberline_worker", types.ModuleType("timberline_worker")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    if held.get("name") != name:
+        held.pop("made", None)
+        held.update(name=name, made=make())
+    return held["made"]

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from timberline.llm.bloom import anti, maybe, semi
-from timberline.llm.common import keep, text_of, without
+from timberline.llm.common import in_worker, keep, text_of, without
 from timberline.llm.components import components
 from timberline.llm.exact_dedup import frequent
 
@@ -94,7 +94,7 @@ def sketches(df: DataFrame, id: str, text: str, words: int, num: int, den: int)
     """id, n, digest of the full set, the retained values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
+        known = in_worker("hashes", Hashes)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part, ns, digests, kept, at = b.slice(lo, 500), [], [], [], [0]
@@ -162,14 +162,15 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     The text of ``a`` goes once to each block of its partners, so a leader of many partners takes many tasks.
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    ours = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts.withColumnRenamed("id", "a"), "a")
-    theirs = pairs.join(blocks, "a").withColumn("block", F.pmod(F.hash("b"), F.col("blocks"))).join(texts.withColumnRenamed("id", "b"), "b")
     none = F.lit(None).cast("long")
-    rows = ours.select("a", "block", none.alias("b"), "t").unionByName(theirs.select("a", "block", "b", "t"))
+    ours = blocks.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), none.alias("b"))
+    theirs = pairs.join(blocks, "a").select(F.col("b").alias("id"), "a", F.pmod(F.hash("b"), F.col("blocks")).alias("block"), "b")
+    roles = keep(ours.unionByName(theirs))
+    rows = texts.filter(maybe(roles.select("id").distinct())).join(roles, "id").select("a", "block", "b", "t")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = Hashes(), np.zeros(0, np.uint64)
+        known, own = in_worker("hashes", Hashes), np.zeros(0, np.uint64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part, found = batch.slice(lo, 200).to_pydict(), []
@@ -190,16 +191,18 @@ def _rare_first(texts: DataFrame, sizes: DataFrame, words: int, num: int, den: i
     """Sketches of these texts under the order of document frequency: id, n, rare (shingles of no other text), place and v, for the retained v that are shared; sizes(id, n).
 
     Frequencies count up to ``OFTEN``. Shingles of one text are only counted on.
+    Half of each hash is enough here: one order for all texts is all that counts,
+    and a collision only adds a candidate.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
+        known = in_worker("hashes", Hashes)
         for b in batches:
             for lo in range(0, b.num_rows, 50):
                 part = b.slice(lo, 50)
                 sets = [shingles(t, words, known) for t in part.column(1).to_pylist()]
                 n = np.array([len(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array((np.concatenate(sets) >> np.uint64(32)).astype(np.int64))], ["id", "v"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, going, last_value = [np.zeros(0, np.int64)] * 2, False, None  # going: rows of this value have left with OFTEN
@@ -280,8 +283,7 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     rare = keep(_rare_first(semi(texts, again), again, words, num, den))
     sizes = rare.groupBy("v").agg(F.count("*").alias("many"), F.min(F.struct((F.col("rare") / F.col("n")).alias("part"), "id", "n", "rare")).alias("lead"))
     long = rare.join(sizes.filter(F.col("many") > LIST), "v")
-    met = long.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "v"))), 1, ONCE).alias("met"))  # at most a sketch for each document
-    listed = keep(long.join(met.select("id", F.col("met.v").alias("met")), "id").select("v", "id", "n", "rare", "place", "met", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.rare").alias("lead_rare")))
+    listed = keep(long.select("v", "id", "n", "rare", "place", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.rare").alias("lead_rare")))
     short = rare.join(sizes.filter((F.col("many") > 1) & (F.col("many") <= LIST)).select("v"), "v", "left_semi")
     more = _lists_to_pairs(short, num, den).filter("b is not null").select("a", "b").distinct()
 
@@ -296,12 +298,16 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     # Then what is left between components.
     of = lambda rows, col, to: rows.join(found.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
     placed = keep(of(of(listed, "id", "at"), "lead", "lead_at"))
-    probe = placed.filter("id <> lead and at <> lead_at").select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("place").alias("pb"), F.col("met").alias("mb"), F.col("at").alias("bt"))
+    probe = placed.filter("id <> lead and at <> lead_at")
+    mixed = keep(placed.filter("id <> lead").join(probe.select("v").distinct(), "v", "left_semi"))
+    met = placed.join(mixed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "v"))), 1, ONCE).alias("met"))  # at most a sketch for each document
+    mixed = keep(mixed.join(met.select("id", F.col("met.v").alias("met")), "id"))
+    probe = mixed.filter("at <> lead_at").select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("place").alias("pb"), F.col("met").alias("mb"), F.col("at").alias("bt"))
     # A pair counts in the first list that both are in; nothing before it is common, so the places bound the overlap.
     first_met = F.array_intersect("met", "mb")
     most = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
     here = F.when(F.size(first_met) > 0, (F.element_at(first_met, 1) == F.col("v")) & (den * most >= num * (F.col("n") + F.col("nb") - most))).otherwise(_can_link("n", "rare", "nb", "rb", num, den))
-    rest = placed.filter("id <> lead").join(probe, "v").filter((F.col("at") != F.col("bt")) & ((F.col("at") == F.col("lead_at")) | (F.col("id") < F.col("b"))) & here)
+    rest = mixed.join(probe, "v").filter((F.col("at") != F.col("bt")) & ((F.col("at") == F.col("lead_at")) | (F.col("id") < F.col("b"))) & here)
     rest = rest.select(F.col("id").alias("a"), "b").union(pairs.select("a", "b")).union(more).distinct()
     rest = of(of(rest, "a", "at"), "b", "bt").filter("at <> bt").select("a", "b").join(tried, ["a", "b"], "left_anti")
     links2 = verified(keep(rest), texts, words, num, den)

@@ -7,13 +7,14 @@ too. A text's value is the mean weight of its n-grams, a sparse dot product.
 
 Defined cases: a null or empty text scores the bias alone; with no labelled
 rows every score is 0.5; texts of any length are scored whole; repeated rows
-are scored each; an empty table gives an empty result. Columns named like the
-outputs are replaced in :func:`keep_good`.
+are scored each; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import id_crc, keep, text_of, without
+from timberline.llm.common import id_crc, in_worker, text_of
 from timberline.llm.labelled import SAMPLE_ROWS, sample
 
 BUCKETS = 1 << 20
@@ -105,8 +106,10 @@ def scorer(weights: np.ndarray, bias: float) -> Callable[[Words, list[bytes]], l
 def scored(docs: DataFrame, score: Callable[[Words, list[bytes]], list[float]], id: str = "doc_id", text: str = "text") -> DataFrame:
     """row, id, score of each text; nothing but the text is read for the score."""
 
+    model = f"quality {uuid.uuid4().hex}"  # a worker's words belong to one model
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = in_worker(model, Words)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -129,17 +132,17 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.5, folds: int = 3, fold: int = 1, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that score at least ``least``, with all their columns; the text passes the tasks once."""
-    docs = without(docs, "__keep", "__text")
     score = learned(docs, labels, lambda crc: crc % folds == fold, "quality", id, text, rows)
-    columns = docs.columns
+    at = docs.columns.index(text)
+
+    model = f"quality {uuid.uuid4().hex}"  # a worker's words belong to one model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = in_worker(model, Words)
         for b in batches:
-            texts = b.column(len(columns))
-            good = []
             for lo in range(0, b.num_rows, 256):
-                good += [x >= least for x in score(words, texts.slice(lo, 256).to_pylist())]
-            yield pa.RecordBatch.from_arrays(b.columns[: len(columns)], columns).filter(pa.array(good, pa.bool_()))
+                part = b.slice(lo, 256)
+                texts = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+                yield part.filter(pa.array([x >= least for x in score(words, texts)], pa.bool_()))
 
-    return docs.withColumn("__text", text_of(text).cast("binary")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
