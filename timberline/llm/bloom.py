@@ -1,43 +1,46 @@
 """A Bloom filter of fixed size that spares most rows of a large table the shuffle of a semi- or anti-join.
 
-The filter has ``BITS`` bits however many ids there are, so what is sent to the
-tasks is bounded. It never misses an id; rows that it lets through are joined
-exactly. With very many ids it lets every row through, and the join does all.
+The filter has ``WORDS`` words of 64 bits however many ids there are, so the
+broadcast is bounded. An id has two bits of one word. The filter never misses
+an id; rows that it lets through are joined exactly. With very many ids it lets
+every row through, and the join does all.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 24
+WORDS = 1 << 16
 
 
-def _places(col: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(col, F.lit(i)), F.lit(BITS)) for i in (1, 2)]
+def _parts(name: str) -> tuple:
+    """The word of an id, and its bits there."""
+    h = F.xxhash64(F.col(name), F.lit(1))
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(h, F.lit(WORDS)).cast("int"), bit(20).bitwiseOR(bit(40))
 
 
-def maybe(ids: DataFrame, name: str = "id") -> Column:
-    """A condition on a column ``name``: false only where no row of ids(name) has its value."""
-    bits = ids.select(F.explode(F.array(*_places(F.col(name)))).alias("p"))
-    words = bits.groupBy(F.expr("shiftright(p, 5)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("b")).toPandas()
-    table = np.zeros(BITS >> 5, np.uint32)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.uint32)
+def _marked(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """df with ``__maybe``: false only where no row of ids has its value."""
+    word, bits = _parts(name)
+    table = ids.select(word.alias("__word"), bits.alias("__b")).groupBy("__word").agg(F.bit_or("__b").alias("__b"))
+    out = df.withColumn("__word", word).join(F.broadcast(table), "__word", "left")
+    return out.withColumn("__maybe", F.coalesce(F.col("__b").bitwiseAND(bits) == bits, F.lit(False))).drop("__word", "__b")
 
-    @F.pandas_udf("boolean")
-    def inside(a: pd.Series, b: pd.Series) -> pd.Series:
-        hit = [(table[x.to_numpy() >> 5] >> (x.to_numpy() & 31).astype(np.uint32)) & 1 for x in (a, b)]
-        return pd.Series((hit[0] & hit[1]).astype(bool))
 
-    return inside(*_places(F.col(name)))
+def likely(df: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
+    """The rows whose value may be among the ids; none that is, is missing."""
+    return _marked(df, ids, name).filter("__maybe").drop("__maybe")
 
 
 def semi(df: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
-    return df.filter(maybe(ids, name)).join(ids.select(name), name, "left_semi")
+    return likely(df, ids, name).join(ids.select(name), name, "left_semi")
 
 
-def anti(df: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
-    inside = maybe(ids, name)
-    return df.filter(~inside).unionByName(df.filter(inside).join(ids.select(name), name, "left_anti"))
+def anti(df: DataFrame, ids: DataFrame, name: str = "id", on: list[str] | None = None) -> DataFrame:
+    """The rows without an equal in ids on ``on``, by default ``name``."""
+    on = on or [name]
+    marked = _marked(df, ids, name)
+    rest = marked.filter("__maybe").drop("__maybe").join(ids.select(*on), on, "left_anti").select(*df.columns)
+    return marked.filter(~F.col("__maybe")).select(*df.columns).unionByName(rest)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from timberline.llm.bloom import anti, maybe, semi
+from timberline.llm.bloom import anti, likely, semi
 from timberline.llm.common import in_worker, keep, text_of, without
 from timberline.llm.components import components
 from timberline.llm.exact_dedup import frequent
@@ -166,7 +166,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     ours = blocks.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), none.alias("b"))
     theirs = pairs.join(blocks, "a").select(F.col("b").alias("id"), "a", F.pmod(F.hash("b"), F.col("blocks")).alias("block"), "b")
     roles = keep(ours.unionByName(theirs))
-    rows = texts.filter(maybe(roles.select("id").distinct())).join(roles, "id").select("a", "block", "b", "t")
+    rows = likely(texts, roles).join(roles, "id").select("a", "block", "b", "t")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +257,7 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     linkable = drawn.filter("n > 0 and id is not null")
     classes = linkable.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep")
     members = keep(linkable.select("id", "digest").join(classes, "digest").filter("id <> rep").select("id", "digest", "rep"))
-    copy = maybe(members.select("id").distinct())
-    reps = linkable.filter(~copy).unionByName(linkable.filter(copy).join(members.select("id", "digest"), ["id", "digest"], "left_anti")).select("id", "n", "sketch")
+    reps = anti(linkable, members, "id", ["id", "digest"]).select("id", "n", "sketch")
 
     # Inverted lists of retained values.
     values = reps.select("id", "n", F.explode("sketch").alias("v"))
