@@ -21,17 +21,18 @@ def _parts(name: str) -> tuple:
     return F.pmod(h, F.lit(WORDS)).cast("int"), bit(20).bitwiseOR(bit(40))
 
 
-def _marked(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """df with ``__maybe``: false only where no row of ids has its value."""
+def _marked(df: DataFrame, ids: DataFrame, name: str, theirs: str | None = None) -> DataFrame:
+    """df with ``__maybe``: false only where no row of ids has its value, there in the column ``theirs``."""
     word, bits = _parts(name)
-    table = ids.select(word.alias("__word"), bits.alias("__b")).groupBy("__word").agg(F.bit_or("__b").alias("__b"))
+    their_word, their_bits = _parts(theirs or name)
+    table = ids.select(their_word.alias("__word"), their_bits.alias("__b")).groupBy("__word").agg(F.bit_or("__b").alias("__b"))
     out = df.withColumn("__word", word).join(F.broadcast(table), "__word", "left")
     return out.withColumn("__maybe", F.coalesce(F.col("__b").bitwiseAND(bits) == bits, F.lit(False))).drop("__word", "__b")
 
 
-def likely(df: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
+def likely(df: DataFrame, ids: DataFrame, name: str = "id", theirs: str | None = None) -> DataFrame:
     """The rows whose value may be among the ids; none that is, is missing."""
-    return _marked(df, ids, name).filter("__maybe").drop("__maybe")
+    return _marked(df, ids, name, theirs).filter("__maybe").drop("__maybe")
 
 
 def semi(df: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:

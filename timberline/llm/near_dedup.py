@@ -9,9 +9,10 @@ known of both, filters pairs (one in 10^9 links at the threshold would be lost);
 exact Jaccard on full sets verifies.
 
 Documents with equal sets are one class from the start. A list of at most
-``LIST`` documents gives its pairs. Documents of longer lists, unless too few of
-their retained values are shared by anyone, are sketched again under an order
-with rare shingles first, where a passage that many documents share falls out of
+``LIST`` documents gives its pairs; an overlap counted there may lack the values
+that both documents have in longer lists, and the filter allows for them.
+Documents with so many values in longer lists that these alone could make a link
+are sketched again under an order with rare shingles first, where a passage that many documents share falls out of
 the sketches and only groups of near copies still have long lists. Such a list
 ties its documents to one leader, the one with the fewest rare shingles. After
 verification only documents outside the leader's component are compared with
@@ -269,13 +270,21 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     marks = lists.filter("b is null").select(F.col("a").alias("id"), F.col("na").alias("n"), F.col("nb").alias("long"))
     marks = marks.unionByName(values.join(F.broadcast(hot), "v").select("id", "n", F.lit(1).cast("long").alias("long")))
     smallest = F.floor(sketch_size(F.col("n"), num, den) * num / den) - 1
-    again = marks.groupBy("id", "n").agg(F.count("*").alias("shared"), F.sum("long").alias("long"))
-    again = keep(again.filter((F.col("long") > 0) & (F.col("shared") >= least_overlap(F.greatest(F.lit(0), smallest), num, den))).select("id", "n"))
+    marked = keep(marks.groupBy("id", "n").agg(F.sum("long").alias("long")).filter("long > 0"))
+    again = keep(marked.filter(F.col("long") >= least_overlap(F.greatest(F.lit(0), smallest), num, den)).select("id", "n"))
 
-    # Overlaps, and the estimate from the union sketch.
+    # Overlaps, and the estimate from the union sketch. Long lists give no pairs; an overlap may
+    # lack as many values as both documents have in long lists. Pairs within ``again`` are met there.
     known = F.least(sketch_size(F.col("na"), num, den), sketch_size(F.col("nb"), num, den))
-    pairs = lists.filter("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
-    pairs = keep(pairs.filter(F.col("overlap") >= least_overlap(known, num, den)).select("a", "b", (F.col("overlap") / known).alias("likely")))
+    counted = lists.filter("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
+    counted = keep(counted.select("a", "b", "overlap", known.alias("known"), least_overlap(known, num, den).alias("least")))
+    pairs = counted.filter("overlap >= least")
+    less = likely(likely(counted.filter("overlap < least"), marked.select("id"), "a", "id"), marked.select("id"), "b", "id")
+    for side in "ab":
+        flag = again.select(F.col("id").alias(side), F.lit(True).alias(f"again_{side}"))
+        less = less.join(marked.select(F.col("id").alias(side), F.col("long").alias(f"long_{side}")), side).join(flag, side, "left")
+    less = less.filter((F.col("overlap") + F.least("long_a", "long_b") >= F.col("least")) & (F.col("again_a").isNull() | F.col("again_b").isNull()))
+    pairs = keep(pairs.unionByName(less.select(*pairs.columns)).select("a", "b", (F.col("overlap") / F.col("known")).alias("likely")))
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(again.select("id")).distinct()
     texts = keep(semi(df.select(F.col(id).cast("long").alias("id"), text_of(text).cast("binary").alias("t")), keep(ids)))
