@@ -117,3 +117,12 @@ def test_near_dedup_odd_rows(make, odd):
     assert kept.columns == df.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 6, 7, 8, 9]
     assert near_dedup(make([])).count() == 0
+
+
+def test_near_groups_of_repeated_rows(make, odd):
+    got = near_groups(make(odd)).collect()
+    assert len(got) == len(odd)
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id in (4, 5)) == {(4, 4, True): 1, (5, 4, False): 2}
+    rows = [(1, "a b c d")] * 30 + [(2, "a b c d")] * 40 + [(3, "e f g h")] * 50
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_groups(make(rows)).collect())
+    assert got == {(1, 1, True): 30, (2, 1, False): 40, (3, 3, True): 50}

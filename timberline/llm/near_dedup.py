@@ -254,11 +254,12 @@ def _can_link(na: str, ra: str, nb: str, rb: str, num: int, den: int) -> Column:
 
 def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links), kept."""
-    drawn = keep(sketches(df, id, text, words, num, den))
+    drawn = keep(sketches(df, id, text, words, num, den).withColumn("row", F.monotonically_increasing_id()))
     linkable = drawn.filter("n > 0 and id is not null")
-    classes = linkable.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep")
-    members = keep(linkable.select("id", "digest").join(classes, "digest").filter("id <> rep").select("id", "digest", "rep"))
-    reps = anti(linkable, members, "id", ["id", "digest"]).select("id", "n", "sketch")
+    classes = linkable.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("lead"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "lead")
+    copies = keep(linkable.select("id", "digest", "row").join(classes, "digest").filter("row <> lead.row").select("id", "digest", "row", F.col("lead.id").alias("rep")))
+    members = copies.filter("id <> rep").select("id", "digest", "rep").distinct()  # a repeated row is one member
+    reps = anti(linkable, copies, "row").select("id", "n", "sketch")
 
     # Inverted lists of retained values.
     values = reps.select("id", "n", F.explode("sketch").alias("v"))
