@@ -61,6 +61,27 @@ def test_unseen_spelling_shares_vectors():
     assert value(" ".join(word() for _ in range(30)) + " grumblefinks") > 0 > value(" ".join(word() for _ in range(30)))
 
 
+def test_long_words_count_whole():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [[word() for _ in range(12)] for _ in range(200)]
+    for r in rows[::2]:
+        r[5] = "grumblefink"
+    table, bias = toxicity.train([" ".join(r).encode() for r in rows], np.array([1.0, 0.0] * 100))
+    known = toxicity.Words(table)
+    clean = "\u3000".join(word() for _ in range(400))
+    tail = "\u3000grumblefink" * 300
+    for _ in range(2):  # also when the words are known
+        assert toxicity.value((clean + tail).encode(), known) > toxicity.value(clean.encode(), known) + 1
+    long = "".join(rng.choice("abc.é漢") for _ in range(3001))
+    s = toxicity.marked(long.encode())
+    grams = {s[i : i + k] for k in range(toxicity.SHORT, toxicity.LONG + 1) for i in range(len(s) - k + 1)}
+    chunks = toxicity.in_chunks([b"a", long.encode(), b"b"])
+    assert chunks[0] == b"a" and chunks[-1] == b"b" and all(len(c) <= toxicity.CHUNK for c in chunks)
+    assert grams == {c[i : i + k] for c in chunks[1:-1] for k in range(toxicity.SHORT, toxicity.LONG + 1) for i in range(len(c) - k + 1)}
+    assert toxicity.train([long.encode(), b"x"], np.array([1.0, 0.0]))[0].any()
+
+
 def test_model_counts_and_probabilities(spark, make, odd):
     rng = random.Random(2)
     rows = [*odd, *((i, " ".join(rng.choice(["the", "of", "Cat", "dog", "sat", f"r{rng.randrange(300)}"]) for _ in range(rng.randint(0, 40)))) for i in range(20, 200))]

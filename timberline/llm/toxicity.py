@@ -2,7 +2,9 @@
 
 A word is the bag of its character n-grams and itself, hashed to ``BUCKETS``
 rows of an embedding table; so a misspelling or an unseen form shares vectors
-with the words it resembles. The vectors of a window of words are averaged and
+with the words it resembles. A word of over ``CHUNK`` characters is a sequence
+of chunks, which stand in the windows like words and overlap so that each of its
+n-grams is in one of them. The vectors of a window of words are averaged and
 go through a linear softmax. A document's score is that of its most toxic
 window, so a few words count in a text of any length. Embeddings and softmax
 are trained together by Adam on the log loss, first on whole documents, then
@@ -35,18 +37,35 @@ BUCKETS, DIMENSIONS = 1 << 17, 8
 SHORT, LONG, WINDOW, WHOLE_STEPS, STEPS = 3, 5, 4, 20, 60
 RATE, SCALE, DECAY = 0.05, 8.0, 1e-5
 REMEMBERED = 400_000
+#: Characters of a chunk.
+CHUNK = 400
 #: Characters of all texts that training reads at most.
 SAMPLE_CHARS = 16_000_000
 _STRIP = b".,;:!?\"'()[]{}*#$%&|"
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word's n-grams of characters, with marks at both ends."""
-    s = "<" + word.strip(_STRIP).decode("utf-8", "replace")[:400] + ">"
+def marked(word: bytes) -> str:
+    return "<" + word.strip(_STRIP).decode("utf-8", "replace") + ">"
+
+
+def subwords(word: bytes | str) -> list[int]:
+    """Buckets of the n-grams of characters of a word with marks at both ends, or of a chunk as it is."""
+    s = word if isinstance(word, str) else marked(word)
     grams = {s[i : i + k] for k in range(SHORT, LONG + 1) for i in range(len(s) - k + 1)} | {s}
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
+def in_chunks(words: list[bytes]) -> list[bytes | str]:
+    """The words, longer ones as their chunks."""
+    out: list[bytes | str] = []
+    for w in words:
+        if len(w) > CHUNK and len(s := marked(w)) > CHUNK + 2:
+            out += [s[i : i + CHUNK] for i in range(0, len(s) - LONG + 1, CHUNK - LONG + 1)]
+        else:
+            out.append(w)
+    return out
+
+
 def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """A number for each bucket, and the bias."""
     if not len(texts) or labels.min() == labels.max():
@@ -55,7 +74,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
     rng, ids = np.random.default_rng(11), {}
     tokens, size, buckets, many = array("i"), array("i"), array("i"), array("i")
     for t in texts:
-        words = t.lower().split() or [b""]
+        words = in_chunks(t.lower().split()) or [b""]
         tokens.extend([ids.setdefault(w, len(ids)) for w in words])
         size.append(len(words))
     for w in ids:
@@ -115,9 +134,12 @@ class Words(dict):
     """Word -> mean number of its buckets."""
 
     def __init__(self, table: np.ndarray):
-        self.table = table
+        self.table, self.long = table, False
 
-    def __missing__(self, word: bytes) -> float:
+    def __missing__(self, word: bytes | str) -> float:
+        if len(word) > CHUNK:  # maybe in chunks; not remembered, so that it is told each time
+            self.long = True
+            return float(self.table[subwords(word)].mean()) if len(marked(word)) <= CHUNK + 2 else 0.0
         if len(self) >= REMEMBERED:
             self.clear()
         value = self[word] = float(self.table[subwords(word)].mean())
@@ -126,7 +148,12 @@ class Words(dict):
 
 def value(text: bytes, words: Words) -> float:
     """The highest mean over a window of words."""
-    v = np.array(list(map(words.__getitem__, text.lower().split())))
+    found = text.lower().split()
+    words.long = False
+    v = list(map(words.__getitem__, found))
+    if words.long:
+        v = list(map(words.__getitem__, in_chunks(found)))
+    v = np.array(v)
     if not len(v):
         return 0.0
     total = np.concatenate([[0.0], np.cumsum(v)])
