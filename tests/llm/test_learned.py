@@ -124,6 +124,36 @@ def test_secrets(spark, make, odd):
     assert secrets.scan(make([])).count() == 0 and secrets.scan(make([(1, None)])).count() == 0
 
 
+def test_secrets_of_any_length_and_kind(spark, make):
+    rng = random.Random(5)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    long, key = draw(lower + lower.upper() + "0123456789+/", 5000), draw(lower + lower.upper(), 24)
+    rows = [
+        (1, f"jwt {long} end", "s"),
+        (2, f"key {key} end", "s"),
+        (3, 'password: "hunter2"', "s"),
+        (4, "DB_PASSWORD=s3cr!t$x next", "s"),
+        (5, '{"api_key" : "abc$' + "d" * 300 + '"}', "s"),
+        (6, f"token = '{'a' * 257}' and {'b' * 256} and secret: x", "s"),
+        (7, "a password is short = no", "s"),
+        (8, "-" * 100_000, "s"),
+        (9, "words/" * 50_000, "s"),
+    ]
+    got = {(r.doc_id, r.number, r.start, r.candidate) for r in secrets.scan(make(rows)).collect()}
+    want = [(1, 0, long), (2, 0, key), (3, 0, "hunter2"), (4, 0, "s3cr!t$x"), (5, 0, "abc$" + "d" * 300), (6, 0, "a" * 257), (6, 1, "b" * 256), (6, 2, "x"), (8, 0, "-" * 100_000), (9, 0, "words/" * 50_000)]
+    text = {i: t for i, t, _ in rows}
+    assert got == {(i, k, text[i].rindex(c), c) for i, k, c in want}
+
+
+def test_plain_words_are_no_secrets(spark, make):
+    rng = random.Random(6)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    rows = [(i, f'token = "{h}" in src/plans/of/the/internationalization and {rng.randrange(10**15, 10**16)}', "s") for i, h in enumerate(hexes)]
+    got = secrets.scan(make(rows)).collect()
+    assert len(got) == 180 and all(r.predicted == (r.number == 0) for r in got)
+
+
 def test_secrets_learn_from_given_findings(spark, make):
     rows = [(i, f"commit {i:016d}abcdef12 done" if i % 2 else f"key={i:016d}abcdef12", "s") for i in range(120)]
     docs = make(rows)

@@ -1,8 +1,10 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is a run of 16 to 256 letters, digits and ``+/_=-`` with a digit. Its
-features are its length, the changes between kinds of characters, the share
-that dictionary words cover, its path, and the words beside it. The dictionary is
+A candidate is a run of 16 or more letters, digits and ``+/_=-``, or whatever
+stands, up to white space or a quote, where a keyword's value is assigned (at most
+64 characters of the name after the keyword, 16 blanks at each side of the sign).
+The forest decides, not the pattern. Its features are its length, the changes
+between kinds of characters, the share that dictionary words cover, its path, and the words beside it. The dictionary is
 the most frequent words beside candidates, in the whole corpus. A forest of
 trees, grown level by level in one plan for all trees on resampled findings and
 on some of the features each, learns from labelled findings; scoring is one
@@ -11,7 +13,8 @@ column expression.
 ``labelled`` takes any findings with a column ``label`` (1 secret, 0 false alarm,
 else null). The given tables have none, so :func:`weak_labels` states a rule:
 hexadecimal strings of 32 or more characters that are assigned in quotes are
-secrets, strings of digits alone are not; the rest is for the forest to judge.
+secrets; strings of digits alone are not, nor are plain words or separators that
+are not assigned to a keyword; the rest is for the forest to judge.
 
 Defined cases: null or empty texts have no candidates; long texts are scanned
 whole; each occurrence is a finding, also in repeated rows; a null path is
@@ -31,20 +34,29 @@ from timberline.llm.common import keep, text_of
 from timberline.operators.grow import level_splits
 from timberline.options import CART
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,255}[0-9])[A-Za-z0-9+/_=-]{16,256}+(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+(?![A-Za-z0-9+/_=-])"
 #: Characters beside a candidate that are looked at; words of the dictionary.
 BESIDE, DICTIONARY = 48, 200
 TREES, DEPTH, LEAST = 8, 4, 4
 #: Labelled findings that the forest learns from at most, by a hash.
 SAMPLE = 50_000
 KEYWORD = r"(?i)(secret|token|passw|passphrase|api.?key|credential|auth|private)"
+#: The end of a text where a keyword's value is assigned (Java only: it looks behind a varying length), and what a candidate is in all.
+ASSIGNED = KEYWORD + r"[\w.\]-]{0,64}[\"'`]?[ \t]{0,16}[:=>]{1,3}[ \t]{0,16}[\"'`]?"
+#: A run that is itself a keyword's assignment gives its value only, which may hold other characters.
+FOUND = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})(?![\w-]{0,64}" + KEYWORD + r"[\w-]{0,64}=[^=\s\"'`])(?-i)" + CANDIDATE
+FOUND += r"|(?<=[:=>\s\"'`])(?<=[:=>][ \t]{0,16}[\"'`]?)(?![:=>])(?<=" + ASSIGNED + r")[^\s\"'`]++"
+#: Letters in words of one case or with a capital, between separators.
+PLAIN = r"^[+/_=-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++)(?:[+/_=-]++|$))*+$"
 TRIAL = r"(?i)(test|example|sample|fixture|mock|doc|spec)"
 
 
 def candidates(df: DataFrame, id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """One row per candidate: id, path, number (from 0), start (from 0), candidate, left, right (the text beside it)."""
     found = df.select(F.col(id).alias("id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), text_of(text).alias("t"))
-    found = found.filter(F.col("t").rlike(CANDIDATE)).withColumns({"c": F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)), "s": F.split("t", CANDIDATE, -1)})
+    found = found.withColumn("a", F.col("t").rlike(ASSIGNED)).filter(F.col("a") | F.col("t").rlike(CANDIDATE))
+    either = lambda what: F.when(F.col("a"), what(FOUND)).otherwise(what(CANDIDATE))  # noqa: E731  without an assignment both find the same, and FOUND takes longer
+    found = found.withColumns({"c": either(lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))), "s": either(lambda p: F.split("t", p, -1))})
     beside = F.transform("s", lambda s: F.struct(F.right(s, F.lit(BESIDE)).alias("l"), F.left(s, F.lit(BESIDE)).alias("r"), F.length(s).alias("n")))
     found = found.select("id", "path", "c", beside.alias("s"))
     found = found.select("id", "path", F.posexplode("c").alias("number", "candidate"), "c", "s")
@@ -89,7 +101,8 @@ def weak_labels(found: DataFrame) -> DataFrame:
     """found with ``label`` by the stated rule."""
     hexadecimal = F.col("candidate").rlike("(?i)^[0-9a-f]{32,}$") & F.col("candidate").rlike("(?i)[a-f]")
     assigned = F.col("left").rlike(r"[=:]\s*[\"']$") & F.col("right").rlike(r"^[\"']")
-    return found.withColumn("label", F.when(hexadecimal & assigned, 1).when(F.col("candidate").rlike("^[0-9]+$"), 0))
+    plain = F.col("candidate").rlike(PLAIN) & ~F.col("left").rlike(ASSIGNED + "$")
+    return found.withColumn("label", F.when(hexadecimal & assigned, 1).when(F.col("candidate").rlike("^[0-9]+$") | plain, 0))
 
 
 def grow_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[dict[int, tuple]]:
