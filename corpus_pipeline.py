@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, added=True)
 
 
 STAGES = [("quality", good), ("exact_dedup", unique), ("near_dedup", distinct), ("mixture", mixed), ("packing", packed)]

@@ -36,6 +36,20 @@ def test_plan_fills_exactly():
     assert plan({}) == []
 
 
+def test_packed_query_takes_added_tokens(spark, make, tmp_path):
+    from tokenizers import Tokenizer
+
+    import __spark_entry__ as entry
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain words", "漢字 <|endoftext|>"]
+    make(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
+    assert want[0].tolist() == [64, 220, 50256, 275, 2]
+    got = entry.queries()["op7_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def test_pack(make, odd):
     from tokenizers import Tokenizer
 

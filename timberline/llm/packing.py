@@ -46,20 +46,24 @@ class Encoder:
     """Ids of texts as little-endian bytes, with a memory of the pieces that the pre-tokenizer cuts.
 
     The expression cuts texts of Latin letters as the tokenizer does; any other
-    text goes to the tokenizer whole.
+    text goes to the tokenizer whole. With ``added`` the tokenizer is used as the
+    file gives it, so an added token in a text is one id, and a text that holds
+    one goes there whole; else its characters are text like others.
     """
 
     cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
     other = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-˿]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        if added and (tokens := [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]):
+            self.other = re.compile("|".join([self.other.pattern, *map(re.escape, tokens)]))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -95,12 +99,12 @@ class Encoder:
             yield self.whole(text) if pieces is None else b"".join(map(self.young.__getitem__, pieces))
 
 
-def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """One row per piece: row, doc_id, piece, start, length, ids_crc32."""
     path, end = path or tokenizer_path(), np.array([END_ID], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = in_worker(f"encoder {path}", lambda: Encoder(path))
+        encoder = in_worker(f"encoder {path} {added}", lambda: Encoder(path, added))
         for batch in batches:
             rows, ids, texts = (batch.column(i) for i in range(3))
             for lo in range(0, batch.num_rows, 64):
@@ -207,12 +211,12 @@ def _slots(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {k: np.array([r[i] for r in rows], dtype=np.int64) for i, k in enumerate(names)} | {"offsets": np.array(offsets, dtype=np.int64)}
 
 
-def pack(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Full pieces have negative sequence ids.
     """
-    cut = keep(pieces(df, id, text, path, capacity))
+    cut = keep(pieces(df, id, text, path, capacity, added))
     rest = cut.filter(F.col("length") < capacity)
     counts = {r[0]: r[1] for r in rest.groupBy("length").count().collect()}  # at most `capacity` rows
     slots = _slots(plan(counts, capacity))

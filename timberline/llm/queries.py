@@ -55,7 +55,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"))
+    return pack(_table(spark, sf_dir, "documents"), added=True)
 
 
 def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
