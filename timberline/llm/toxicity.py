@@ -20,7 +20,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -29,18 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import id_crc, text_of
-from timberline.llm.labelled import SAMPLE_ROWS, sample
+from timberline.llm.common import id_crc, in_worker, text_of
+from timberline.llm.labelled import sample
 
-BUCKETS, DIMENSIONS = 1 << 17, 8
+BITS, DIMENSIONS = 17, 8
+BUCKETS = 1 << BITS
 #: Lengths of character n-grams, words of a window, steps on whole documents and on windows.
 SHORT, LONG, WINDOW, WHOLE_STEPS, STEPS = 3, 5, 4, 20, 60
-RATE, SCALE, DECAY = 0.05, 8.0, 1e-5
+RATE, SCALE, DECAY = 0.05, 8.0, 0.1
 REMEMBERED = 400_000
+#: Labelled rows that training reads at most.
+SAMPLE_ROWS = 6_000
 #: Characters of a chunk.
 CHUNK = 400
-#: Characters of all texts that training reads at most.
-SAMPLE_CHARS = 16_000_000
+_PRIME = np.uint64(0x100000001B3)
 _STRIP = b".,;:!?\"'()[]{}*#$%&|"
 
 
@@ -48,11 +50,33 @@ def marked(word: bytes) -> str:
     return "<" + word.strip(_STRIP).decode("utf-8", "replace") + ">"
 
 
-def subwords(word: bytes | str) -> list[int]:
-    """Buckets of the n-grams of characters of a word with marks at both ends, or of a chunk as it is."""
-    s = word if isinstance(word, str) else marked(word)
-    grams = {s[i : i + k] for k in range(SHORT, LONG + 1) for i in range(len(s) - k + 1)} | {s}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+def subwords(words: list[bytes | str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of characters of each word, with marks at both ends, and of each chunk as it is; how many each has. All words at once."""
+    marks = [w if isinstance(w, str) else marked(w) for w in words]
+    size = np.array([len(m) for m in marks], dtype=np.int64)
+    char = np.frombuffer("".join(marks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), size)
+    left = (start + size)[word] - np.arange(len(char))  # characters of the word from here on
+    power = _PRIME ** (np.arange(int(size.max(initial=1)), dtype=np.uint64))
+    whole = np.add.reduceat(char * power[np.arange(len(char)) - start[word]], start) if len(char) else char
+    found, of = [_bucket(whole, 1)], [np.arange(len(words))]
+    h = char
+    for k in range(2, LONG + 1):
+        h = h[: len(char) - k + 1] * _PRIME + char[k - 1 :]
+        if k >= SHORT:
+            at = np.flatnonzero(left[: len(h)] >= k)
+            found.append(_bucket(h[at], k))
+            of.append(word[at])
+    of = np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return np.concatenate(found)[order], np.bincount(of, minlength=len(words))
+
+
+def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def in_chunks(words: list[bytes]) -> list[bytes | str]:
@@ -72,18 +96,15 @@ def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
         rate = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(texts) else 0.5
         return np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate)))
     rng, ids = np.random.default_rng(11), {}
-    tokens, size, buckets, many = array("i"), array("i"), array("i"), array("i")
+    tokens, size = array("i"), array("i")
     for t in texts:
         words = in_chunks(t.lower().split()) or [b""]
         tokens.extend([ids.setdefault(w, len(ids)) for w in words])
         size.append(len(words))
-    for w in ids:
-        bag = subwords(w)
-        buckets.extend(bag)
-        many.append(len(bag))
+    bucket, many = subwords(list(ids))
     n_words = len(ids)
     del ids
-    token, size, bucket, many = (np.frombuffer(x, np.int32) for x in (tokens, size, buckets, many))
+    token, size = (np.frombuffer(x, np.int32) for x in (tokens, size))
     bag = np.repeat(np.arange(n_words, dtype=np.int32), many)
     begin = np.concatenate([[0], np.cumsum(many)[:-1]])
     end = np.cumsum(size)
@@ -131,48 +152,64 @@ def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 class Words(dict):
-    """Word -> mean number of its buckets."""
+    """Word -> mean number of its buckets; words are learned many at once."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.long = table, False
+        self.table = table
 
-    def __missing__(self, word: bytes | str) -> float:
-        if len(word) > CHUNK:  # maybe in chunks; not remembered, so that it is told each time
-            self.long = True
-            return float(self.table[subwords(word)].mean()) if len(marked(word)) <= CHUNK + 2 else 0.0
-        if len(self) >= REMEMBERED:
+    def learn(self, words: list[bytes | str]) -> None:
+        if len(self) + len(words) > REMEMBERED:
             self.clear()
-        value = self[word] = float(self.table[subwords(word)].mean())
-        return value
-
-
-def value(text: bytes, words: Words) -> float:
-    """The highest mean over a window of words."""
-    found = text.lower().split()
-    words.long = False
-    v = list(map(words.__getitem__, found))
-    if words.long:
-        v = list(map(words.__getitem__, in_chunks(found)))
-    v = np.array(v)
+        for lo in range(0, len(words), 20_000):
+            some = words[lo : lo + 20_000]
+            bucket, many = subwords(some)
+            self.update(zip(some, (np.add.reduceat(self.table[bucket].astype(np.float64), np.cumsum(many) - many) / many).tolist()))
+
+
+def values(texts: list[bytes], words: Words) -> np.ndarray:
+    """Each text's highest mean over a window of words; 0 for texts without words."""
+    found = [t.lower().split() for t in texts]
+    all_words = set().union(*found)
+    new = all_words.difference(words)
+    if any(len(w) > CHUNK for w in new):  # such a word is never remembered whole
+        long = {w for w in new if len(w) > CHUNK}
+        found = [f if long.isdisjoint(f) else in_chunks(f) for f in found]
+        all_words = set().union(*found)
+        new = all_words.difference(words)
+    if len(words) + len(new) > REMEMBERED:
+        new = all_words  # the memory begins anew
+    words.learn(list(new))
+    size = np.array([len(f) for f in found])
+    v = np.array([x for f in found for x in map(words.__getitem__, f)])
+    for w in [w for w in new if len(w) > CHUNK and isinstance(w, bytes)]:
+        del words[w]
+    out = np.zeros(len(texts))
     if not len(v):
-        return 0.0
+        return out
     total = np.concatenate([[0.0], np.cumsum(v)])
     at = np.arange(len(v))
-    ends = np.minimum(at + WINDOW, len(v))
-    return float(((total[ends] - total[:-1]) / (ends - at)).max())
+    ends = np.minimum(at + WINDOW, np.repeat(np.cumsum(size), size))
+    some = size > 0
+    out[some] = np.maximum.reduceat((total[ends] - total[:-1]) / (ends - at), (np.cumsum(size) - size)[some])
+    return out
+
+
+def value(text: bytes, words: Words) -> float:
+    return float(values([text], words)[0])
 
 
 def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 0, rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: id, held_out, score, predicted; rows of the held-out fold teach nothing."""
     held_out = lambda crc: crc % folds == fold
-    table, bias = train(*sample(docs, labels, "toxic", held_out, id, text, rows, SAMPLE_CHARS))
+    table, bias = train(*sample(docs, labels, "toxic", held_out, id, text, rows))
+    model = f"toxicity {uuid.uuid4().hex}"  # a worker's words belong to one model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(table)
+        words = in_worker(model, lambda: Words(table))
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                logits = np.array([bias + value(t, words) for t in part.column(1).to_pylist()])
+                logits = bias + values(part.column(1).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))))], ["__id", "score"])
 
     kind = docs.select(F.col(id).alias("__id")).schema[0].dataType.simpleString()
