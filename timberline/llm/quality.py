@@ -44,7 +44,7 @@ class Words(dict):
             shape = what.sub(sign, shape)
         if len(self) >= REMEMBERED:
             self.clear()
-        h = self[word] = zlib.crc32(shape[:8]) << 32 | zlib.crc32(word)
+        h = self[word] = zlib.crc32(shape) << 32 | zlib.crc32(word)
         return h
 
 
