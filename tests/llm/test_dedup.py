@@ -6,13 +6,14 @@ import re
 from collections import Counter, defaultdict
 from math import comb
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from timberline.llm.bloom import anti, semi
 from timberline.llm.components import components
 from timberline.llm.exact_dedup import exact_dedup, exact_groups, frequent, misra_gries
-from timberline.llm.near_dedup import least_overlap, near_dedup, near_groups
+from timberline.llm.near_dedup import SKETCH, Hashes, estimate_passes, least_shared, near_dedup, near_groups, shared, shingle_sets
 
 
 def test_exact_groups(make, odd):
@@ -59,10 +60,39 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("p", [80, 85])
-def test_estimate_loses_next_to_nothing(spark, p):
-    got = spark.range(1, 1500).select("id", least_overlap(F.col("id"), p, 100).alias("c")).collect()
-    for k, c in got[::37] + got[:60]:
-        assert c == 1 or sum(comb(k, i) * p**i * (100 - p) ** (k - i) for i in range(c)) / 100**k <= 1e-9
+def test_estimate_loses_next_to_nothing(p):
+    for k in (1, 5, 64, 128):
+        c = least_shared(k, p, 100)
+        loses = lambda c: sum(comb(k, i) * p**i * (100 - p) ** (k - i) for i in range(c)) / 100**k
+        assert loses(c) <= 1e-9 < loses(c + 1)
+
+
+def test_union_sketch():
+    rng = np.random.default_rng(3)
+    least = least_shared(SKETCH, 85, 100)
+    full = lambda x: (np.sort(x), len(x))
+    drawn = lambda x: (np.sort(x)[:SKETCH], len(x))
+    for n in (20, 110, 128, 140, 2000):
+        for j in (0.5, 0.84, 0.86, 0.95):
+            both = int(n * j)
+            values = rng.choice(2**62, 2 * n - both, replace=False).astype(np.uint64)
+            a, b = values[:n], np.concatenate([values[:both], values[n:]])
+            link = 100 * both >= 85 * (2 * n - both)
+            passes = estimate_passes(*drawn(a), *drawn(b), 85, 100, least)
+            assert passes or not link
+            if n <= SKETCH:
+                assert passes == link
+            assert not passes or both / (2 * n - both) > 0.5
+            assert shared(full(a)[0], full(b)[0]) == both
+
+
+def test_shingle_sets_are_those_of_single_texts():
+    texts = [b"", b"a b c d e f a b c", b"One", b"x y", b" \t", b"one", b"a b c"]
+    known = Hashes()
+    values, at = shingle_sets(texts, 3, known)
+    alone = [shingle_sets([t], 3, known)[0].tolist() for t in texts]
+    assert [values[x:y].tolist() for x, y in zip(at[:-1], at[1:])] == alone
+    assert [len(x) for x in alone] == [0, 6, 1, 1, 0, 1, 1] and alone[2] == alone[5]
 
 
 def plain_groups(rows, words, num):
@@ -111,6 +141,24 @@ def test_near_groups(make):
     assert got == {i: (n, c, i == c) for i, (n, c) in plain_groups(rows, 3, 85).items()}
 
 
+@pytest.mark.parametrize("hot", [2, 40])
+def test_near_groups_with_more_frequent_values_than_are_kept_apart(make, hot):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    passages = [[word() for _ in range(30)] for _ in range(6)]
+    texts = [[word() for _ in range(rng.randint(1, 12))] + rng.choice(passages) for _ in range(150)]
+    texts += [t[:-1] + [word()] for t in texts[:40]] + [[word()] + rng.choice(passages)[2:] for _ in range(60)]
+    base = [word() for _ in range(200)]
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rng.randint(1, 4)):
+            t[rng.randrange(len(t))] = word()
+        texts.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_groups(make(rows), words=3, num=85, hot=hot).collect()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in plain_groups(rows, 3, 85).items()}
+
+
 def test_near_dedup_odd_rows(make, odd):
     df = make(odd)
     kept = near_dedup(df)

@@ -35,12 +35,11 @@ def _contents(df: DataFrame, conv: str, turn: str, role: str, text: str) -> Data
 def prefixes(contents: DataFrame) -> DataFrame:
     """conv, turn, c0, c1 of each turn with its position n and the rolling hashes s0, s1, s2 of the turns up to it."""
     rows = contents.select("conv", "turn", "c0", "c1", F.lit(1).cast("long").alias("one"))
-    rows = running(rows, "conv", ["turn", "c0", "c1"], "one", "n").withColumn("n", F.col("n") + 1)
+    rows = running(rows, "conv", ["turn", "c0", "c1"], {"one": "n"}).withColumn("n", F.col("n") + 1)
     # 40 bits of each hash, so that sums of 2^23 turns fit.
     for i in range(3):
         rows = rows.withColumn(f"h{i}", F.shiftrightunsigned(F.xxhash64(F.lit(i), "n", "c0", "c1"), 24))
-    for i in range(3):
-        rows = running(rows, "conv", ["n"], f"h{i}", f"s{i}").withColumn(f"s{i}", F.col(f"s{i}") + F.col(f"h{i}"))
+    rows = running(rows, "conv", ["n"], {f"h{i}": f"s{i}" for i in range(3)}).withColumns({f"s{i}": F.col(f"s{i}") + F.col(f"h{i}") for i in range(3)})
     return keep(rows.select("conv", "turn", "c0", "c1", *_KEYS))
 
 

@@ -8,8 +8,8 @@ an ordinary shuffle, where no group holds more than about 1/heavy of all rows.
 
 Defined cases: a null text is an empty text. Of equal rows the smallest id
 stays; null ids come last; of rows repeated with the same id exactly one stays.
-An empty table gives an empty result. Input columns named like an output are
-replaced.
+An empty table gives an empty result. In :func:`exact_groups` input columns
+named like an output are replaced; :func:`exact_dedup` keeps all columns.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import GAP, keep, text_of, without
+from timberline.llm.common import GAP, fresh, keep, text_of
 
 #: Frequent digests that are broadcast at most.
 HEAVY = 256
@@ -55,7 +55,7 @@ def frequent(df: DataFrame, value: str, heavy: int = HEAVY) -> DataFrame:
     return parts.groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(heavy).select("value")
 
 
-def _grouped(keyed: DataFrame, heavy: int) -> DataFrame:
+def grouped(keyed: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """keyed(__row, __id, __digest) with keep_id, group_size and kept."""
     spark = keyed.sparkSession
     hot = spark.createDataFrame(frequent(keyed, "__digest", heavy).collect(), "__digest binary")  # at most `heavy` rows
@@ -71,12 +71,13 @@ def _grouped(keyed: DataFrame, heavy: int) -> DataFrame:
 def exact_groups(df: DataFrame, id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256 of the normalised text."""
     keyed = keep(df.select(F.monotonically_increasing_id().alias("__row"), F.col(id).alias("__id"), digest(text).alias("__digest")))
-    return _grouped(keyed, heavy).select(F.col("__id").alias(id), "keep_id", "group_size", "kept", F.lower(F.hex("__digest")).alias("text_sha256"))
+    return grouped(keyed, heavy).select(F.col("__id").alias(id), "keep_id", "group_size", "kept", F.lower(F.hex("__digest")).alias("text_sha256"))
 
 
 def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """The rows that stay, with all their columns."""
-    df = without(df, "__row", "__id", "__digest")
-    numbered = keep(df.withColumns({"__row": F.monotonically_increasing_id(), "__digest": digest(text)}))
-    dropped = _grouped(numbered.select("__row", F.col(id).alias("__id"), "__digest"), heavy).filter(~F.col("kept")).select("__row")
-    return numbered.join(dropped, "__row", "left_anti").drop("__row", "__digest")
+    row, key = fresh(df, "row", "digest")
+    numbered = keep(df.withColumns({row: F.monotonically_increasing_id(), key: digest(text)}))
+    keyed = numbered.select(F.col(row).alias("__row"), F.col(id).alias("__id"), F.col(key).alias("__digest"))
+    dropped = grouped(keyed, heavy).filter(~F.col("kept")).select(F.col("__row").alias(row))
+    return numbered.join(dropped, row, "left_anti").drop(row, key)

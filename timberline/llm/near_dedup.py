@@ -1,57 +1,63 @@
 """Near-duplicate documents by bottom-k sketches of their word shingles.
 
-One hash function orders all shingles; a document retains its k smallest hashes,
-with k = n - ceil(t n) + 1 for n shingles and similarity t. Two documents of
-similarity t or more then share at least one retained value, so the inverted
-lists of retained values miss no link. The lists give each pair its overlap;
-the similarity estimated from the union sketch, whose smallest k values are
-known of both, filters pairs (one in 10^9 links at the threshold would be lost);
-exact Jaccard on full sets verifies.
-
-Documents with equal sets are one class from the start. A list of at most
-``LIST`` documents gives its pairs; an overlap counted there may lack the values
-that both documents have in longer lists, and the filter allows for them.
-Documents with so many values in longer lists that these alone could make a link
-are sketched again under an order with rare shingles first, where a passage that many documents share falls out of
-the sketches and only groups of near copies still have long lists. Such a list
-ties its documents to one leader, the one with the fewest rare shingles. After
-verification only documents outside the leader's component are compared with
-the list's others. A verified link makes pairs inside its component needless, so
-a group of m near copies costs about m comparisons, and no link between
-components goes unseen.
+One hash function gives every shingle a value; a document's sketch retains its
+``SKETCH`` smallest values, or all if it has fewer. Of two documents of
+similarity t the smallest ``SKETCH`` values of both together, the union sketch,
+are known, and each is in both with probability t; so linked documents share at
+least ``least_shared`` retained values, but for one link in 10^9. Documents
+retained whole share exactly what their sizes ask for.
+
+Every retained value has an inverted list. A document's values are opened
+rarest first, by the length of the list: if two sketches of s values share c,
+they share one of the rarest s - c + 1 of either, so only these lists are
+followed and no link is lost. A passage that many documents share comes last
+and is opened only by documents that consist of little else. All lists, of any
+length, are followed in the same way. First each list ties its documents to one
+leader, the one with the smallest part of values of its own; the union-sketch
+estimate filters these pairs and exact Jaccard on full sets verifies them. A
+group of m near copies is so linked by about m comparisons. Then lists that
+still hold documents of several components give the pairs between components,
+in blocks of the list; they are estimated and verified as well. A list of m
+documents of which d match no leader costs up to d m estimates, spread over
+tasks.
+
+Lists are counted by a window that spills; values with more than about 1/512 of
+all rows are counted ahead and not shuffled, and joins send their most frequent
+keys by broadcasts of fixed size, so no list and no leader lands in one task.
 
 Defined cases: null or empty texts have no shingles and are linked with
 nothing; texts shorter than a shingle have one, their whole word sequence; rows
 with the same id are one document where they are linked; rows with a null id
 stay and have no component; an empty table gives an empty result; columns of
-the input named like the outputs are replaced.
+the input named like the outputs are replaced, other columns of any name stay
+in :func:`near_dedup`. Ids are whole numbers; others are refused by the cast to
+long.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from timberline.llm.bloom import anti, likely, semi
-from timberline.llm.common import in_worker, keep, text_of, without
+from timberline.llm.common import fresh, hot_join, in_worker, keep, text_of
 from timberline.llm.components import components
-from timberline.llm.exact_dedup import frequent
+from timberline.llm.exact_dedup import grouped
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: Documents of a list up to which it gives all its pairs.
-LIST = 64
-#: Retained values that are so frequent that they are not shuffled at all.
+#: Values that a sketch retains; one of so many links may be lost to its estimate.
+SKETCH, LOSS = 128, 10**9
+#: Values so frequent that they are not shuffled, at most.
 HOT = 512
-#: Comparisons with one document that a task makes in a row.
+#: Partners of one document that a task compares, and documents of one list that a task pairs with others.
 BLOCK = 500
-#: Document frequency up to which shingles are told apart, and values of a sketch by which a pair is met only once.
-OFTEN, ONCE = 4096, 64
 REMEMBERED = 400_000
 _TURN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -66,270 +72,260 @@ class Hashes(dict):
         return h
 
 
-def shingles(text: bytes, words: int, known: Hashes) -> np.ndarray:
-    """The distinct shingle hashes in ascending order."""
-    h = np.array(list(map(known.__getitem__, text.lower().split())), dtype=np.uint64)
-    if not len(h):
-        return h
-    w = min(words, len(h))
+def _windows(h: np.ndarray, w: int) -> np.ndarray:
+    """A hash of each w words in a row."""
     out = np.full(len(h) - w + 1, w, dtype=np.uint64)
     for i in range(w):
         out = out * _TURN + h[i : len(h) - w + 1 + i]
         out ^= out >> np.uint64(29)
     for m in (_MIX1, _MIX2):
         out = (out ^ (out >> np.uint64(33))) * m
-    return np.unique(out ^ (out >> np.uint64(33)))
-
-
-def sketch_size(n: Column, num: int, den: int) -> Column:
-    return n - F.ceil(n * num / F.lit(float(den)) - 1e-9) + 1
-
-
-def least_overlap(k: Column, num: int, den: int) -> Column:
-    """Retained values that linked documents share, but for about one link in 10^9."""
-    p = num / den
-    return F.greatest(F.lit(1), F.ceil(p * k - 8 * F.sqrt(p * (1 - p) * k)))
-
-
-def sketches(df: DataFrame, id: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """id, n, digest of the full set, the retained values."""
+    return out ^ (out >> np.uint64(33))
+
+
+def shingle_sets(texts: list[bytes], words: int, known: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in ascending order, all in a row, and where each text's begin (one more at the end)."""
+    tokens = [t.lower().split() for t in texts]
+    size = np.array([len(t) for t in tokens], dtype=np.int64)
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), np.uint64, int(size.sum()))
+    many = np.where(size >= words, size - words + 1, np.minimum(size, 1))
+    at, begin = np.cumsum(size) - size, np.concatenate([[0], np.cumsum(many)])
+    out = np.zeros(begin[-1], dtype=np.uint64)
+    if len(h) >= words:
+        all_windows = _windows(h, words)
+        inside = np.arange(len(all_windows)) + words <= np.repeat(np.cumsum(size), size)[: len(all_windows)]
+        out[np.repeat(size >= words, many)] = all_windows[inside]
+    for i in np.flatnonzero((size > 0) & (size < words)):
+        out[begin[i]] = _windows(h[at[i] : at[i] + size[i]], int(size[i]))[0]
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        out[a:b].sort()
+    new = np.ones(len(out), dtype=bool)
+    new[1:] = out[1:] != out[:-1]
+    new[begin[:-1][many > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[begin]
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two ascending arrays of distinct values share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def least_shared(k: int, num: int, den: int) -> int:
+    """Values of a union sketch of k that documents of similarity num/den share, but for one link in ``LOSS``."""
+    below, all_ways = 0, den**k
+    for c in range(k + 1):
+        below += comb(k, c) * num**c * (den - num) ** (k - c)
+        if below * LOSS > all_ways:
+            return c
+    return k
+
+
+def estimate_passes(a: np.ndarray, na: int, b: np.ndarray, nb: int, num: int, den: int, least: int) -> bool:
+    """Whether the similarity that the union sketch of both gives may be that of a link."""
+    if na <= len(a) and nb <= len(b):  # both retained whole
+        both = shared(a, b)
+        return den * both >= num * (na + nb - both)
+    union = np.union1d(a, b)[:SKETCH]
+    last = union[-1]
+    return shared(a[: np.searchsorted(a, last, side="right")], b[: np.searchsorted(b, last, side="right")]) >= least
+
+
+def sketches(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
+    """id, n, digest of the full set, the retained values in ascending order (unsigned, as longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = in_worker("hashes", Hashes)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                part, ns, digests, kept, at = b.slice(lo, 500), [], [], [], [0]
-                for t in part.column(1).to_pylist():
-                    s = shingles(t, words, known)
-                    n = len(s)
-                    ns.append(n)
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    kept.append(s[: n + (-num * n) // den + 1 if n else 0])
-                    at.append(at[-1] + len(kept[-1]))
-                values = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(kept).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), values], ["id", "n", "digest", "sketch"])
+                part = b.slice(lo, 500)
+                values, begin = shingle_sets(part.column(1).to_pylist(), words, known)
+                n = np.diff(begin)
+                digests = [hashlib.blake2b(values[x:y].tobytes(), digest_size=16).digest() for x, y in zip(begin[:-1], begin[1:])]
+                first = np.arange(len(values)) - np.repeat(begin[:-1], n) < SKETCH
+                at = np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))])
+                kept = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values[first].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), kept], ["id", "n", "digest", "sketch"])
 
     return df.select(F.col(id).cast("long").alias("id"), text_of(text).cast("binary").alias("t")).mapInArrow(run, "id long, n long, digest binary, sketch array<long>")
 
 
-def _pairs_of_lists(num: int, den: int):
-    """For rows (value, n, id) sorted so: pairs of each list of at most LIST rows; and (id, null) for each row of a list, longer ones marked by nb = 1."""
+def _hot_values(drawn: DataFrame, hot: int) -> list[tuple[int, int]]:
+    """At most ``hot`` retained values and about how often each occurs: every value with over 2/hot of all rows is among them (Misra-Gries)."""
+    counters = 4 * hot
 
-    def emit(v: np.ndarray, n: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, int)
-        run = np.diff(np.append(start, len(v)))
-        m = np.repeat(run, run)
-        shared = np.flatnonzero(m > 1)
-        if len(shared):
-            yield _rows(i[shared], None, n[shared], (m[shared] > LIST).astype(np.int64))
-        few = np.flatnonzero((m > 1) & (m <= LIST))
-        v, n, i = v[few], n[few], i[few]
-        for step in range(1, int(run[run <= LIST].max(initial=1))):
-            at = np.flatnonzero((v[step:] == v[:-step]) & (den * n[:-step] >= num * n[step:]))
-            if len(at):
-                yield _rows(i[at], i[at + step], n[at], n[at + step])
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                new, often = np.unique(b.column(0).slice(lo, 2000).flatten().to_numpy(), return_counts=True)
+                some = often > 1  # one occurrence in so many values is no sign of a frequent one
+                v, at = np.unique(np.concatenate([v, new[some]]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, often[some]]), len(v)).astype(np.int64)
+                if len(v) > counters:
+                    n = n - np.partition(n, len(n) - counters - 1)[len(n) - counters - 1]
+                    v, n = v[n > 0], n[n > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], ["v", "df"])
+
+    found = drawn.select("sketch").mapInArrow(summarise, "v long, df long").groupBy("v").agg(F.sum("df").alias("df"))
+    return [(r[0], r[1]) for r in found.orderBy(F.desc("df"), "v").limit(hot).collect()]
+
+
+def _size_ok(na: Column, nb: Column, num: int, den: int) -> Column:
+    return (den * na >= num * nb) & (den * nb >= num * na)
+
+
+def _lists(drawn: DataFrame, reps: DataFrame, num: int, den: int, hot: int) -> DataFrame:
+    """v, df (length of its list), id, n, place (by rarity), rare (part of values of its own): the rows of the lists to be followed."""
+    common = drawn.sparkSession.createDataFrame(_hot_values(drawn, hot), "v long, df long")  # at most `hot` rows
+    values = reps.select("row", "id", "n", F.explode("sketch").alias("v"))
+    rest = values.join(F.broadcast(common.select("v")), "v", "left_anti")
+    rest = rest.withColumn("df", F.count("*").over(Window.partitionBy("v"))).filter("df > 1")
+    counted = rest.unionByName(values.join(F.broadcast(common), "v"))
+    least = least_shared(SKETCH, num, den)
+    whole = F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9)
+    s = F.least("n", F.lit(SKETCH))
+    # Documents so small that every partner is retained whole share what their size asks for.
+    asked = F.when(F.col("n") * den <= num * SKETCH, whole).when(F.col("n") <= SKETCH, F.least(whole, F.lit(least))).otherwise(least)
+    of = Window.partitionBy("row")
+    own = s - F.count("*").over(of)
+    place = own + F.row_number().over(of.orderBy("df", "v"))
+    ranked = counted.withColumns({"rare": own / s, "place": place}).filter(F.col("place") <= s - asked + 1)
+    return ranked.select("v", "df", "id", "n", F.col("place").cast("int").alias("place"), "rare")
+
+
+def _compared(pairs: DataFrame, data: DataFrame, step: int, decide) -> DataFrame:
+    """The pairs(a, b, block) that ``decide`` lets pass; data(id, more columns).
+
+    A document ``a`` goes once to each block of its partners, so one of many
+    partners takes many tasks. ``decide`` makes of a batch of data what it
+    compares: prepare(columns) -> list, same(x, y) -> bool. Where several rows
+    of data have one id, one that passes is enough.
+    """
+    prepare, same = decide
+    columns = [c for c in data.columns if c != "id"]
+    ours = pairs.select(F.col("a").alias("id"), "a", "block", F.lit(None).cast("long").alias("b")).distinct()
+    theirs = pairs.select(F.col("b").alias("id"), "a", "block", "b")
+    roles = keep(ours.unionByName(theirs))
+    rows = likely(data, roles).join(roles, "id").select("a", "block", "b", *columns)
+    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        for b in batches:
-            cols = [np.concatenate([h, b.column(k).to_numpy()]) for k, h in enumerate(held)]
-            v = cols[0]
-            last = int(np.searchsorted(v, v[-1])) if len(v) else 0  # the last list may go on
-            if len(v) - last > LIST + 1:  # a long list gives no pairs, so its rows go by as they come
-                extra = len(v) - last - LIST - 1
-                yield _rows(cols[2][last : last + extra], None, cols[1][last : last + extra], np.ones(extra, np.int64))
-                cols = [np.concatenate([c[:last], c[last + extra :]]) for c in cols]
-            yield from emit(*(c[:last] for c in cols))
-            held = [c[last:] for c in cols]
-        yield from emit(*held)
+        own: list = []
+        of = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                made, found = prepare([part.column(c) for c in columns]), []
+                for a, block, b, x in zip(part.column("a").to_pylist(), part.column("block").to_pylist(), part.column("b").to_pylist(), made):
+                    if of != (a, block):
+                        of, own = (a, block), []
+                    if b is None:
+                        own.append(x)
+                    elif any(same(y, x) for y in own):
+                        found.append((a, block, b))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["a", "block", "b"])
 
-    return run
+    return rows.mapInArrow(run, "a long, block int, b long").distinct()
 
 
-def _rows(a: np.ndarray, b: np.ndarray | None, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
-    second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
-    return pa.RecordBatch.from_arrays([pa.array(a), second, pa.array(na), pa.array(nb)], ["a", "b", "na", "nb"])
+def estimated(pairs: DataFrame, drawn: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that the union sketch lets pass."""
+    least = least_shared(SKETCH, num, den)
 
+    def prepare(columns: list[pa.Array]) -> list:
+        n, lists = columns[0].to_pylist(), columns[1]
+        flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        return [(flat[x:y], m) for x, y, m in zip(at[:-1], at[1:], n)]
 
-def _lists_to_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows(v, n, id) -> a, b, na, nb as _pairs_of_lists gives them."""
-    dealt = rows.select("v", "n", "id").repartition("v").sortWithinPartitions("v", "n", "id")
-    return dealt.mapInArrow(_pairs_of_lists(num, den), "a long, b long, na long, nb long")
+    same = lambda x, y: estimate_passes(*x, *y, num, den, least)
+    return _compared(pairs, drawn.select("id", "n", "sketch"), 500, (prepare, same))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs(a, b) whose full sets have the similarity; texts(id, t).
+    """The pairs whose full sets have the similarity; texts(id, t)."""
 
-    The text of ``a`` goes once to each block of its partners, so a leader of many partners takes many tasks.
-    """
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    none = F.lit(None).cast("long")
-    ours = blocks.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), none.alias("b"))
-    theirs = pairs.join(blocks, "a").select(F.col("b").alias("id"), "a", F.pmod(F.hash("b"), F.col("blocks")).alias("block"), "b")
-    roles = keep(ours.unionByName(theirs))
-    rows = likely(texts, roles).join(roles, "id").select("a", "block", "b", "t")
-    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    def prepare(columns: list[pa.Array]) -> list:
+        values, at = shingle_sets(columns[0].to_pylist(), words, in_worker("hashes", Hashes))
+        return [values[x:y] for x, y in zip(at[:-1], at[1:])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = in_worker("hashes", Hashes), np.zeros(0, np.uint64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part, found = batch.slice(lo, 200).to_pydict(), []
-                for a, b, t in zip(part["a"], part["b"], part["t"]):
-                    s = shingles(t, words, known)
-                    if b is None:
-                        own = s
-                    else:
-                        both = len(np.intersect1d(own, s, assume_unique=True))
-                        if both and den * both >= num * (len(own) + len(s) - both):
-                            found.append((a, b))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def same(x: np.ndarray, y: np.ndarray) -> bool:
+        both = shared(x, y)
+        return both > 0 and den * both >= num * (len(x) + len(y) - both)
 
-    return rows.select("a", "b", "t").mapInArrow(run, "a long, b long")
+    return _compared(pairs, texts, 200, (prepare, same))
 
 
-def _rare_first(texts: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Sketches of these texts under the order of document frequency: id, n, rare (shingles of no other text), place and v, for the retained v that are shared; sizes(id, n).
+def _between(listed: DataFrame, leads: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, block: pairs of documents of one list and different components; ``found`` gives components.
 
-    Frequencies count up to ``OFTEN``. Shingles of one text are only counted on.
-    Half of each hash is enough here: one order for all texts is all that counts,
-    and a collision only adds a candidate.
+    The leader's component meets the others, and they meet each other. In the
+    first list that two documents share, their places bound what they share.
     """
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = in_worker("hashes", Hashes)
-        for b in batches:
-            for lo in range(0, b.num_rows, 50):
-                part = b.slice(lo, 50)
-                sets = [shingles(t, words, known) for t in part.column(1).to_pylist()]
-                n = np.array([len(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array((np.concatenate(sets) >> np.uint64(32)).astype(np.int64))], ["id", "v"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, going, last_value = [np.zeros(0, np.int64)] * 2, False, None  # going: rows of this value have left with OFTEN
-
-        def emit(v: np.ndarray, i: np.ndarray, first_often: bool) -> Iterator[pa.RecordBatch]:
-            if not len(v):
-                return
-            start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            run = np.diff(np.append(start, len(v)))
-            run_df = np.minimum(run, OFTEN)
-            if first_often:
-                run_df[0] = OFTEN
-            df = np.repeat(run_df, run)
-            alone, n = np.unique(i[df == 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64()), pa.array(n)], ["id", "v", "df"])
-            some = df > 1
-            yield pa.RecordBatch.from_arrays([pa.array(i[some]), pa.array(v[some]), pa.array(df[some])], ["id", "v", "df"])
-
-        for b in batches:
-            v, i = (np.concatenate([h, b.column(k).to_numpy()]) for k, h in enumerate(held))
-            last = int(np.searchsorted(v, v[-1])) if len(v) else 0
-            going = going and len(v) > 0 and v[0] == last_value
-            if last:
-                yield from emit(v[:last], i[:last], going)
-                going = False
-            if len(v) - last >= OFTEN:  # frequent enough, whatever follows
-                yield from emit(v[last:], i[last:], True)
-                going, last_value, held = True, v[-1], [v[:0], i[:0]]
-            else:
-                held = [v[last:], i[last:]]
-        yield from emit(*held, going)
-
-    rows = texts.select("id", "t").mapInArrow(explode, "id long, v long").select("v", "id").repartition("v").sortWithinPartitions("v")
-    counted = rows.mapInArrow(count, "id long, v long, df long")
-    of = Window.partitionBy("id")
-    marks = F.count(F.when(F.col("v").isNull(), 1)).over(of)
-    rare = F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("df"))).over(of), F.lit(0))
-    place = F.row_number().over(of.orderBy(F.col("v").isNotNull(), "df", "v"))
-    ranked = counted.withColumns({"rare": rare, "place": place - marks + rare}).filter("v is not null").join(sizes, "id")
-    return ranked.filter(F.col("place") <= sketch_size(F.col("n"), num, den)).select("id", "n", "rare", "place", "v")
-
-
-def _can_link(na: str, ra: str, nb: str, rb: str, num: int, den: int) -> Column:
-    """Whether the sizes, without shingles that no other text has, leave room for the similarity."""
-    most = F.least(F.col(na) - F.col(ra), F.col(nb) - F.col(rb))
-    return den * most >= num * (F.col(na) + F.col(nb) - most)
-
-
-def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    at = lambda rows, col, to: hot_join(rows, found.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
+    placed = keep(at(listed, "id", "at"))
+    several = placed.groupBy("v").agg(F.min("at").alias("one"), F.max("at").alias("other")).filter("one <> other").select("v")
+    several = keep(at(leads.join(several, "v").select("v", F.col("lead.id").alias("lead")), "lead", "lead_at").select("v", "lead_at"))
+    blocks = F.ceil(F.col("df") / F.lit(float(BLOCK))).cast("int")
+    mixed = keep(hot_join(placed, several, "v", hot=HOT).withColumn("block", F.pmod(F.hash("id"), blocks)))
+    probe = mixed.filter("at <> lead_at").select("v", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("at").alias("a_at"))
+    s = lambda n: F.least(F.col(n), F.lit(SKETCH))
+    both = F.col("n") + F.col("na")
+    whole = (F.col("n") <= SKETCH) & (F.col("na") <= SKETCH)
+    asked = F.when(whole, F.ceil(both * num / F.lit(float(num + den)) - 1e-9)).otherwise(least_shared(SKETCH, num, den))
+    room = 1 + F.least(s("n") - F.col("place"), s("na") - F.col("pa")) >= asked
+    once = (F.col("at") == F.col("lead_at")) | (F.col("id") < F.col("a"))
+    pairs = mixed.join(probe, ["v", "block"]).filter((F.col("at") != F.col("a_at")) & once & _size_ok(F.col("n"), F.col("na"), num, den) & room)
+    return pairs.groupBy("a", F.col("id").alias("b")).agg(F.min("block").alias("block"))
+
+
+def _texts(texts: DataFrame, linkable: DataFrame) -> DataFrame:
+    """texts(id, t) without repeated rows."""
+    again = keep(linkable.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"))
+    if again.isEmpty():
+        return texts
+    one = semi(texts, again).withColumn("h", F.xxhash64("t")).groupBy("id", "h").agg(F.first("t").alias("t"))
+    return anti(texts, again, "id").unionByName(one.select("id", "t"))
+
+
+def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, hot: int = HOT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links), kept."""
-    drawn = keep(sketches(df, id, text, words, num, den).withColumn("row", F.monotonically_increasing_id()))
+    drawn = keep(sketches(df, id, text, words).withColumn("row", F.monotonically_increasing_id()))
     linkable = drawn.filter("n > 0 and id is not null")
-    classes = linkable.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("lead"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "lead")
-    copies = keep(linkable.select("id", "digest", "row").join(classes, "digest").filter("row <> lead.row").select("id", "digest", "row", F.col("lead.id").alias("rep")))
-    members = copies.filter("id <> rep").select("id", "digest", "rep").distinct()  # a repeated row is one member
-    reps = anti(linkable, copies, "row").select("id", "n", "sketch")
-
-    # Inverted lists of retained values.
-    values = reps.select("id", "n", F.explode("sketch").alias("v"))
-    hot = frequent(values.select(F.expr("cast(v as string)").cast("binary").alias("v")), "v", HOT)
-    hot = df.sparkSession.createDataFrame([(int(bytes(r[0])),) for r in hot.collect()], "v long")  # at most HOT rows
-    often = values.join(F.broadcast(hot), "v")
-    hot = df.sparkSession.createDataFrame([(r[0],) for r in often.groupBy("v").count().filter(F.col("count") > LIST).collect()], "v long")
-    lists = keep(_lists_to_pairs(values.join(F.broadcast(hot), "v", "left_anti"), num, den))
-    marks = lists.filter("b is null").select(F.col("a").alias("id"), F.col("na").alias("n"), F.col("nb").alias("long"))
-    marks = marks.unionByName(values.join(F.broadcast(hot), "v").select("id", "n", F.lit(1).cast("long").alias("long")))
-    smallest = F.floor(sketch_size(F.col("n"), num, den) * num / den) - 1
-    marked = keep(marks.groupBy("id", "n").agg(F.sum("long").alias("long")).filter("long > 0"))
-    again = keep(marked.filter(F.col("long") >= least_overlap(F.greatest(F.lit(0), smallest), num, den)).select("id", "n"))
-
-    # Overlaps, and the estimate from the union sketch. Long lists give no pairs; an overlap may
-    # lack as many values as both documents have in long lists. Pairs within ``again`` are met there.
-    known = F.least(sketch_size(F.col("na"), num, den), sketch_size(F.col("nb"), num, den))
-    counted = lists.filter("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
-    counted = keep(counted.select("a", "b", "overlap", known.alias("known"), least_overlap(known, num, den).alias("least")))
-    pairs = counted.filter("overlap >= least")
-    less = likely(likely(counted.filter("overlap < least"), marked.select("id"), "a", "id"), marked.select("id"), "b", "id")
-    for side in "ab":
-        flag = again.select(F.col("id").alias(side), F.lit(True).alias(f"again_{side}"))
-        less = less.join(marked.select(F.col("id").alias(side), F.col("long").alias(f"long_{side}")), side).join(flag, side, "left")
-    less = less.filter((F.col("overlap") + F.least("long_a", "long_b") >= F.col("least")) & (F.col("again_a").isNull() | F.col("again_b").isNull()))
-    pairs = keep(pairs.unionByName(less.select(*pairs.columns)).select("a", "b", (F.col("overlap") / F.col("known")).alias("likely")))
-
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(again.select("id")).distinct()
-    texts = keep(semi(df.select(F.col(id).cast("long").alias("id"), text_of(text).cast("binary").alias("t")), keep(ids)))
-    rare = keep(_rare_first(semi(texts, again), again, words, num, den))
-    sizes = rare.groupBy("v").agg(F.count("*").alias("many"), F.min(F.struct((F.col("rare") / F.col("n")).alias("part"), "id", "n", "rare")).alias("lead"))
-    long = rare.join(sizes.filter(F.col("many") > LIST), "v")
-    listed = keep(long.select("v", "id", "n", "rare", "place", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.rare").alias("lead_rare")))
-    short = rare.join(sizes.filter((F.col("many") > 1) & (F.col("many") <= LIST)).select("v"), "v", "left_semi")
-    more = _lists_to_pairs(short, num, den).filter("b is not null").select("a", "b").distinct()
-
-    # First each document's likeliest partner, and the leaders of long lists.
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "likely"))
-    first = both.groupBy("a").agg(F.max(F.struct("likely", "b")).alias("x")).select(F.least("a", "x.b").alias("b"), F.greatest("a", "x.b").alias("a"))
-    star = listed.filter((F.col("id") != F.col("lead")) & _can_link("n", "rare", "lead_n", "lead_rare", num, den)).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    tried = keep(first.select("a", "b").union(star).distinct())
-    links = keep(verified(tried, texts, words, num, den))
-    found = keep(components(links))
-
-    # Then what is left between components.
-    of = lambda rows, col, to: rows.join(found.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
-    placed = keep(of(of(listed, "id", "at"), "lead", "lead_at"))
-    probe = placed.filter("id <> lead and at <> lead_at")
-    mixed = keep(placed.filter("id <> lead").join(probe.select("v").distinct(), "v", "left_semi"))
-    met = placed.join(mixed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "v"))), 1, ONCE).alias("met"))  # at most a sketch for each document
-    mixed = keep(mixed.join(met.select("id", F.col("met.v").alias("met")), "id"))
-    probe = mixed.filter("at <> lead_at").select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("place").alias("pb"), F.col("met").alias("mb"), F.col("at").alias("bt"))
-    # A pair counts in the first list that both are in; nothing before it is common, so the places bound the overlap.
-    first_met = F.array_intersect("met", "mb")
-    most = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
-    here = F.when(F.size(first_met) > 0, (F.element_at(first_met, 1) == F.col("v")) & (den * most >= num * (F.col("n") + F.col("nb") - most))).otherwise(_can_link("n", "rare", "nb", "rb", num, den))
-    rest = mixed.join(probe, "v").filter((F.col("at") != F.col("bt")) & ((F.col("at") == F.col("lead_at")) | (F.col("id") < F.col("b"))) & here)
-    rest = rest.select(F.col("id").alias("a"), "b").union(pairs.select("a", "b")).union(more).distinct()
-    rest = of(of(rest, "a", "at"), "b", "bt").filter("at <> bt").select("a", "b").join(tried, ["a", "b"], "left_anti")
-    links2 = verified(keep(rest), texts, words, num, den)
-    all_links = links2.union(found.select("node", "component"))
-    final = components(all_links)
-
-    out = drawn.join(members, ["id", "digest"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = out.join(final, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
+    # Documents with equal sets are one from the start.
+    equal = grouped(linkable.select(F.col("row").alias("__row"), F.col("id").alias("__id"), F.col("digest").alias("__digest")))
+    copies = keep(equal.filter("not kept").select(F.col("__row").alias("row"), F.col("keep_id").alias("rep")))
+    reps = anti(linkable, copies, "row")
+    listed = keep(_lists(linkable, reps, num, den, hot))
+    leads = keep(listed.groupBy("v").agg(F.count("*").alias("many"), F.min(F.struct("rare", "id", "n")).alias("lead")).filter("many > 1").select("v", "lead"))
+
+    # Each document of a list meets the leader.
+    star = hot_join(listed, leads, "v", hot=HOT).filter((F.col("id") != F.col("lead.id")) & _size_ok(F.col("n"), F.col("lead.n"), num, den))
+    block = F.pmod(F.hash("id"), F.ceil(F.col("df") / F.lit(float(BLOCK))).cast("int"))
+    tried = keep(star.groupBy(F.col("lead.id").alias("a"), F.col("id").alias("b")).agg(F.min(block).alias("block")))
+    texts = _texts(df.select(F.col(id).cast("long").alias("id"), text_of(text).cast("binary").alias("t")), linkable)
+    linked = lambda pairs: keep(verified(keep(estimated(pairs, reps, num, den)), texts, words, num, den))
+    found = components(linked(tried))
+
+    # Then documents of one list in different components.
+    sides = lambda rows: rows.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+    rest = keep(sides(_between(listed, leads, found, num, den)).join(sides(tried).select("lo", "hi"), ["lo", "hi"], "left_anti").select("a", "b", "block"))
+    if not rest.isEmpty():
+        found = components(linked(rest).select("a", "b").union(found.select("node", "component")))
+
+    out = drawn.join(copies, "row", "left").select("id", "n", F.coalesce("rep", "id").alias("node"))
+    out = hot_join(out, found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """The documents with the smallest id of each group, with all their columns."""
-    df = without(df, "__id").withColumn("__id", F.col(id).cast("long"))
-    gone = keep(near_groups(df, id, text, words, num, den).filter(~F.col("kept")).select(F.col(id).alias("__id")).distinct())
-    return anti(df, gone, "__id").drop("__id")
+    key = fresh(df, "id")
+    keyed = df.withColumn(key, F.col(id).cast("long"))
+    gone = keep(near_groups(df, id, text, words, num, den).filter(~F.col("kept")).select(F.col(id).cast("long").alias(key)).distinct())
+    return anti(keyed, gone, key).drop(key)

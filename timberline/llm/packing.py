@@ -220,7 +220,7 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None
     rest = cut.filter(F.col("length") < capacity)
     counts = {r[0]: r[1] for r in rest.groupBy("length").count().collect()}  # at most `capacity` rows
     slots = _slots(plan(counts, capacity))
-    numbered = running(rest.withColumn("one", F.lit(1).cast("long")), "length", ["row"], "one", "number")
+    numbered = running(rest.withColumn("one", F.lit(1).cast("long")), "length", ["row"], {"one": "number"})
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
