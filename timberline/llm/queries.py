@@ -84,7 +84,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Schedules of integrals 5, 2, 1: rising, falling, highest in the middle."""
+    return curriculum(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 OP10_SQL = r"""
@@ -92,21 +93,30 @@ WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), s AS (
-  SELECT *, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s0
+  SELECT *, CASE curve WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
+  FROM (SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS curve FROM s0)
 ), fill AS (
   SELECT 0 AS i, (SELECT sum(source_size) / sum(w) FROM s)::DOUBLE AS level
   UNION ALL
   SELECT i + 1, (SELECT (sum(source_size) - coalesce(sum(3.0 * source_size) FILTER (3.0 * source_size < w * level), 0)) / sum(w) FILTER (3.0 * source_size >= w * level) FROM s)::DOUBLE
   FROM fill WHERE i < 40
 ), t AS (
-  SELECT source, source_size, least(3.0 * source_size, w * (SELECT max(level) FROM fill))::DOUBLE AS target FROM s
+  SELECT source, curve, source_size, least(3.0 * source_size, w * (SELECT max(level) FROM fill))::DOUBLE AS target FROM s
 ), c AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, curve,
     (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS b,
     (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END)::BIGINT AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target, (k * size + greatest(0, least(size, round(target - k * source_size)::BIGINT - b)))::BIGINT AS taken FROM c
+, p AS (
+  SELECT *, (k * size + greatest(0, least(size, round(target - k * source_size)::BIGINT - b)))::BIGINT AS taken, least(1.0::DOUBLE, b::DOUBLE / target) AS u FROM c
+)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE curve
+  WHEN 0 THEN 10.0::DOUBLE * u / (2.5::DOUBLE + sqrt(6.25::DOUBLE + 50.0::DOUBLE * u))
+  WHEN 1 THEN 4.0::DOUBLE * u / (3.0::DOUBLE + sqrt(9.0::DOUBLE - 8.0::DOUBLE * u))
+  ELSE CASE WHEN u < 0.5 THEN 2.0::DOUBLE * u / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 4.0::DOUBLE * u))
+    ELSE 0.5::DOUBLE + 2.0::DOUBLE * (u - 0.5::DOUBLE) / (1.5::DOUBLE + sqrt(2.25::DOUBLE - 4.0::DOUBLE * (u - 0.5::DOUBLE))) END END, 9) END AS position
+FROM p
 """
 
 
