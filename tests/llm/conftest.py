@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that the operators use themselves, beside those of documents.
-CLASHES = ["id", "row", "n", "t", "v", "c", "size", "target", "score", "kept", "keep_id", "rep", "position", "component_id", "held_out", "label", "digest", "path"]
+CLASHES = ["id", "row", "n", "t", "v", "c", "size", "target", "score", "kept", "keep_id", "rep", "position", "component_id", "held_out", "label", "digest", "path", "__row", "__digest", "__id", "__copy", "__place", "__pass", "__again", "__maybe"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 

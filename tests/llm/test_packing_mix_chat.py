@@ -10,7 +10,7 @@ import pytest
 
 from timberline.llm import merkle
 from timberline.llm.chat import format_chats
-from timberline.llm.mixture import curriculum, mix
+from timberline.llm.mixture import curriculum, integral, mix, time_of
 from timberline.llm.packing import pack, plan, tokenizer_path
 
 
@@ -102,11 +102,82 @@ def test_schedules_move_sources_in_time(make):
     assert mean(True) < 0.4 < 0.6 < mean(False)
 
 
+@pytest.mark.parametrize("schedule", [2.0, [(0.2, 3.0), (0.6, 0.0), (0.6, 1.0), (0.9, 2.0)], [(0, 0.0), (1, 4.0)]])
+def test_time_inverts_the_integral(spark, schedule):
+    shares = np.linspace(0, 1, 201)
+    rows = spark.createDataFrame([(float(u),) for u in shares], "u double")
+    got = np.array([r[0] for r in rows.select(time_of(rows.u, schedule)).collect()])
+    grid = np.linspace(0, 1, 400_001)
+    knots = [(0.0, schedule)] if isinstance(schedule, float) else schedule
+    weight = np.interp(grid, *zip(*[(t + 1e-9 * i, w) for i, (t, w) in enumerate(knots)]))
+    area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)]) / 400_000
+    assert integral(schedule) == pytest.approx(area[-1], rel=1e-4)
+    assert np.allclose(np.interp(got, grid, area) / area[-1], shares, atol=1e-4) and (np.diff(got) >= 0).all()
+
+
+def test_mix_follows_the_schedules(make):
+    """At each tenth of the time every source has the words that its schedule asks for, also where it repeats."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(1, 9), f"s{0 if i % 12 == 0 else 1 + i % 3}") for i in range(6000)]
+    schedules = [[(0, 9.0), (1, 3.0)], [(0, 0.0), (1, 4.0)], 2.0]
+    df = make(rows)
+    plan = {r.doc_id: r for r in curriculum(df, schedules=schedules).collect()}
+    target = {s: next(plan[i].target for i, _, x in rows if x == s) for s in ("s0", "s1", "s2", "s3")}
+    got = [(r.source, len(r.text.split())) for r in mix(df, schedules=schedules).collect()]
+    curves = dict(zip(target, [schedules[0], schedules[1], schedules[2], schedules[0]]))
+    passes = {s: next(plan[i].passes for i, _, x in rows if x == s) for s in target}
+    assert passes["s0"] == 3
+    share = lambda s, t: np.trapezoid(np.interp(np.linspace(0, t, 1001), *zip(*(curves[s] if isinstance(curves[s], list) else [(0, curves[s])]))), dx=t / 1000) / integral(curves[s])
+    total, seen, at = sum(target.values()), Counter(), 0
+    for t in np.linspace(0.1, 1, 10):
+        upto = sum(target[s] * share(s, t) for s in target)
+        while at < len(got) and sum(seen.values()) < upto:
+            seen[got[at][0]] += got[at][1]
+            at += 1
+        for s in target:
+            assert seen[s] == pytest.approx(target[s] * share(s, t), abs=0.01 * total)
+
+
 def test_mix_keeps_columns(make, odd):
     df = make([(*r, "s") if len(r) == 2 else r for r in odd])
     got = mix(df)
     assert got.columns == df.columns and {r.text for r in got.collect()} <= {r[1] for r in odd}
     assert mix(make([])).count() == 0
+    unique = make([(i, "a b c", "s") for i in range(9)])
+    assert mix(unique).columns == unique.columns and mix(unique).count() == 9
+
+
+def plain_likeness(a: str, b: str) -> float:
+    """Over all leaves, without the walk down the branches."""
+    if a.split("/")[0] == b.split("/")[0]:
+        return 1.0
+    x, y = merkle.leaves_of(a), merkle.leaves_of(b)
+    return 2 * (x & y).total() / (x.total() + y.total())
+
+
+def test_likeness_is_that_of_all_leaves():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdé漢 \n") for _ in range(rng.randint(1, 9)))
+    texts = ["".join(word() + rng.choice(["\n", " ", " "]) for _ in range(n)) for n in (0, 1, 2, 5, 30, 300, 3000) for _ in range(3)]
+    texts += [t[: len(t) // 3] + "!" + t[len(t) // 3 :] for t in texts] + ["x" * 5000, "x" * 4999, "\n" * 40]
+    trees = [merkle.tree(t.encode()) for t in texts]
+    for a in trees:
+        for b in trees:
+            assert merkle.likeness(a, b) == pytest.approx(plain_likeness(a.mark, b.mark), abs=1e-12)
+    assert all(merkle.likeness(a, b) > 0.9 for a, b in zip(trees[15:21], trees[36:42]))
+
+
+def test_one_rule_for_short_texts():
+    text = b"the quick brown fox jumps over the lazy dog and runs far away!!"
+    near = lambda a, b: merkle.likeness(merkle.tree(a), merkle.tree(b))
+    assert len(text) == 63 and near(text, text + b"ab") > 0.7 and near(text, b"z" + text) > 0.7
+
+
+def test_lines_cut_in_groups_have_the_same_tree(monkeypatch):
+    text = "\n".join(f"line {i} of {i * i} words" for i in range(500)).encode()
+    whole = merkle.tree(text).mark
+    monkeypatch.setattr(merkle, "TOGETHER", 100)
+    assert merkle.tree(text).mark == whole
 
 
 def test_fingerprints(make, odd):
@@ -121,7 +192,8 @@ def test_fingerprints(make, odd):
         change = len(t) // 4
         edited = t[: len(t) - change] + after[:change]
         assert any(r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t) and r.fingerprint == merkle.fingerprint(t) and r.edited_fingerprint == merkle.fingerprint(edited) for r in by[i])
-        assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in by[i])
+        want = plain_likeness(merkle.fingerprint(t), merkle.fingerprint(edited)), plain_likeness(merkle.fingerprint(t), merkle.fingerprint(after))
+        assert any((r.near_edited, r.near_next) == pytest.approx(want, abs=1e-12) for r in by[i])
     alone = merkle.against_edit(make([(1, "just one text")])).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0
     assert merkle.against_edit(make([])).count() == 0
@@ -131,10 +203,10 @@ def test_fingerprints(make, odd):
 def test_fingerprints_locate_edits():
     lines = [f"line {i} has its own words {i * i} and more" for i in range(60)]
     a = merkle.fingerprint("\n".join(lines))
-    lines[17] = "something else"
+    old, lines[17] = merkle.tree("\n".join(lines).encode()), "something else"
     b = merkle.fingerprint("\n".join(lines))
     assert merkle.edited_paragraphs(b, a) == [17] and merkle.edited_paragraphs(a, a) == []
-    assert 0.9 < merkle.likeness(merkle.leaves_of(a), merkle.leaves_of(b)) < 1
+    assert 0.9 < merkle.likeness(old, merkle.tree("\n".join(lines).encode())) < 1
 
 
 def test_chats(spark):

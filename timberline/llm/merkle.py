@@ -1,30 +1,35 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and runs of words.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and leaves.
 
 A line is a paragraph. A section ends with a blank line or a paragraph whose
-digest says so, and a leaf, a run of words of a paragraph, with a word whose
-hash says so; an insertion therefore moves no later boundary. In texts of under
-``TINY`` bytes a leaf has ``TINY_LEAF`` bytes. The digest of a
-paragraph is that of its leaves' digests, and so up to the root. A fingerprint
-is text: the root, then the sections with their digests and, for each of their
-paragraphs, the labels of its leaves. Equal texts have equal roots and
-fingerprints; comparing downwards from differing digests locates edits.
+digest says so, and a leaf, about ``LEAF`` bytes, where the last ``SEEN`` bytes
+say so or after ``LEAF_MOST`` bytes; so an insertion moves no boundary beyond
+the next one. One rule holds for texts of any length, with or without spaces.
+The digest of a paragraph is that of its leaves' digests, and so up to the
+root. A fingerprint is text: the root, then the sections with their digests
+and, for each of their paragraphs, the labels of its leaves. Equal texts have
+equal roots and fingerprints; comparing downwards from differing digests
+locates edits.
 
 Likeness is 2 * common / (a + b) over the leaves' labels as multisets; 1 for
-equal texts.
+equal roots. Equal sections count whole, and only leaves below differing ones
+are compared. A text of a few characters has one or two leaves, so its likeness
+is coarse.
 
 Defined cases: a null text is an empty text with a fingerprint of its own; long
-texts are read whole; null ids stand first in the order of ids, and rows with
-the same id in the order of a hash of their text; the only row of a table is
-its own next; an empty table gives an empty result; other columns are not read.
+texts are read whole, a group of lines at a time; null ids stand first in the
+order of ids, and rows with the same id in the order of a hash of their text;
+the only row of a table is its own next; an empty table gives an empty result;
+other columns are not read. Ids are whole numbers; others are refused by the
+cast to long.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,65 +37,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import in_worker, text_of
+from timberline.llm.common import text_of
 
-#: Mean words of a leaf and most words of one; mean paragraphs of a section.
-LEAF_WORDS, LEAF_MOST, SECTION = 4, 32, 8
-TINY, TINY_LEAF = 64, 3
+#: Mean and most bytes of a leaf, bytes that decide about its end, mean paragraphs of a section.
+LEAF, LEAF_MOST, SEEN, SECTION = 12, 64, 4, 8
 LABEL = 3  # bytes of a leaf's digest that its label has
-REMEMBERED = 400_000
+#: Bytes of lines that are cut at once, if no line is longer.
+TOGETHER = 1 << 20
+_TURN, _ONE, _TWO, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xFF51AFD7ED558CCD))
+_POWERS = tuple(m ** np.arange(LEAF_MOST, dtype=np.uint64) for m in (_ONE, _TWO))
 
 
-class Ends(dict):
-    """Word -> whether a leaf ends with it."""
-
-    def __missing__(self, word: bytes) -> bool:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        end = self[word] = zlib.crc32(word) % LEAF_WORDS == 0
-        return end
+def _mix(h: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
 
 
 def _hash(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def paragraph(line: bytes, ends: Ends, tiny: bool = False) -> tuple[bytes, list[bytes]]:
-    """Digest, and the labels of the leaves."""
-    if tiny:
-        leaves = [_hash(line[i : i + TINY_LEAF]) for i in range(0, max(1, len(line)), TINY_LEAF)]
-        return _hash(b"".join(leaves)), [x[:LABEL] for x in leaves]
-    words = line.split(b" ")
-    cuts = [i + 1 for i, end in enumerate(map(ends.__getitem__, words)) if end]
-    leaves, begin = [], 0
-    for cut in (*cuts, len(words)):
-        while begin < cut:
-            stop = min(cut, begin + LEAF_MOST)
-            leaves.append(_hash(b" ".join(words[begin:stop])))
-            begin = stop
-    return _hash(b"".join(leaves)), [x[:LABEL] for x in leaves]
-
-
-def tree(text: bytes, ends: Ends, known: dict) -> tuple[str, Counter]:
-    """The fingerprint, and its leaves' labels. known: paragraphs by line, to be used again."""
-    sections, digests, labels, leaves = [], [], [], Counter()
-    lines, tiny = text.split(b"\n"), len(text) < TINY
-    for i, line in enumerate(lines):
-        got = known.get((line, tiny))
-        if got is None:
-            got = known[line, tiny] = paragraph(line, ends, tiny)
-        digests.append(got[0])
-        labels.append(base64.urlsafe_b64encode(b"".join(got[1])).decode())
-        leaves.update(got[1])
-        if not line or got[0][0] % SECTION == 0 or i + 1 == len(lines):
-            sections.append((_hash(b"".join(digests)), ",".join(labels)))
-            digests, labels = [], []
+def _leaves(lines: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Digests, two numbers each, of the leaves of lines that all end with a line feed, and where each line's leaves begin (one more at the end)."""
+    own = np.frombuffer(lines, np.uint8)
+    end = own == 10
+    x = own.astype(np.uint64) + np.uint64(1)
+    ends = end.copy()
+    if len(x) > SEEN:
+        h, fresh_line = x[: len(x) - SEEN + 1], end[: len(x) - SEEN + 1].copy()
+        for k in range(1, SEEN):
+            h = h * _TURN + x[k : len(x) - SEEN + 1 + k]
+            if k < SEEN - 1:
+                fresh_line |= end[k : len(x) - SEEN + 1 + k]
+        ends[SEEN - 1 :] |= (_mix(h) % np.uint64(LEAF) == 0) & ~fresh_line
+        ends[:-1] &= ~end[1:] | end[:-1]  # no leaf of a line feed alone, but that of an empty line
+    stop = np.flatnonzero(ends) + 1
+    start = np.concatenate([[0], stop[:-1]])
+    parts = -(-(stop - start) // LEAF_MOST)
+    if parts.max() > 1:
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(start, parts) + LEAF_MOST * nth
+        stop = np.append(start[1:], len(x))
+    place = np.arange(len(x)) - np.repeat(start, stop - start)
+    digests = np.stack([_mix(np.add.reduceat(x * p[place], start)) for p in _POWERS], axis=1)
+    line_starts = np.concatenate([[0], np.flatnonzero(end) + 1])
+    return digests, np.searchsorted(start, line_starts)
+
+
+@dataclass
+class Tree:
+    """Root, sections as (digest, paragraphs' labels), and the fingerprint."""
+
+    root: bytes
+    sections: list[tuple[bytes, list[bytes]]]
+    mark: str
+
+
+def tree(text: bytes) -> Tree:
+    sections, digests, labels = [], [], []
+    lines = text.split(b"\n")
+    at = 0
+    while at < len(lines):
+        upto, size = at, 0
+        while upto < len(lines) and (upto == at or size + len(lines[upto]) < TOGETHER):
+            size += len(lines[upto]) + 1
+            upto += 1
+        leaves, begin = _leaves(b"\n".join(lines[at:upto]) + b"\n")
+        raw, short = leaves.tobytes(), np.ascontiguousarray(leaves[:, :1]).view(np.uint8)[:, :LABEL].tobytes()
+        for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
+            digests.append(_hash(raw[16 * a : 16 * b]))
+            labels.append(short[LABEL * a : LABEL * b])
+            if not lines[at + i] or digests[-1][0] % SECTION == 0 or at + i + 1 == len(lines):
+                sections.append((_hash(b"".join(digests)), labels))
+                digests, labels = [], []
+        at = upto
     root = _hash(b"".join(d for d, _ in sections))
-    return root.hex() + "".join(f"/{d[:6].hex()}:{x}" for d, x in sections), leaves
+    encode = lambda x: base64.urlsafe_b64encode(x).decode()
+    mark = root.hex() + "".join(f"/{d[:6].hex()}:{','.join(map(encode, x))}" for d, x in sections)
+    return Tree(root, sections, mark)
+
+
+def likeness(a: Tree, b: Tree) -> float:
+    """Of two fingerprints' trees."""
+    if a.root == b.root:
+        return 1.0
+    same = Counter(d for d, _ in a.sections) & Counter(d for d, _ in b.sections)
+    common, rest = 0, []
+    for t in (a, b):
+        left, below = Counter(same), []
+        for d, labels in t.sections:
+            if left[d]:
+                left[d] -= 1
+                common += sum(map(len, labels))
+            else:
+                below += labels
+        raw = np.frombuffer(b"".join(below), np.uint8).reshape(-1, LABEL).astype(np.int32)
+        rest.append(np.unique(raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, return_counts=True))
+    _, i, j = np.intersect1d(rest[0][0], rest[1][0], assume_unique=True, return_indices=True)
+    both = common // LABEL + 2 * int(np.minimum(rest[0][1][i], rest[1][1][j]).sum())
+    return both / sum(sum(len(x) for _, labels in t.sections for x in labels) // LABEL for t in (a, b))
 
 
 def fingerprint(text: str | None) -> str:
-    return tree((text or "").encode(), Ends(), {})[0]
+    return tree((text or "").encode()).mark
 
 
 def leaves_of(mark: str) -> Counter:
@@ -103,13 +153,6 @@ def leaves_of(mark: str) -> Counter:
     return found
 
 
-def likeness(a: Counter, b: Counter) -> float:
-    if len(a) > len(b):
-        a, b = b, a
-    common = sum(min(n, b[k]) for k, n in a.items() if k in b)
-    return 2 * common / (sum(a.values()) + sum(b.values()))
-
-
 def edited_paragraphs(a: str, b: str) -> list[int]:
     """Numbers of the paragraphs of ``a`` whose branch has no equal in ``b``; nothing below an equal root or section is read."""
     if a.split("/", 1)[0] == b.split("/", 1)[0]:
@@ -131,8 +174,7 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
 
     @F.pandas_udf("string")
     def mark(texts: pd.Series) -> pd.Series:
-        ends = in_worker("merkle", Ends)
-        return texts.map(lambda t: tree(t.encode(), ends, {})[0])
+        return texts.map(fingerprint)
 
     return df.select(F.col(id), mark(text_of(text)).alias("fingerprint"))
 
@@ -176,7 +218,7 @@ def against_edit(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, last = in_worker("merkle", Ends), None
+        last = None
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
                 part, out = batch.slice(lo, 100).to_pydict(), []
@@ -185,14 +227,13 @@ def against_edit(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
                         last = None
                     if peek and last is None:
                         continue
-                    known: dict = {}
-                    own = (place, key, text, *tree(text.encode(), ends, known), known)
+                    own = (place, key, text, tree(text.encode()))
                     if last is not None:
-                        _, k, t, mark, leaves, seen = last
+                        _, k, t, first = last
                         change = len(t) // 4
                         edited = (t[: len(t) - change] + text[:change]).encode()
-                        edited_mark, edited_leaves = tree(edited, ends, seen)
-                        out.append((k, len(t), hashlib.sha256(edited).hexdigest(), mark, edited_mark, likeness(leaves, edited_leaves), likeness(leaves, own[4])))
+                        second = tree(edited)
+                        out.append((k, len(t), hashlib.sha256(edited).hexdigest(), first.mark, second.mark, likeness(first, second), likeness(first, own[3])))
                     last = None if peek else own
                 names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
                 types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
