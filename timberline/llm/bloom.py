@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.common import fresh
+
 WORDS = 1 << 16
 
 
@@ -21,27 +23,28 @@ def _parts(name: str) -> tuple:
     return F.pmod(h, F.lit(WORDS)).cast("int"), bit(20).bitwiseOR(bit(40))
 
 
-def _marked(df: DataFrame, ids: DataFrame, name: str, theirs: str | None = None) -> DataFrame:
-    """df with ``__maybe``: false only where no row of ids has its value, there in the column ``theirs``."""
+def _marked(df: DataFrame, ids: DataFrame, name: str, theirs: str | None = None) -> tuple[DataFrame, str]:
+    """df with a new column, and its name: false only where no row of ids has the value, there in the column ``theirs``."""
+    maybe, at, bits_of = fresh(df, "maybe", "word", "bits")
     word, bits = _parts(name)
     their_word, their_bits = _parts(theirs or name)
-    table = ids.select(their_word.alias("__word"), their_bits.alias("__b")).groupBy("__word").agg(F.bit_or("__b").alias("__b"))
-    out = df.withColumn("__word", word).join(F.broadcast(table), "__word", "left")
-    return out.withColumn("__maybe", F.coalesce(F.col("__b").bitwiseAND(bits) == bits, F.lit(False))).drop("__word", "__b")
+    table = ids.select(their_word.alias(at), their_bits.alias(bits_of)).groupBy(at).agg(F.bit_or(bits_of).alias(bits_of))
+    out = df.withColumn(at, word).join(F.broadcast(table), at, "left")
+    return out.withColumn(maybe, F.coalesce(F.col(bits_of).bitwiseAND(bits) == bits, F.lit(False))).drop(at, bits_of), maybe
 
 
 def likely(df: DataFrame, ids: DataFrame, name: str = "id", theirs: str | None = None) -> DataFrame:
     """The rows whose value may be among the ids; none that is, is missing."""
-    return _marked(df, ids, name, theirs).filter("__maybe").drop("__maybe")
+    marked, maybe = _marked(df, ids, name, theirs)
+    return marked.filter(maybe).drop(maybe)
 
 
 def semi(df: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
     return likely(df, ids, name).join(ids.select(name), name, "left_semi")
 
 
-def anti(df: DataFrame, ids: DataFrame, name: str = "id", on: list[str] | None = None) -> DataFrame:
-    """The rows without an equal in ids on ``on``, by default ``name``."""
-    on = on or [name]
-    marked = _marked(df, ids, name)
-    rest = marked.filter("__maybe").drop("__maybe").join(ids.select(*on), on, "left_anti").select(*df.columns)
-    return marked.filter(~F.col("__maybe")).select(*df.columns).unionByName(rest)
+def anti(df: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
+    """The rows without an equal in ids."""
+    marked, maybe = _marked(df, ids, name)
+    rest = marked.filter(maybe).drop(maybe).join(ids.select(name), name, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return marked.filter(~F.col(maybe)).drop(maybe).unionByName(rest)

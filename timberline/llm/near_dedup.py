@@ -1,11 +1,12 @@
 """Near-duplicate documents by bottom-k sketches of their word shingles.
 
 One hash function gives every shingle a value; a document's sketch retains its
-``SKETCH`` smallest values, or all if it has fewer. Of two documents of
-similarity t the smallest ``SKETCH`` values of both together, the union sketch,
-are known, and each is in both with probability t; so linked documents share at
-least ``least_shared`` retained values, but for one link in 10^9. Documents
-retained whole share exactly what their sizes ask for.
+``SKETCH`` smallest values, or all of up to ``WHOLE``. Documents retained whole
+share exactly what their sizes ask for. Of others with similarity t the
+smallest ``SKETCH`` values of both together, the union sketch, are known, and
+each is in both with probability t; so linked documents share at least
+``least_shared`` of them, but for one link in ``LOSS``. A document that may
+have partners of either kind has its values in lists of both kinds.
 
 Every retained value has an inverted list. A document's values are opened
 rarest first, by the length of the list: if two sketches of s values share c,
@@ -17,9 +18,11 @@ leader, the one with the smallest part of values of its own; the union-sketch
 estimate filters these pairs and exact Jaccard on full sets verifies them. A
 group of m near copies is so linked by about m comparisons. Then lists that
 still hold documents of several components give the pairs between components,
-in blocks of the list; they are estimated and verified as well. A list of m
-documents of which d match no leader costs up to d m estimates, spread over
-tasks.
+in blocks of the list; they are estimated and verified as well. The distance
+1 - similarity is a metric, so the distances to the leader, as verified or
+bounded by the estimate, rule out what lies too far apart: a document far from
+a leader meets none of those close to it. A list of m documents of which d are
+neither far nor linked costs up to d m estimates, spread over tasks.
 
 Lists are counted by a window that spills; values with more than about 1/512 of
 all rows are counted ahead and not shuffled, and joins send their most frequent
@@ -38,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from math import comb
 
@@ -52,12 +56,14 @@ from timberline.llm.components import components
 from timberline.llm.exact_dedup import grouped
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: Values that a sketch retains; one of so many links may be lost to its estimate.
-SKETCH, LOSS = 128, 10**9
+#: Values that a sketch retains, and of documents that are retained whole; one of so many links may be lost to an estimate.
+SKETCH, WHOLE, LOSS = 128, 320, 10**9
 #: Values so frequent that they are not shuffled, at most.
 HOT = 512
 #: Partners of one document that a task compares, and documents of one list that a task pairs with others.
-BLOCK = 500
+BLOCK = 128
+#: What tells values of lists of documents beyond ``WHOLE`` and their partners from others.
+_OTHER = 0x5DEECE66D1B3F27A
 REMEMBERED = 400_000
 _TURN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -126,14 +132,29 @@ def least_shared(k: int, num: int, den: int) -> int:
     return k
 
 
-def estimate_passes(a: np.ndarray, na: int, b: np.ndarray, nb: int, num: int, den: int, least: int) -> bool:
-    """Whether the similarity that the union sketch of both gives may be that of a link."""
-    if na <= len(a) and nb <= len(b):  # both retained whole
+@lru_cache
+def most_similar() -> np.ndarray:
+    """For each number of shared values of a union sketch, the similarity above which so few are shared only once in ``LOSS``."""
+    ways = np.array([float(comb(SKETCH, i)) for i in range(SKETCH + 1)])
+    out = []
+    for x in range(SKETCH + 1):
+        low, high = x / SKETCH, 1.0
+        for _ in range(40):
+            p, i = (low + high) / 2, np.arange(x + 1)
+            few = float((ways[: x + 1] * p**i * (1 - p) ** (SKETCH - i)).sum())
+            low, high = (p, high) if few > 1 / LOSS else (low, p)
+        out.append(high)
+    return np.array(out)
+
+
+def estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int, num: int, den: int, least: int) -> tuple[float, float, bool]:
+    """Bounds of the similarity, and whether it may be that of a link: exact if both are retained whole, else by the union sketch."""
+    if na <= len(a) and nb <= len(b):
         both = shared(a, b)
-        return den * both >= num * (na + nb - both)
-    union = np.union1d(a, b)[:SKETCH]
-    last = union[-1]
-    return shared(a[: np.searchsorted(a, last, side="right")], b[: np.searchsorted(b, last, side="right")]) >= least
+        return both / (na + nb - both), both / (na + nb - both), den * both >= num * (na + nb - both)
+    last = np.union1d(a, b)[:SKETCH][-1]
+    both = shared(a[: np.searchsorted(a, last, side="right")], b[: np.searchsorted(b, last, side="right")])
+    return 0.0, float(most_similar()[both]), both >= least
 
 
 def sketches(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
@@ -147,8 +168,9 @@ def sketches(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
                 values, begin = shingle_sets(part.column(1).to_pylist(), words, known)
                 n = np.diff(begin)
                 digests = [hashlib.blake2b(values[x:y].tobytes(), digest_size=16).digest() for x, y in zip(begin[:-1], begin[1:])]
-                first = np.arange(len(values)) - np.repeat(begin[:-1], n) < SKETCH
-                at = np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))])
+                many = np.where(n <= WHOLE, n, SKETCH)
+                first = np.arange(len(values)) - np.repeat(begin[:-1], n) < np.repeat(many, n)
+                at = np.concatenate([[0], np.cumsum(many)])
                 kept = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values[first].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), kept], ["id", "n", "digest", "sketch"])
 
@@ -180,34 +202,43 @@ def _size_ok(na: Column, nb: Column, num: int, den: int) -> Column:
     return (den * na >= num * nb) & (den * nb >= num * na)
 
 
+def _asked(whole: Column, both: Column, num: int, den: int) -> Column:
+    """Values that two documents with ``both`` shingles in all share at least if they are linked."""
+    return F.when(whole, F.ceil(both * num / F.lit(float(num + den)) - 1e-9)).otherwise(least_shared(SKETCH, num, den))
+
+
 def _lists(drawn: DataFrame, reps: DataFrame, num: int, den: int, hot: int) -> DataFrame:
-    """v, df (length of its list), id, n, place (by rarity), rare (part of values of its own): the rows of the lists to be followed."""
-    common = drawn.sparkSession.createDataFrame(_hot_values(drawn, hot), "v long, df long")  # at most `hot` rows
-    values = reps.select("row", "id", "n", F.explode("sketch").alias("v"))
+    """v, df (length of its list), whole (kind of list), id, n, s (values of the document's sketch), place there by rarity, rare (part of values of its own): the rows of the lists to be followed."""
+    hot_values = [(v ^ x, n) for v, n in _hot_values(drawn, hot) for x in (0, _OTHER)]
+    common = drawn.sparkSession.createDataFrame(hot_values, "v long, df long")  # at most 2 * hot rows
+    whole, partial, none = F.col("n") <= WHOLE, F.col("n") * den > num * WHOLE, F.array().cast("array<long>")
+    other = F.transform(F.slice("sketch", 1, SKETCH), lambda v: v.bitwiseXOR(F.lit(_OTHER)))
+    both = F.concat(F.when(whole, F.col("sketch")).otherwise(none), F.when(partial, other).otherwise(none))
+    values = reps.select("row", F.when(whole, F.col("n")).otherwise(0).alias("own"), F.posexplode(both).alias("at", "v"))
+    values = values.select((F.col("row") * 2 + (F.col("at") >= F.col("own")).cast("int")).alias("entry"), "v")  # a document of each kind of list
     rest = values.join(F.broadcast(common.select("v")), "v", "left_anti")
     rest = rest.withColumn("df", F.count("*").over(Window.partitionBy("v"))).filter("df > 1")
-    counted = rest.unionByName(values.join(F.broadcast(common), "v"))
-    least = least_shared(SKETCH, num, den)
-    whole = F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9)
-    s = F.least("n", F.lit(SKETCH))
-    # Documents so small that every partner is retained whole share what their size asks for.
-    asked = F.when(F.col("n") * den <= num * SKETCH, whole).when(F.col("n") <= SKETCH, F.least(whole, F.lit(least))).otherwise(least)
-    of = Window.partitionBy("row")
-    own = s - F.count("*").over(of)
-    place = own + F.row_number().over(of.orderBy("df", "v"))
-    ranked = counted.withColumns({"rare": own / s, "place": place}).filter(F.col("place") <= s - asked + 1)
-    return ranked.select("v", "df", "id", "n", F.col("place").cast("int").alias("place"), "rare")
+    counted = rest.unionByName(values.join(F.broadcast(common), "v").select("entry", "v", "df"))
+    of = Window.partitionBy("entry")
+    placed = counted.withColumns({"nth": F.row_number().over(of.orderBy("df", "v")), "shared": F.count("*").over(of)})
+    entry = F.array(F.when(whole, F.col("row") * 2), F.when(partial, F.col("row") * 2 + 1))
+    sizes = reps.select(F.explode(entry).alias("entry"), "id", "n").filter("entry is not null").withColumn("whole", F.col("entry") % 2 == 0)
+    s = F.when(F.col("whole"), F.col("n")).otherwise(SKETCH)
+    ranked = placed.join(sizes.withColumn("s", s), "entry").withColumns({"place": F.col("s") - F.col("shared") + F.col("nth"), "rare": (F.col("s") - F.col("shared")) / F.col("s")})
+    # Of all partners the smallest asks for the least.
+    asked = _asked(F.col("whole"), F.col("n") + F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9), num, den)
+    return ranked.filter(F.col("place") <= F.col("s") - asked + 1).select("v", "df", "whole", "id", "n", "s", "place", "rare")
 
 
-def _compared(pairs: DataFrame, data: DataFrame, step: int, decide) -> DataFrame:
-    """The pairs(a, b, block) that ``decide`` lets pass; data(id, more columns).
+def _compared(pairs: DataFrame, data: DataFrame, step: int, prepare, measure) -> DataFrame:
+    """pairs(a, b, block) with low and high, bounds of the similarity, and passes; data(id, more columns).
 
     A document ``a`` goes once to each block of its partners, so one of many
-    partners takes many tasks. ``decide`` makes of a batch of data what it
-    compares: prepare(columns) -> list, same(x, y) -> bool. Where several rows
-    of data have one id, one that passes is enough.
+    partners takes many tasks. ``prepare`` makes a list of what is compared from
+    columns of data, ``measure`` gives low, high and passes of two of them.
+    Where several rows of data have one id, the bounds hold for all of them and
+    one that passes is enough.
     """
-    prepare, same = decide
     columns = [c for c in data.columns if c != "id"]
     ours = pairs.select(F.col("a").alias("id"), "a", "block", F.lit(None).cast("long").alias("b")).distinct()
     theirs = pairs.select(F.col("b").alias("id"), "a", "block", "b")
@@ -227,15 +258,18 @@ def _compared(pairs: DataFrame, data: DataFrame, step: int, decide) -> DataFrame
                         of, own = (a, block), []
                     if b is None:
                         own.append(x)
-                    elif any(same(y, x) for y in own):
-                        found.append((a, block, b))
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["a", "block", "b"])
+                    else:
+                        low, high, passes = zip(*(measure(y, x) for y in own))
+                        found.append((a, block, b, min(low), max(high), any(passes)))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], ["a", "block", "b", "low", "high", "passes"])
 
-    return rows.mapInArrow(run, "a long, block int, b long").distinct()
+    out = rows.mapInArrow(run, "a long, block int, b long, low double, high double, passes boolean")
+    return out.groupBy("a", "b").agg(F.min("block").alias("block"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("passes").alias("passes"))
 
 
 def estimated(pairs: DataFrame, drawn: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that the union sketch lets pass."""
+    """The pairs with what the sketches say; drawn(id, n, sketch)."""
     least = least_shared(SKETCH, num, den)
 
     def prepare(columns: list[pa.Array]) -> list:
@@ -243,26 +277,26 @@ def estimated(pairs: DataFrame, drawn: DataFrame, num: int, den: int) -> DataFra
         flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         return [(flat[x:y], m) for x, y, m in zip(at[:-1], at[1:], n)]
 
-    same = lambda x, y: estimate_passes(*x, *y, num, den, least)
-    return _compared(pairs, drawn.select("id", "n", "sketch"), 500, (prepare, same))
+    return _compared(pairs, drawn.select("id", "n", "sketch"), 500, prepare, lambda x, y: estimate(*x, *y, num, den, least))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs whose full sets have the similarity; texts(id, t)."""
+    """The pairs with the exact similarity of their full sets; texts(id, t)."""
 
     def prepare(columns: list[pa.Array]) -> list:
         values, at = shingle_sets(columns[0].to_pylist(), words, in_worker("hashes", Hashes))
         return [values[x:y] for x, y in zip(at[:-1], at[1:])]
 
-    def same(x: np.ndarray, y: np.ndarray) -> bool:
+    def measure(x: np.ndarray, y: np.ndarray) -> tuple[float, float, bool]:
         both = shared(x, y)
-        return both > 0 and den * both >= num * (len(x) + len(y) - both)
+        all_ = len(x) + len(y) - both
+        return both / max(1, all_), both / max(1, all_), both > 0 and den * both >= num * all_
 
-    return _compared(pairs, texts, 200, (prepare, same))
+    return _compared(pairs, texts, 200, prepare, measure)
 
 
-def _between(listed: DataFrame, leads: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, block: pairs of documents of one list and different components; ``found`` gives components.
+def _between(listed: DataFrame, leads: DataFrame, bounds: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, block: pairs of documents of one list and different components; ``found`` gives components, ``bounds`` those of the distances from leaders.
 
     The leader's component meets the others, and they meet each other. In the
     first list that two documents share, their places bound what they share.
@@ -270,17 +304,19 @@ def _between(listed: DataFrame, leads: DataFrame, found: DataFrame, num: int, de
     at = lambda rows, col, to: hot_join(rows, found.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
     placed = keep(at(listed, "id", "at"))
     several = placed.groupBy("v").agg(F.min("at").alias("one"), F.max("at").alias("other")).filter("one <> other").select("v")
-    several = keep(at(leads.join(several, "v").select("v", F.col("lead.id").alias("lead")), "lead", "lead_at").select("v", "lead_at"))
+    several = keep(at(leads.join(several, "v").select("v", F.col("lead.id").alias("lead")), "lead", "lead_at"))
     blocks = F.ceil(F.col("df") / F.lit(float(BLOCK))).cast("int")
-    mixed = keep(hot_join(placed, several, "v", hot=HOT).withColumn("block", F.pmod(F.hash("id"), blocks)))
-    probe = mixed.filter("at <> lead_at").select("v", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("at").alias("a_at"))
-    s = lambda n: F.least(F.col(n), F.lit(SKETCH))
-    both = F.col("n") + F.col("na")
-    whole = (F.col("n") <= SKETCH) & (F.col("na") <= SKETCH)
-    asked = F.when(whole, F.ceil(both * num / F.lit(float(num + den)) - 1e-9)).otherwise(least_shared(SKETCH, num, den))
-    room = 1 + F.least(s("n") - F.col("place"), s("na") - F.col("pa")) >= asked
+    mixed = hot_join(placed, several, "v", hot=HOT).withColumn("block", F.pmod(F.hash("id"), blocks))
+    mixed = mixed.join(bounds.select(F.col("a").alias("lead"), F.col("b").alias("id"), "near", "far"), ["lead", "id"], "left")
+    # A leader is no distance from itself; nothing is known of a document that its size keeps from its leader.
+    near, far = (F.when(F.col("id") == F.col("lead"), 0.0).otherwise(F.coalesce(x, F.lit(y))) for x, y in (("near", 1.0), ("far", 0.0)))
+    mixed = keep(mixed.withColumns({"near": near, "far": far}))
+    probe = mixed.filter("at <> lead_at").select("v", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("place").alias("pa"), F.col("near").alias("near_a"), F.col("far").alias("far_a"), F.col("at").alias("a_at"))
+    asked = _asked(F.col("whole"), F.col("n") + F.col("na"), num, den)
+    room = 1 + F.least(F.col("s") - F.col("place"), F.col("sa") - F.col("pa")) >= asked
     once = (F.col("at") == F.col("lead_at")) | (F.col("id") < F.col("a"))
-    pairs = mixed.join(probe, ["v", "block"]).filter((F.col("at") != F.col("a_at")) & once & _size_ok(F.col("n"), F.col("na"), num, den) & room)
+    apart = F.greatest(F.col("far") - F.col("near_a"), F.col("far_a") - F.col("near")) > 1 - num / den + 1e-9
+    pairs = mixed.join(probe, ["v", "block"]).filter((F.col("at") != F.col("a_at")) & once & ~apart & _size_ok(F.col("n"), F.col("na"), num, den) & room)
     return pairs.groupBy("a", F.col("id").alias("b")).agg(F.min("block").alias("block"))
 
 
@@ -309,14 +345,18 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     block = F.pmod(F.hash("id"), F.ceil(F.col("df") / F.lit(float(BLOCK))).cast("int"))
     tried = keep(star.groupBy(F.col("lead.id").alias("a"), F.col("id").alias("b")).agg(F.min(block).alias("block")))
     texts = _texts(df.select(F.col(id).cast("long").alias("id"), text_of(text).cast("binary").alias("t")), linkable)
-    linked = lambda pairs: keep(verified(keep(estimated(pairs, reps, num, den)), texts, words, num, den))
-    found = components(linked(tried))
+    likelies = keep(estimated(tried, reps, num, den))
+    exact = keep(verified(likelies.filter("passes"), texts, words, num, den))
+    found = components(exact.filter("passes"))
 
     # Then documents of one list in different components.
+    known = likelies.join(exact.select("a", "b", F.col("low").alias("j")), ["a", "b"], "left")
+    bounds = keep(known.select("a", "b", (1 - F.coalesce("j", "low")).alias("near"), (1 - F.coalesce("j", "high")).alias("far")))
     sides = lambda rows: rows.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
-    rest = keep(sides(_between(listed, leads, found, num, den)).join(sides(tried).select("lo", "hi"), ["lo", "hi"], "left_anti").select("a", "b", "block"))
+    rest = keep(sides(_between(listed, leads, bounds, found, num, den)).join(sides(tried).select("lo", "hi"), ["lo", "hi"], "left_anti").select("a", "b", "block"))
     if not rest.isEmpty():
-        found = components(linked(rest).select("a", "b").union(found.select("node", "component")))
+        more = verified(keep(estimated(rest, reps, num, den)).filter("passes"), texts, words, num, den).filter("passes")
+        found = components(keep(more).select("a", "b").union(found.select("node", "component")))
 
     out = drawn.join(copies, "row", "left").select("id", "n", F.coalesce("rep", "id").alias("node"))
     out = hot_join(out, found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
