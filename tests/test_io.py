@@ -1,6 +1,7 @@
 """Loaders, options, text, drawing, streams."""
 
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 
@@ -77,3 +78,85 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("predicted").collect())) == [(1.0, "a", "a"), (2.0, "b", "b")]
+
+
+def test_header_is_told_by_its_place(spark, tmp_path):
+    df = load_positional(spark, write(tmp_path, "id,a,y\n1,2,p\nid,a,y\n3,4,q\n"))
+    with pytest.raises(Exception, match="CAST|cast|INVALID"):
+        df.collect()
+    rows = load_positional(spark, write(tmp_path, "1,2,3\n1,2,3\n1,2,3\n4,5,6")).collect()
+    assert sorted(map(tuple, rows)) == [(2.0, "3"), (2.0, "3"), (5.0, "6")]
+    many = tmp_path / "many"
+    many.mkdir()
+    for i in range(3):
+        (many / f"{i}.csv").write_text(f"id,a,y\n{i},{i},p\n")
+    assert sorted(r.a for r in load_positional(spark, str(many)).collect()) == [0.0, 1.0, 2.0]
+    assert [r.label for r in load_positional(spark, write(tmp_path, 'id,a,y\n1,2,"p" \\ q\n')).collect()] == ['"p" \\ q']
+
+
+def test_numbers_as_a_cell_begins(spark, tmp_path):
+    cells = {"0x1A": 26.0, "-0x.8p3": -4.0, "0X1.8P-1z": 0.75, "1e3x": 1000.0, " 7 ": 7.0, "inf": float("inf"), "0e-99": 0.0, ".5": 0.5, "0x": 0.0}
+    rows = "".join(f"{i},{c},p\n" for i, c in enumerate(cells))
+    got = load_positional(spark, write(tmp_path, "id,a,y\n" + rows)).collect()
+    assert sorted(r.a for r in got) == sorted(cells.values())
+
+
+@pytest.mark.parametrize("cell", ["1e39", "-4e38", "1e-39", "1e-400", "0x1p128", "0x1p-130"])
+def test_numbers_beyond_the_floats_are_refused(spark, tmp_path, cell):
+    with pytest.raises(Exception, match="out of range"):
+        load_positional(spark, write(tmp_path, f"id,a,y\n1,{cell},p\n")).collect()
+
+
+TREE = ["ROOT [n=9]: if wide or not <= 1.5", "  yes [n=4]: Leaf -> a: <b>", "  no [n=5]: if x <= -2", "    yes [n=1]: Leaf -> c", "    no [n=4]: Leaf -> a"]
+
+
+def test_parsed_text():
+    boxes = parse_text(["", *TREE, " "])
+    assert [(b.path, b.depth, b.edge, b.count, b.is_leaf) for b in boxes] == [("", 0, "ROOT", 9, False), ("L", 1, "yes", 4, True), ("R", 1, "no", 5, False), ("RL", 2, "yes", 1, True), ("RR", 2, "no", 4, True)]
+    assert [b.title for b in boxes] == ["wide or not <= 1.500", "Leaf: a: <b>", "x <= -2.000", "Leaf: c", "Leaf: a"]
+
+
+@pytest.mark.parametrize("line", ["ROOT: Leaf -> a", "ROOT [n=x]: Leaf -> a", "ROOT [n=3]: Leaf a", "ROOT [n=3]: if x < 2", "ROOT [n=3]: if x <= two", "ROOT [n=3] if x <= 2", "ROOT [n=3]: Leaf -> "])
+def test_lines_that_are_no_tree(line):
+    with pytest.raises(ValueError, match="Cannot read"):
+        parse_text([line])
+
+
+def test_drawing(tmp_path):
+    import xml.etree.ElementTree as xml
+
+    from timberline.operators import render
+
+    (tmp_path / "in.txt").write_text("\n".join(["META: tree depth = 2", "OPTION: maxDepth = 2", "OPTION: a<b", *TREE]))
+    assert render.main([str(tmp_path / "in.txt"), str(tmp_path / "out.svg")]) == 0 and render.main([]) == 1
+    root = xml.parse(tmp_path / "out.svg").getroot()
+    kinds = [g.get("class") for g in root.iter("{http://www.w3.org/2000/svg}g")]
+    assert (kinds.count("branch"), kinds.count("end"), kinds.count("panel")) == (2, 3, 2)
+    said = ["".join(t.itertext()) for t in root.iter("{http://www.w3.org/2000/svg}text")]
+    assert "Leaf: a: <b>4 rows" in said and "OptionsmaxDepth = 2a<b" in said and said.count("yes") == 2
+    wide, high = map(float, root.get("viewBox").split()[2:])
+    for b in layout(parse_text(TREE), render.MARGIN + render.CARD_SHIFT):
+        assert 260 < b.x and b.x + render.WIDE <= wide and b.y + render.HIGH <= high
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from timberline.__main__ import main
+
+    table = write(tmp_path, "id,a,y\n" + "".join(f"{i},{i % 7},{'p' if i % 7 > 3 else 'q'}\n" for i in range(60)))
+    drawing = tmp_path / "tree.svg"
+    assert main(["--serial", "-d2", table], svg_path=str(drawing)) == 0
+    out = capsys.readouterr().out
+    assert "Loaded samples: 60" in out and "accuracy = 100.0000%" in out and "<svg" in drawing.read_text()
+    assert main(["--bogus"]) == 1 and "Unknown option" in capsys.readouterr().err
+    assert main([str(tmp_path / "none.csv")]) == 1
+
+
+def test_kept_tables_are_released(spark):
+    from timberline.tables import keep, kept, release
+
+    since = kept(spark)
+    table = keep(spark.range(3))
+    path = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert table.count() == 3 and kept(spark) == since + 1
+    release(spark, since)
+    assert not Path(path).exists() and kept(spark) == since

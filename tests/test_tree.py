@@ -2,6 +2,8 @@
 
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from timberline.operators.grow import fit
 from timberline.operators.predict import evaluate, predict
 from timberline.operators.prune import prune
 from timberline.operators.render import tree_text
-from timberline.operators.sweep import boundaries, tiled_boundaries, value_histogram
+from timberline.operators.sweep import boundaries, tile_of, value_histogram
 from timberline.options import C45, CART, Impurity, Pruning
 
 
@@ -84,11 +86,66 @@ def test_quantile_and_impurity(spark):
     assert row[2] == float("-inf") and tuple(row[3:]) == (0.0, 1.0, 0.5)
 
 
-def test_tiled_sweep_equals_the_window(spark):
-    df = spark.range(500).select(F.array((F.col("id") % 97).cast("float"), F.pmod(F.hash("id"), F.lit(50)).cast("float")).alias("features"), F.pmod(F.hash("id", F.lit(1)), F.lit(3)).alias("class_id"), (F.col("id") % 2).alias("node_id"))
-    hist = value_histogram(df, 3)
-    rows = lambda d: sorted(map(tuple, d.select(sorted(d.columns)).collect()))
-    assert rows(boundaries(hist, 3)) == rows(tiled_boundaries(hist, 3))
+def test_tiles_keep_the_order_of_floats(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.integers(0, 2**32, 3000, dtype=np.uint32).view(np.float32), np.float32(2.0) ** np.arange(-140, 127, dtype=np.float32), np.nextafter(np.float32(2.0) ** np.arange(-120, 127, dtype=np.float32), np.float32(0)), np.float32([0, -0.0, np.inf, -np.inf])])
+    values = np.concatenate([values, -values])
+    values = np.sort(values[~np.isnan(values)])
+    rows = spark.createDataFrame(pd.DataFrame({"n": np.arange(len(values)), "v": values}))
+    tiles = [r[0] for r in rows.select("n", tile_of(F.col("v")).alias("t")).orderBy("n").select("t").collect()]
+    assert (np.diff(tiles) >= 0).all()
+    many = pd.DataFrame({"v": np.linspace(1, 2, 300_001, dtype=np.float32)})
+    assert spark.createDataFrame(many).groupBy(tile_of(F.col("v")).alias("t")).count().count() == 129
+
+
+def test_tiled_sweep_equals_plain_sums(spark):
+    df = spark.range(500).select(F.array((F.col("id") % 97 - 40).cast("float"), F.pmod(F.hash("id"), F.lit(50)).cast("float")).alias("features"), F.pmod(F.hash("id", F.lit(1)), F.lit(3)).alias("class_id"), (F.col("id") % 2).alias("node_id"))
+    rows = [(r.node_id, f, v, r.class_id) for r in df.collect() for f, v in enumerate(r.features)]
+    want = []
+    for node, f in {(n, f) for n, f, _, _ in rows}:
+        here = sorted((v, c) for n, g, v, c in rows if (n, g) == (node, f))
+        values = sorted({v for v, _ in here})
+        for before, value in zip(values, values[1:]):
+            below = [sum(c == i and v < value for v, c in here) for i in range(3)]
+            want.append((node, f, before, value, max(c for v, c in here if v == before), min(c for v, c in here if v == value), *below, *(sum(c == i for _, c in here) for i in range(3))))
+    got = boundaries(value_histogram(df, 3), 3).select("node_id", "feature_index", "before", "value", "before_class", "min_class", *[f"{x}{i}" for x in "lt" for i in range(3)])
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def noisy(spark, n, classes=3):
+    hashed = lambda salt, m: F.pmod(F.hash("id", F.lit(salt)), F.lit(m))
+    return spark.range(n).select(hashed(1, 40).cast("float").alias("a"), (hashed(2, 5000) / 7).cast("float").alias("b"), (hashed(3, 9) - 4).cast("float").alias("c"), F.concat(F.lit("k"), F.pmod(hashed(1, 40) + hashed(3, 9) + hashed(4, 3), F.lit(classes))).alias("label"))
+
+
+@pytest.mark.parametrize("options", [C45, replace(CART, candidates="all", min_samples_per_leaf=3)])
+def test_small_subtrees_grow_by_the_same_rule(spark, options):
+    df = noisy(spark, 700)
+    swept_only = fit(df, replace(options, max_depth=3, finish_rows=0))
+    mixed = fit(df, replace(options, max_depth=3, finish_rows=250))
+    assert tree_text(swept_only) == tree_text(fit(df, replace(options, max_depth=3))) == tree_text(mixed)
+    assert all(n.sample_count == sum(n.class_counts) for n in mixed.preorder())
+
+
+def test_rows_routed_by_joins(spark, monkeypatch):
+    from timberline.operators import grow
+
+    df = noisy(spark, 600)
+    whole = tree_text(fit(df, replace(CART, max_depth=4)))
+    monkeypatch.setattr(grow, "EXPRESSION_NODES", 2)
+    assert tree_text(fit(df, replace(CART, max_depth=4, finish_rows=60))) == whole
+
+
+def test_unlimited_depth_ends(spark):
+    df = noisy(spark, 20_000)
+    tree = fit(df, replace(CART, finish_rows=3000))
+    assert sum(n for _, n in leaves(tree)) == 20_000 and tree.depth() > 10
+    assert evaluate(df.limit(2000), tree).first().accuracy > 90
+
+
+def test_null_labels_are_refused(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, None)], "v float, label string")
+    with pytest.raises(ValueError, match="needs a label"):
+        fit(df, CART)
 
 
 def test_three_classes_grown_and_pruned(spark):
@@ -116,7 +173,13 @@ def test_order_and_partitions_do_not_matter(spark):
     df = spark.range(400).select((F.pmod(F.hash("id"), F.lit(40))).cast("float").alias("a"), (F.col("id") % 13).cast("float").alias("b"), F.when(F.pmod(F.hash("id"), F.lit(40)) + F.col("id") % 13 > 25, "x").otherwise("y").alias("label"))
     one = fit(df, replace(C45, max_depth=3))
     spark.conf.set("spark.sql.shuffle.partitions", "7")
-    two = fit(df.orderBy(F.rand(3)).repartition(5), replace(C45, max_depth=3, tile_rows=5))
+    two = fit(df.orderBy(F.rand(3)).repartition(5), replace(C45, max_depth=3, finish_rows=50))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert tree_text(one) == tree_text(two)
     assert sum(n for _, n in leaves(one)) == 400 and one.depth() <= 3
+
+
+def test_no_pruning_changes_nothing(spark):
+    tree = fit(table(spark, [(1, "a"), (2, "b"), (3, "b")]), CART)
+    same = prune(tree, table(spark, [(1, "b")]), replace(CART, pruning=Pruning.NoPruning))
+    assert tree_text(same) == tree_text(tree) and same is not tree and same.prune_seconds == 0.0

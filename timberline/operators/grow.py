@@ -1,23 +1,78 @@
-"""Level-wise growth: one sweep of Spark jobs a level for all nodes that still grow."""
+"""Level-wise growth: one Spark job a level for all large nodes, then one for all small subtrees.
+
+The sweep of a level gives the class counts of both children of each split, so
+rows are not counted again. Rows find their node by one expression over the
+tree so far; they are written down once, and again only when the expression
+gets long, without the rows of finished nodes. Nodes of at most
+``finish_rows`` rows wait for the end, where each is grown to its leaves in one
+task. The tree is held by the driver: ``max_depth`` or ``min_samples_per_leaf``
+bound it where labels are noisy.
+"""
 
 from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators.encode import class_counts, class_mapping, encode, majority
+from timberline.operators.finish import finish
 from timberline.operators.model import Node, Tree
 from timberline.operators.select import best_per_feature, best_split
 from timberline.operators.sweep import candidates, swept
 from timberline.options import Options, Pruning
 from timberline.tables import keep
 
+#: Nodes that one routing expression names at most; beyond, rows are routed by a join and written.
+EXPRESSION_NODES = 200
+
 
 def level_splits(rows: DataFrame, k: int, options: Options) -> DataFrame:
-    """The best split of each node of rows(node_id, features, class_id)."""
-    return best_split(best_per_feature(candidates(swept(rows, k, options.tile_rows), k, options), options), options)
+    """The best split of each node of rows(node_id, features, class_id), with class counts left (l0..) and of the node (t0..)."""
+    return best_split(best_per_feature(candidates(swept(rows, k), k, options), options), options)
+
+
+class _Rows:
+    """The training rows, each at a node of ``roots``, and the way from there to the nodes that still grow."""
+
+    def __init__(self, rows: DataFrame, tree: Tree):
+        self.rows, self.tree, self.roots, self.splits = rows, tree, [0], 0
+
+    def at(self, live: set[int]) -> DataFrame:
+        """The rows at the live nodes; others are left out."""
+        nodes, last = self.tree.nodes, F.lit(None).cast("long")
+
+        def way(i: int) -> Column:
+            node = nodes[i]
+            if i in live:
+                return F.lit(i).cast("long")
+            return last if node.is_leaf else F.when(F.col("features")[node.feature_index] <= F.lit(node.split_value).cast("float"), way(node.left_id)).otherwise(way(node.right_id))
+
+        to = last
+        for root in self.roots:
+            to = F.when(F.col("node_id") == root, way(root)).otherwise(to)
+        return self.rows.withColumn("node_id", to).filter("node_id is not null")
+
+    def write(self, live: set[int]) -> None:
+        """Write the rows at the live nodes where the expression would get long."""
+        if self.splits + len(self.roots) <= EXPRESSION_NODES:
+            return
+        nodes, moves = self.tree.nodes, []
+        for root in self.roots:
+            node = nodes[root]
+            if root in live:
+                moves.append((root, None, None, root, root))
+            elif not node.is_leaf:
+                moves.append((root, node.feature_index, node.split_value, node.left_id, node.right_id))
+        if len(self.roots) <= EXPRESSION_NODES:
+            self.rows = keep(self.at(live))
+        else:  # one level below the roots, which may be many
+            to = self.rows.sparkSession.createDataFrame(moves, "node_id long, f int, v float, l long, r long")
+            side = F.when(F.col("f").isNull() | (F.element_at("features", F.col("f") + 1) <= F.col("v")), F.col("l")).otherwise(F.col("r"))
+            ends = self.rows.sparkSession.createDataFrame([(i,) for i in live], "node_id long")
+            self.rows = keep(self.rows.join(to, "node_id").select("features", "class_id", side.alias("node_id")).join(ends, "node_id", "left_semi"))
+        self.roots, self.splits = sorted(live), 0
 
 
 def fit(df: DataFrame, options: Options, label: str = "label") -> Tree:
@@ -26,45 +81,57 @@ def fit(df: DataFrame, options: Options, label: str = "label") -> Tree:
     labels = [r[0] for r in class_mapping(df, label).orderBy("class_id").collect()]  # one row a class
     if not labels:
         raise ValueError("Cannot train on an empty dataset.")
+    if None in labels:
+        raise ValueError("Every row needs a label.")
     features = [c for c in df.columns if c != label]
     tree, k, next_id = Tree(labels, features), len(labels), 1
     bad = F.exists("features", lambda x: F.isnan(x) | x.isNull())
-    rows = keep(encode(df, labels, label).withColumn("features", F.when(bad, F.raise_error(F.lit("Features must be numbers."))).otherwise(F.col("features"))).withColumn("node_id", F.lit(0).cast("long")))
-    frontier = [Node(0, None, "", 0, "ROOT")]
-    while frontier:
-        counted = {r["node_id"]: [r[f"c{i}"] for i in range(k)] for r in rows.groupBy("node_id").agg(*class_counts(k)).collect()}  # one row a node
-        growing = []
-        for node in frontier:
-            node.class_counts = counted[node.node_id]
-            node.sample_count = sum(node.class_counts)
-            node.leaf_label = labels[majority(node.class_counts)]
-            tree.nodes[node.node_id] = node
-            pure = max(node.class_counts) == node.sample_count
-            full = 0 <= options.max_depth <= node.depth
-            if not (pure or full or node.sample_count < options.min_samples_to_split):
-                growing.append(node)
-        frontier = []
-        if not growing:
-            break
-        rows = rows.filter(F.col("node_id").isin([n.node_id for n in growing]))
-        splits = {r["node_id"]: r for r in level_splits(rows, k, options).collect()}  # at most one row a node
-        moves = []
+    base = keep(encode(df, labels, label).withColumn("features", F.when(bad, F.raise_error(F.lit("Features must be numbers."))).otherwise(F.col("features"))).withColumn("node_id", F.lit(0).cast("long")))
+    large: list[Node] = []
+    small: list[Node] = []
+
+    def add(node: Node, counts: list[int]) -> None:
+        node.class_counts, node.sample_count, node.leaf_label = counts, sum(counts), labels[majority(counts)]
+        tree.nodes[node.node_id] = node
+        pure = max(counts) == node.sample_count
+        full = 0 <= options.max_depth <= node.depth
+        if not (pure or full or node.sample_count < options.min_samples_to_split):
+            (small if node.sample_count <= options.finish_rows else large).append(node)
+
+    def split(node: Node, feature: int, threshold: float, split_value: float) -> tuple[Node, Node]:
+        nonlocal next_id
+        node.is_leaf, node.leaf_label = False, None
+        node.feature_index, node.feature_name, node.threshold, node.split_value = feature, features[feature], threshold, split_value
+        node.left_id, node.right_id = next_id, next_id + 1
+        next_id += 2
+        return Node(node.left_id, node.node_id, node.path + "L", node.depth + 1, "yes"), Node(node.right_id, node.node_id, node.path + "R", node.depth + 1, "no")
+
+    add(Node(0, None, "", 0, "ROOT"), list(base.agg(*class_counts(k)).first()))
+    rows = _Rows(base, tree)
+    while large:
+        growing, large = large, []
+        splits = {r["node_id"]: r for r in level_splits(rows.at({n.node_id for n in growing}), k, options).collect()}  # at most one row a node
         for node in growing:
-            got = splits.get(node.node_id)
-            if got is None:
-                continue
-            node.is_leaf, node.leaf_label = False, None
-            node.feature_index, node.threshold, node.split_value = got["feature_index"], got["threshold"], got["split_value"]
-            node.feature_name = features[node.feature_index]
-            node.left_id, node.right_id = next_id, next_id + 1
-            next_id += 2
-            frontier += [Node(node.left_id, node.node_id, node.path + "L", node.depth + 1, "yes"), Node(node.right_id, node.node_id, node.path + "R", node.depth + 1, "no")]
-            moves.append((node.node_id, node.feature_index, node.split_value, node.left_id, node.right_id))
-        if moves:
-            # As many rows as nodes of the level, which the driver holds anyway.
-            to = rows.sparkSession.createDataFrame(moves, "node_id long, f int, v float, l long, r long")
-            side = F.when(F.element_at("features", F.col("f") + 1) <= F.col("v"), F.col("l")).otherwise(F.col("r"))
-            rows = keep(rows.join(F.broadcast(to), "node_id").select("features", "class_id", side.alias("node_id")))
+            if got := splits.get(node.node_id):
+                below = [got[f"l{i}"] for i in range(k)]
+                left, right = split(node, got["feature_index"], got["threshold"], got["split_value"])
+                add(left, below)
+                add(right, [got[f"t{i}"] - below[i] for i in range(k)])
+                rows.splits += 1
+        rows.write({n.node_id for n in (*large, *small)})
+    if small:
+        here = rows.at({n.node_id for n in small}) if len(small) <= EXPRESSION_NODES else rows.rows
+        grown: dict[int, list] = {}
+        for r in finish(here, {n.node_id: n.depth for n in small}, k, options).collect():  # one row a node of the tree
+            grown.setdefault(r["node_id"], []).append(r)
+        for top in small:
+            at = {"": top}
+            for r in sorted(grown[top.node_id], key=lambda r: len(r["path"])):
+                node = at[r["path"]]
+                node.class_counts, node.sample_count, node.leaf_label = r["class_counts"], sum(r["class_counts"]), labels[majority(r["class_counts"])]
+                tree.nodes[node.node_id] = node
+                if r["feature_index"] is not None:
+                    at[r["path"] + "L"], at[r["path"] + "R"] = split(node, r["feature_index"], r["threshold"], r["split_value"])
     tree.build_seconds = time.perf_counter() - began
     if options.pruning is not Pruning.NoPruning:
         from timberline.operators.prune import prune

@@ -2,9 +2,10 @@
 
 All nodes of a level and all features are swept by one plan. Rows are first
 counted by (node, feature, value), so later steps see one row a distinct value.
-Running counts come from a window over (node, feature), or, where a feature has
-very many values, from ranges of (node, feature, value) with carried totals, so
-that a single feature of a single node still spreads over all tasks.
+Values fall into tiles by their size alone, and a tile holds at most 65,536
+different floats; running counts are taken within tiles, and a row a tile
+carries the totals of the tiles before it. So a single feature of a single node
+spreads over many tasks, with no sampling and no pass of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from timberline.functions.impurity import gain, impurity, split_information, total
 from timberline.operators.encode import class_counts
 from timberline.options import Options, Selection
-from timberline.tables import keep
 
 
 def value_histogram(rows: DataFrame, k: int) -> DataFrame:
@@ -28,46 +28,44 @@ def _columns(k: int, prefix: str) -> list[Column]:
     return [F.col(f"{prefix}{i}") for i in range(k)]
 
 
-def _totals(hist: DataFrame, k: int) -> DataFrame:
-    """Class counts t0.. of each node, from its first feature: a row a node of the level, which is broadcast."""
-    return F.broadcast(hist.filter("feature_index = 0").groupBy("node_id").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in range(k)]))
+def tile_of(value: Column) -> Column:
+    """The 128th of a binary order of magnitude that a float is in: larger values are in the same or a later tile.
 
+    A value a little below a power of two has the same number whichever order
+    the rounded logarithm gives.
+    """
+    size = F.abs(value.cast("double"))
+    order = F.floor(F.log2(size))
+    number = (order + 200) * 128 + F.floor((size / F.pow(F.lit(2.0), order) - 1) * 128)
+    number = F.when(size == 0, 0).when(size > 3.5e38, 50_000).otherwise(number)
+    return (F.when(value < 0, -1).otherwise(1) * number).cast("int")
 
-def boundaries(hist: DataFrame, k: int) -> DataFrame:
-    """Each value with the value before it, that value's largest class, counts below (l0..) and of the node (t0..)."""
-    by = Window.partitionBy("node_id", "feature_index").orderBy("value")
-    below = by.rowsBetween(Window.unboundedPreceding, -1)
-    out = {"before": F.lag("value").over(by), "before_class": F.lag("max_class").over(by)}
-    out |= {f"l{i}": F.sum(f"c{i}").over(below) for i in range(k)}
-    return hist.withColumns(out).filter("before is not null").join(_totals(hist, k), "node_id")
 
-
-def tiled_boundaries(hist: DataFrame, k: int) -> DataFrame:
-    """The same from ranges of (node, feature, value): counts and last values of earlier ranges are carried by a few rows a range."""
-    tiles = keep(hist.repartitionByRange("node_id", "feature_index", "value").withColumn("tile", F.spark_partition_id()))
-    key = ["node_id", "feature_index"]
-    sums = tiles.groupBy(*key, "tile").agg(*[F.sum(f"c{i}").alias(f"s{i}") for i in range(k)], F.max(F.struct("value", "max_class")).alias("last"))
+def boundaries(hist: DataFrame, k: int) -> DataFrame:
+    """Each value with its tile, the value before it, that value's largest class, counts below (l0..) and of the node (t0..)."""
+    key, i = ["node_id", "feature_index"], range(k)
+    tiles = hist.withColumn("tile", tile_of(F.col("value")))
+    # The same columns as below, so that both branches share one histogram.
+    sums = tiles.groupBy(*key, "tile").agg(*[F.sum(f"c{c}").alias(f"s{c}") for c in i], F.max(F.struct("value", "max_class", "min_class")).alias("last"))
     of = Window.partitionBy(*key).orderBy("tile")
-    earlier = of.rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each (node, feature) and range that it reaches.
-    carried = sums.select(*key, "tile", *[F.coalesce(F.sum(f"s{i}").over(earlier), F.lit(0)).alias(f"p{i}") for i in range(k)], F.lag("last").over(of).alias("carried"))
+    earlier, whole = of.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
+    carried = sums.select(*key, "tile", *[F.coalesce(F.sum(f"s{c}").over(earlier), F.lit(0)).alias(f"p{c}") for c in i], *[F.sum(f"s{c}").over(whole).alias(f"t{c}") for c in i], F.lag("last").over(of).alias("carried"))
     by = Window.partitionBy(*key, "tile").orderBy("value")
     below = by.rowsBetween(Window.unboundedPreceding, -1)
-    out = {"before": F.coalesce(F.lag("value").over(by), F.col("carried.value")), "before_class": F.coalesce(F.lag("max_class").over(by), F.col("carried.max_class"))}
-    out |= {f"l{i}": F.coalesce(F.sum(f"c{i}").over(below), F.lit(0)) + F.col(f"p{i}") for i in range(k)}
-    found = tiles.join(carried, [*key, "tile"]).withColumns(out).filter("before is not null").drop("tile", "carried", *[f"p{i}" for i in range(k)])
-    return found.join(_totals(tiles, k), "node_id")
+    inner = {"before": F.lag("value").over(by), "before_class": F.lag("max_class").over(by)} | {f"l{c}": F.sum(f"c{c}").over(below) for c in i}
+    out = {"before": F.coalesce("before", F.col("carried.value")), "before_class": F.coalesce("before_class", F.col("carried.max_class"))}
+    out |= {f"l{c}": F.coalesce(f"l{c}", F.lit(0)) + F.col(f"p{c}") for c in i}
+    found = tiles.withColumns(inner).join(carried, [*key, "tile"]).withColumns(out)
+    return found.filter("before is not null").drop("carried", *[f"p{c}" for c in i])
 
 
-def swept(rows: DataFrame, k: int, tile_rows: int) -> DataFrame:
-    """Boundaries of rows(node_id, features, class_id); tiled where a node has over ``tile_rows`` values of a feature."""
-    hist = keep(value_histogram(rows, k))
-    largest = hist.groupBy("node_id", "feature_index").count().agg(F.max("count")).first()[0] or 0
-    return (tiled_boundaries if largest > tile_rows else boundaries)(hist, k)
+def swept(rows: DataFrame, k: int) -> DataFrame:
+    """Boundaries of rows(node_id, features, class_id)."""
+    return boundaries(value_histogram(rows, k), k)
 
 
 def candidates(bounds: DataFrame, k: int, options: Options) -> DataFrame:
-    """Valid candidates: node_id, feature_index, threshold, split_value, n_left, n_right, gain, split_info, gain_ratio, score."""
+    """Valid candidates: node_id, feature_index, tile, threshold, split_value, n_left, n_right, gain, split_info, gain_ratio, score, l0.., t0.."""
     left, every = _columns(k, "l"), _columns(k, "t")
     right = [t - x for t, x in zip(every, left)]
     apart = F.abs(F.col("before") - F.col("value")) >= options.epsilon
@@ -76,15 +74,16 @@ def candidates(bounds: DataFrame, k: int, options: Options) -> DataFrame:
     wide = bounds.filter(apart).withColumns({"n_left": total(left), "n_right": total(right)})
     least = max(1, options.min_samples_per_leaf)
     wide = wide.filter((F.col("n_left") >= least) & (F.col("n_right") >= least))
-    # Float sum, then a double half.
-    wide = wide.withColumns({"threshold": (F.col("before") + F.col("value")).cast("double") / 2.0, "split_value": F.col("before"), "gain": gain(every, [left, right], options.impurity)})
-    if options.selection is Selection.MaxGain:
-        wide = wide.withColumns({"split_info": F.lit(0.0), "gain_ratio": F.lit(0.0), "score": F.col("gain")}).filter(F.col("gain") > options.epsilon)
+    # Float sum, then a double half. Exploding one struct keeps the optimizer from repeating the formulas in filters and ratios.
+    ratio = options.selection is not Selection.MaxGain
+    info = split_information([F.col("n_left"), F.col("n_right")]) if ratio else F.lit(0.0)
+    once = F.struct(gain(every, [left, right], options.impurity).alias("gain"), info.alias("split_info"))
+    wide = wide.withColumns({"threshold": (F.col("before") + F.col("value")).cast("double") / 2.0, "split_value": F.col("before")}).select("*", F.inline(F.array(once))).filter(F.col("gain") > options.epsilon)
+    if ratio:
+        wide = wide.filter(F.col("split_info") > options.epsilon).withColumn("gain_ratio", F.col("gain") / F.col("split_info")).withColumn("score", F.col("gain_ratio"))
     else:
-        wide = wide.withColumn("split_info", split_information([F.col("n_left"), F.col("n_right")]))
-        wide = wide.filter((F.col("gain") > options.epsilon) & (F.col("split_info") > options.epsilon))
-        wide = wide.withColumn("gain_ratio", F.col("gain") / F.col("split_info")).withColumn("score", F.col("gain_ratio"))
-    return wide.select("node_id", "feature_index", "threshold", "split_value", "n_left", "n_right", "gain", "split_info", "gain_ratio", "score")
+        wide = wide.withColumns({"gain_ratio": F.lit(0.0), "score": F.col("gain")})
+    return wide.select("node_id", "feature_index", "tile", "threshold", "split_value", "n_left", "n_right", "gain", "split_info", "gain_ratio", "score", *left, *every)
 
 
 def partition_measures(df: DataFrame, part: str, labels: list[str], label: str, kind) -> DataFrame:

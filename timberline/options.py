@@ -45,8 +45,8 @@ class Options:
     impurity: Impurity = Impurity.Entropy
     #: 'adjacent' looks for a class change between neighbouring rows; 'all' takes every boundary between values.
     candidates: str = "adjacent"
-    #: Rows of a node's largest value histogram from which its prefix sums are tiled.
-    tile_rows: int = 200_000
+    #: Rows of a node up to which one task grows its whole subtree.
+    finish_rows: int = 10_000
     # Sizes of thread pools and device launches: kept, shown and without effect.
     max_feature_threads: int = 4
     max_node_threads: int = 4

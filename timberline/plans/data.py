@@ -26,8 +26,12 @@ def _of(table: str, features: tuple[str, ...], label: str, classes: int) -> Data
     return Data(features, classes, lambda s, d: s.read.parquet(f"{d}/{table}.parquet").withColumn("label", F.expr(label)), sql)
 
 
+#: Numbers of a vector, all of which are features.
+VECTOR = 64
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(*[F.col("embedding")[i].alias(f"d{i + 1}") for i in range(8)], "label")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(*[F.col("embedding")[i].alias(f"d{i + 1}") for i in range(VECTOR)], "label")
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +48,6 @@ DATA = {
     "part": _of("part", ("p_size", "p_retailprice"), "p_type", 6),
     "events": _of("events", ("value",), "event_type", 5),
     "orders": _of("orders", ("o_totalprice",), "o_orderstatus", 3),
-    "embeddings": Data(tuple(f"d{i + 1}" for i in range(8)), 10, _vectors, "SELECT " + ", ".join(f"embedding[{i + 1}]::FLOAT AS f{i}" for i in range(8)) + ", label::VARCHAR AS label FROM embeddings"),
+    "embeddings": Data(tuple(f"d{i + 1}" for i in range(VECTOR)), 10, _vectors, "SELECT " + ", ".join(f"embedding[{i + 1}]::FLOAT AS f{i}" for i in range(VECTOR)) + ", label::VARCHAR AS label FROM embeddings"),
     "quality": Data(("n_chars",), 2, _quality, "SELECT n_chars::FLOAT AS f0, quality::VARCHAR AS label FROM documents JOIN labels USING (doc_id)"),
 }

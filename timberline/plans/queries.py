@@ -17,12 +17,12 @@ from timberline.operators.predict import evaluate, predict
 from timberline.operators.prune import prune
 from timberline.operators.render import Box, layout, parse_text, tree_text
 from timberline.operators.select import best_per_feature, best_split, mean_gain_filter
-from timberline.operators.sweep import boundaries, candidates, partition_measures, swept, tiled_boundaries, value_histogram
+from timberline.operators.sweep import boundaries, candidates, partition_measures, swept, value_histogram
 from timberline.options import C45, CART, Impurity, Options, Pruning
 from timberline.plans import sql
 from timberline.plans.data import DATA, Data
 from timberline.sources import dataset_summary, load_inferred, load_positional
-from timberline.tables import keep, shared_dir
+from timberline.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,11 +151,11 @@ def _histogram(name: str) -> Query:
     return run
 
 
-def _bounds(name: str, tiled: bool = False) -> Query:
+def _bounds(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, labels = _rows(DATA[name], spark, sf_dir)
         k = len(labels)
-        found = (tiled_boundaries if tiled else boundaries)(keep(value_histogram(rows, k)), k)
+        found = boundaries(value_histogram(rows, k), k)
         found = found.filter((F.abs(F.col("before") - F.col("value")) >= 1e-9) & (F.col("before_class") != F.col("min_class")))
         return found.select("feature_index", ((F.col("before") + F.col("value")).cast("double") / 2.0).alias("threshold"), "before", "value", *[f"l{i}" for i in range(k)])
 
@@ -172,7 +172,18 @@ for _n in ("part", "events", "lineitem"):
     _cs = ", ".join(f"c{i}" for i in range(DATA[_n].classes))
     _add(f"value_histogram_{_n}", _histogram(_n), sql.query([*sql.rows(DATA[_n]), *sql.histogram(DATA[_n], 0)], f"SELECT fi AS feature_index, v AS value, mn AS min_class, mx AS max_class, {_cs} FROM h0"))
     _add(f"threshold_candidates_{_n}", _bounds(_n), _sql_bounds(_n))
-_add("tiled_prefix_histogram", _bounds("lineitem", tiled=True), _sql_bounds("lineitem"))
+
+
+def tiled_prefix_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts below each value, from its tile and the totals that the tile was handed, with the tile's number."""
+    rows, labels = _rows(DATA["lineitem"], spark, sf_dir)
+    k = len(labels)
+    found = boundaries(value_histogram(rows, k), k)
+    return found.select("feature_index", "tile", "before", "value", *[f"l{i}" for i in range(k)], *[f"t{i}" for i in range(k)])
+
+
+_TILE = "(CASE WHEN v < 0 THEN -1 ELSE 1 END * CASE WHEN v = 0 THEN 0 ELSE (floor(log2(abs(v::DOUBLE))) + 200) * 128 + floor((abs(v::DOUBLE) / power(2.0::DOUBLE, floor(log2(abs(v::DOUBLE)))) - 1) * 128) END)::INT"
+_add("tiled_prefix_histogram", tiled_prefix_histogram, sql.query([*sql.rows(DATA["lineitem"]), *sql.histogram(DATA["lineitem"], 0), *sql.sweep(DATA["lineitem"], 0, CART)], f"SELECT fi AS feature_index, {_TILE} AS tile, pv AS before, v AS value, l0, l1, l2, t0, t1, t2 FROM w0 WHERE pv IS NOT NULL"))
 
 _OPTIONS = {"cart": CART, "c45": C45}
 _MEASURES = ("gain", "split_info", "gain_ratio")
@@ -180,7 +191,7 @@ _MEASURES = ("gain", "split_info", "gain_ratio")
 
 def _scored(name: str, o: Options, spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, labels = _rows(DATA[name], spark, sf_dir)
-    return candidates(swept(rows, len(labels), o.tile_rows), len(labels), o)
+    return candidates(swept(rows, len(labels)), len(labels), o)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -369,7 +380,7 @@ _add("dataset_summary", summary_query, "SELECT count(*) AS n_rows, 'p_size' AS f
 
 
 def class_rank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of each label's share: rank of label counts within a group."""
+    """Labels of each group by how often they occur."""
     counts = _table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("l_linestatus").orderBy(F.desc("n"), "l_returnflag")))
 

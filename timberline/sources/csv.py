@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Label columns looked for by name, and spellings of a missing value.
@@ -10,28 +10,50 @@ TARGETS = ("Species", "Outcome", "species")
 MISSING = ("NA", "na", "?", "N/A")
 
 
+#: The form of a number at the beginning of a cell, in powers of ten or of two, and the smallest normal float.
+DECIMAL = r"^\s*([+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?|nan)))"
+HEXADECIMAL = r"^\s*([+-]?)0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)(?:\.([0-9a-fA-F]*))?(?:[pP]([+-]?\d+))?"
+LEAST_FLOAT = 1.1754943508222875e-38
+
+
+def _number(cell: Column) -> Column:
+    """The number that a cell begins with, as a float; what follows it is ignored. A cell without a number, and one beyond the floats, is an error."""
+    of = lambda i: F.regexp_extract(cell, HEXADECIMAL, i)
+    digits = F.concat(of(2), of(3))
+    power = F.coalesce(of(4).try_cast("int"), F.lit(0))
+    scaled = F.conv(digits, 16, 10).cast("double") * F.pow(F.lit(2.0), power - 4 * F.length(of(3))) * F.when(of(1) == "-", -1.0).otherwise(1.0)
+    many = F.raise_error(F.lit("A hexadecimal number has too many digits")).cast("double")
+    text = F.regexp_extract(cell, DECIMAL, 1)
+    value = F.when(cell.rlike(HEXADECIMAL), F.when(F.length(digits) > 15, many).otherwise(scaled)).otherwise(text.cast("double"))
+    beyond = (F.abs(value.cast("float")) == float("inf")) & ~text.rlike("(?i)inf")
+    below = (F.abs(value) < LEAST_FLOAT) & F.when(cell.rlike(HEXADECIMAL), digits.rlike("[^0]")).otherwise(F.split(text, "[eE]")[0].rlike("[1-9]"))
+    return F.when(beyond | below, F.raise_error(F.lit("A number is out of range")).cast("float")).otherwise(value.cast("float"))
+
+
 def load_positional(spark: SparkSession, path: str, strict_lines: bool = False) -> DataFrame:
     """Float features by header name and the string ``label``.
 
+    The first line of each file is its header, wherever else its text occurs.
     The first column is dropped. A cell without content at the end of a line
     counts as absent. ``strict_lines`` keeps a carriage return before a line
     end as part of the last cell; else it is removed.
     """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    if not strict_lines:
-        lines = lines.select(F.regexp_replace("value", "\r$", "").alias("value"))
-    head = lines.first()  # the first line of the file
+    head = spark.read.option("lineSep", "\n").text(path).first()
     if head is None:
         raise ValueError("Dataset file is empty")
-    cells = lambda c: F.split(F.regexp_replace(c, ",$", ""), ",", -1)
-    header = head[0].removesuffix(",").split(",")
+    first = head[0] if strict_lines else head[0].removesuffix("\r")
+    header = first.removesuffix(",").split(",")
     if len(header) < 3:
         raise ValueError("Unexpected CSV header format")
-    rows = lines.filter((F.length("value") > 0) & (F.col("value") != F.lit(head[0]))).select(cells("value").alias("c"))
+    # Lines as cells of one column, for the reader leaves out the header of each file.
+    lines = spark.read.schema("value string").options(header=True, enforceSchema=True, sep="\x01", quote="", escape="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    if not strict_lines:
+        lines = lines.select(F.regexp_replace("value", "\r$", "").alias("value"))
+    cells = F.split(F.regexp_replace("value", ",$", ""), ",", -1)
+    rows = lines.filter(F.length("value") > 0).select(cells.alias("c"))
     whole = F.when(F.size("c") == len(header), F.col("c")).otherwise(F.raise_error(F.lit("Malformed CSV row")))
     rows = rows.select(whole.alias("c"))
-    number = lambda i: F.regexp_extract(F.col("c")[i], r"^\s*([+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?|nan)))", 1).cast("float")
-    return rows.select(*[number(i).alias(header[i]) for i in range(1, len(header) - 1)], F.col("c")[len(header) - 1].alias("label"))
+    return rows.select(*[_number(F.col("c")[i]).alias(header[i]) for i in range(1, len(header) - 1)], F.col("c")[len(header) - 1].alias("label"))
 
 
 def load_inferred(spark: SparkSession, path: str) -> DataFrame:
