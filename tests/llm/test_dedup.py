@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from timberline.llm.bloom import anti, semi
 from timberline.llm.components import components
 from timberline.llm.exact_dedup import exact_dedup, exact_groups, frequent, misra_gries
-from timberline.llm.near_dedup import SKETCH, WHOLE, Hashes, estimate, least_shared, most_similar, near_dedup, near_groups, shared, shingle_sets
+from timberline.llm.near_dedup import SKETCH, WHOLE, Hashes, estimate_passes, least_shared, near_dedup, near_groups, shared, shingle_sets
 
 
 def test_exact_groups(make, odd):
@@ -72,29 +72,20 @@ def test_union_sketch():
     least = least_shared(SKETCH, 85, 100)
     full = lambda x: (np.sort(x), len(x))
     drawn = lambda x: (np.sort(x)[: len(x) if len(x) <= WHOLE else SKETCH], len(x))
-    for n in (20, 110, 128, 140, 310, 330, 2000):
+    for n in (20, 110, 128, 140, 250, 260, 2000):
         for j in (0.5, 0.84, 0.86, 0.95):
             both = int(n * j)
             values = rng.choice(2**62, 2 * n - both, replace=False).astype(np.uint64)
             a, b = values[:n], np.concatenate([values[:both], values[n:]])
             link = 100 * both >= 85 * (2 * n - both)
-            low, high, passes = estimate(*drawn(a), *drawn(b), 85, 100, least)
+            passes = estimate_passes(*drawn(a), *drawn(b), 85, 100, least)
             assert passes or not link
-            assert low <= both / (2 * n - both) <= high
             if n <= WHOLE:
-                assert passes == link and low == high
+                assert passes == link
             assert not passes or both / (2 * n - both) > 0.5
             assert shared(full(a)[0], full(b)[0]) == both
 
 
-def test_bounds_of_the_estimate():
-    high = most_similar()
-    assert (np.diff(high) > 0).all() or high[-1] == high[-2] == 1
-    for x in (0, 30, 100, 120):
-        few = lambda p: sum(comb(SKETCH, i) * p**i * (1 - p) ** (SKETCH - i) for i in range(x + 1))  # noqa: B023, E731
-        assert few(high[x] + 1e-6) < 1e-9 < few(high[x] - 1e-6)
-
-
 def test_shingle_sets_are_those_of_single_texts():
     texts = [b"", b"a b c d e f a b c", b"One", b"x y", b" \t", b"one", b"a b c"]
     known = Hashes()

@@ -11,7 +11,10 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from timberline.llm import brown, quality, secrets, toxicity
+from timberline.llm.common import keep
 
 TABLES = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not Path(TABLES).exists(), reason="no test tables")
@@ -159,3 +162,47 @@ def test_secrets_learn_from_given_findings(spark, make):
     docs = make(rows)
     labelled = secrets.candidates(docs).selectExpr("*", "cast(id % 2 = 0 as int) AS label")
     assert all(r.predicted == (r.doc_id % 2 == 0) for r in secrets.scan(docs, labelled).collect())
+
+
+def test_held_out_findings(spark):
+    """Precision and recall on generated findings that the forest did not learn from."""
+    found = secrets.generated_findings(spark)
+    words = secrets.dictionary(found)
+    featured = keep(secrets.features(found, words).withColumn("held", F.pmod(F.hash("id"), F.lit(4)) == 0))
+    forest = secrets.grow_forest(featured.filter("not held"))
+    got = featured.filter("held").select("label", (secrets.forest_score(forest) >= 0.5).cast("int").alias("predicted")).collect()
+    hits = sum(r.label and r.predicted for r in got)
+    assert len(got) > 1000 and hits / sum(r.predicted for r in got) > 0.95 and hits / sum(r.label for r in got) > 0.95
+    # No single feature decides: many strings of one form have either label.
+    hexes = found.filter(F.col("candidate").rlike("^[0-9a-f]{40}$")).groupBy("label").count().collect()
+    assert len(hexes) == 2 and all(r["count"] > 50 for r in hexes)
+
+
+def test_forest_is_the_mean_of_its_trees(spark):
+    rng = random.Random(7)
+    rows = [([float(rng.randrange(9)) for _ in range(5)], i) for i in range(300)]
+    df = spark.createDataFrame([(f, int(f[0] + f[3] > 8) if rng.random() > 0.1 else 0, i, 0) for f, i in rows], "features array<float>, label int, id long, number int")
+    forest = secrets.grow_forest(df, trees=5, depth=3)
+    assert len(forest) == 5 and any(len(t) > 3 for t in forest)
+
+    def walk(tree, features):
+        at = 0
+        while len(tree[at]) == 2:
+            at = 2 * at + (1 if features[tree[at][0]] <= tree[at][1] else 2)
+        return tree[at][0]
+
+    for r in df.select("features", secrets.forest_score(forest).alias("s")).collect():
+        assert r.s == pytest.approx(np.mean([walk(t, r.features) for t in forest]))
+
+
+def test_features_of_a_finding(spark, make):
+    text = 'noise words here token = "abCD12ef_34GHij-kl56" and other words follow'
+    found = secrets.candidates(make([(1, text, "tests/a/b.py")])).collect()
+    assert [r.candidate for r in found] == ["abCD12ef_34GHij-kl56"]
+    got = secrets.features(secrets.candidates(make([(1, text, "tests/a/b.py")])), ["gh", "abc", "kl"]).first().features
+    c = found[0].candidate
+    kinds = re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", c)))
+    changes = len(re.sub(r"(.)\1+", r"\1", kinds)) - 1
+    covered = len("abc") + len("gh") + len("kl")
+    want = [20, changes, changes / 20, 6 / 20, sum(x in "aeiou" for x in c.lower()) / 20, 2 / 20, covered / 20, 12, 2, 1, 1, 0, 1, 1, 7]
+    assert got == pytest.approx(want, abs=1e-6)

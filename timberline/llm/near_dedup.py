@@ -16,13 +16,13 @@ and is opened only by documents that consist of little else. All lists, of any
 length, are followed in the same way. First each list ties its documents to one
 leader, the one with the smallest part of values of its own; the union-sketch
 estimate filters these pairs and exact Jaccard on full sets verifies them. A
-group of m near copies is so linked by about m comparisons. Then lists that
-still hold documents of several components give the pairs between components,
-in blocks of the list; they are estimated and verified as well. The distance
-1 - similarity is a metric, so the distances to the leader, as verified or
-bounded by the estimate, rule out what lies too far apart: a document far from
-a leader meets none of those close to it. A list of m documents of which d are
-neither far nor linked costs up to d m estimates, spread over tasks.
+group of m near copies is so linked by about m comparisons. Then all documents
+of lists that still hold several components, near copies and what only
+resembles them, are sketched whole. In their exact lists a document opens only
+about as many values as it may lack, so those that differ too much from the
+rest of a group have no list in common with it; the others give the pairs
+between components, in blocks of the list, which are estimated and verified as
+well.
 
 Lists are counted by a window that spills; values with more than about 1/512 of
 all rows are counted ahead and not shuffled, and joins send their most frequent
@@ -41,7 +41,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from math import comb
 
@@ -57,7 +56,7 @@ from timberline.llm.exact_dedup import grouped
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Values that a sketch retains, and of documents that are retained whole; one of so many links may be lost to an estimate.
-SKETCH, WHOLE, LOSS = 128, 320, 10**9
+SKETCH, WHOLE, LOSS = 128, 256, 10**9
 #: Values so frequent that they are not shuffled, at most.
 HOT = 512
 #: Partners of one document that a task compares, and documents of one list that a task pairs with others.
@@ -132,49 +131,33 @@ def least_shared(k: int, num: int, den: int) -> int:
     return k
 
 
-@lru_cache
-def most_similar() -> np.ndarray:
-    """For each number of shared values of a union sketch, the similarity above which so few are shared only once in ``LOSS``."""
-    ways = np.array([float(comb(SKETCH, i)) for i in range(SKETCH + 1)])
-    out = []
-    for x in range(SKETCH + 1):
-        low, high = x / SKETCH, 1.0
-        for _ in range(40):
-            p, i = (low + high) / 2, np.arange(x + 1)
-            few = float((ways[: x + 1] * p**i * (1 - p) ** (SKETCH - i)).sum())
-            low, high = (p, high) if few > 1 / LOSS else (low, p)
-        out.append(high)
-    return np.array(out)
-
-
-def estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int, num: int, den: int, least: int) -> tuple[float, float, bool]:
-    """Bounds of the similarity, and whether it may be that of a link: exact if both are retained whole, else by the union sketch."""
+def estimate_passes(a: np.ndarray, na: int, b: np.ndarray, nb: int, num: int, den: int, least: int) -> bool:
+    """Whether the similarity may be that of a link: exact if both are retained whole, else by the union sketch."""
     if na <= len(a) and nb <= len(b):
         both = shared(a, b)
-        return both / (na + nb - both), both / (na + nb - both), den * both >= num * (na + nb - both)
+        return den * both >= num * (na + nb - both)
     last = np.union1d(a, b)[:SKETCH][-1]
-    both = shared(a[: np.searchsorted(a, last, side="right")], b[: np.searchsorted(b, last, side="right")])
-    return 0.0, float(most_similar()[both]), both >= least
+    return shared(a[: np.searchsorted(a, last, side="right")], b[: np.searchsorted(b, last, side="right")]) >= least
 
 
-def sketches(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """id, n, digest of the full set, the retained values in ascending order (unsigned, as longs)."""
+def sketches(df: DataFrame, id: str, text: str, words: int, limit: int | None = WHOLE) -> DataFrame:
+    """row, id, n, digest of the full set, the retained values in ascending order (unsigned, as longs); all values up to ``limit``, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = in_worker("hashes", Hashes)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 250):
+                part = b.slice(lo, 250)
                 values, begin = shingle_sets(part.column(1).to_pylist(), words, known)
                 n = np.diff(begin)
                 digests = [hashlib.blake2b(values[x:y].tobytes(), digest_size=16).digest() for x, y in zip(begin[:-1], begin[1:])]
-                many = np.where(n <= WHOLE, n, SKETCH)
+                many = n if limit is None else np.where(n <= limit, n, SKETCH)
                 first = np.arange(len(values)) - np.repeat(begin[:-1], n) < np.repeat(many, n)
                 at = np.concatenate([[0], np.cumsum(many)])
                 kept = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values[first].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), kept], ["id", "n", "digest", "sketch"])
 
-    return df.select(F.col(id).cast("long").alias("id"), text_of(text).cast("binary").alias("t")).mapInArrow(run, "id long, n long, digest binary, sketch array<long>")
+    return df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t")).mapInArrow(run, "id long, n long, digest binary, sketch array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
 def _hot_values(drawn: DataFrame, hot: int) -> list[tuple[int, int]]:
@@ -207,11 +190,12 @@ def _asked(whole: Column, both: Column, num: int, den: int) -> Column:
     return F.when(whole, F.ceil(both * num / F.lit(float(num + den)) - 1e-9)).otherwise(least_shared(SKETCH, num, den))
 
 
-def _lists(drawn: DataFrame, reps: DataFrame, num: int, den: int, hot: int) -> DataFrame:
+def _lists(drawn: DataFrame, reps: DataFrame, num: int, den: int, hot: int, limit: int | None = WHOLE) -> DataFrame:
     """v, df (length of its list), whole (kind of list), id, n, s (values of the document's sketch), place there by rarity, rare (part of values of its own): the rows of the lists to be followed."""
     hot_values = [(v ^ x, n) for v, n in _hot_values(drawn, hot) for x in (0, _OTHER)]
     common = drawn.sparkSession.createDataFrame(hot_values, "v long, df long")  # at most 2 * hot rows
-    whole, partial, none = F.col("n") <= WHOLE, F.col("n") * den > num * WHOLE, F.array().cast("array<long>")
+    whole, partial = (F.lit(True), F.lit(False)) if limit is None else (F.col("n") <= limit, F.col("n") * den > num * limit)
+    none = F.array().cast("array<long>")
     other = F.transform(F.slice("sketch", 1, SKETCH), lambda v: v.bitwiseXOR(F.lit(_OTHER)))
     both = F.concat(F.when(whole, F.col("sketch")).otherwise(none), F.when(partial, other).otherwise(none))
     values = reps.select("row", F.when(whole, F.col("n")).otherwise(0).alias("own"), F.posexplode(both).alias("at", "v"))
@@ -230,14 +214,13 @@ def _lists(drawn: DataFrame, reps: DataFrame, num: int, den: int, hot: int) -> D
     return ranked.filter(F.col("place") <= F.col("s") - asked + 1).select("v", "df", "whole", "id", "n", "s", "place", "rare")
 
 
-def _compared(pairs: DataFrame, data: DataFrame, step: int, prepare, measure) -> DataFrame:
-    """pairs(a, b, block) with low and high, bounds of the similarity, and passes; data(id, more columns).
+def _compared(pairs: DataFrame, data: DataFrame, step: int, prepare, passes) -> DataFrame:
+    """The pairs(a, b, block) that pass; data(id, more columns).
 
     A document ``a`` goes once to each block of its partners, so one of many
     partners takes many tasks. ``prepare`` makes a list of what is compared from
-    columns of data, ``measure`` gives low, high and passes of two of them.
-    Where several rows of data have one id, the bounds hold for all of them and
-    one that passes is enough.
+    columns of data, ``passes`` tells of two of them. Where several rows of data
+    have one id, one that passes is enough.
     """
     columns = [c for c in data.columns if c != "id"]
     ours = pairs.select(F.col("a").alias("id"), "a", "block", F.lit(None).cast("long").alias("b")).distinct()
@@ -258,18 +241,15 @@ def _compared(pairs: DataFrame, data: DataFrame, step: int, prepare, measure) ->
                         of, own = (a, block), []
                     if b is None:
                         own.append(x)
-                    else:
-                        low, high, passes = zip(*(measure(y, x) for y in own))
-                        found.append((a, block, b, min(low), max(high), any(passes)))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], ["a", "block", "b", "low", "high", "passes"])
+                    elif any(passes(y, x) for y in own):
+                        found.append((a, block, b))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["a", "block", "b"])
 
-    out = rows.mapInArrow(run, "a long, block int, b long, low double, high double, passes boolean")
-    return out.groupBy("a", "b").agg(F.min("block").alias("block"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("passes").alias("passes"))
+    return rows.mapInArrow(run, "a long, block int, b long").distinct()
 
 
 def estimated(pairs: DataFrame, drawn: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs with what the sketches say; drawn(id, n, sketch)."""
+    """The pairs that the sketches let pass; drawn(id, n, sketch)."""
     least = least_shared(SKETCH, num, den)
 
     def prepare(columns: list[pa.Array]) -> list:
@@ -277,46 +257,53 @@ def estimated(pairs: DataFrame, drawn: DataFrame, num: int, den: int) -> DataFra
         flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         return [(flat[x:y], m) for x, y, m in zip(at[:-1], at[1:], n)]
 
-    return _compared(pairs, drawn.select("id", "n", "sketch"), 500, prepare, lambda x, y: estimate(*x, *y, num, den, least))
+    return _compared(pairs, drawn.select("id", "n", "sketch"), 500, prepare, lambda x, y: estimate_passes(*x, *y, num, den, least))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs with the exact similarity of their full sets; texts(id, t)."""
+    """The pairs whose full sets have the similarity; texts(id, t)."""
 
     def prepare(columns: list[pa.Array]) -> list:
         values, at = shingle_sets(columns[0].to_pylist(), words, in_worker("hashes", Hashes))
         return [values[x:y] for x, y in zip(at[:-1], at[1:])]
 
-    def measure(x: np.ndarray, y: np.ndarray) -> tuple[float, float, bool]:
+    def passes(x: np.ndarray, y: np.ndarray) -> bool:
         both = shared(x, y)
-        all_ = len(x) + len(y) - both
-        return both / max(1, all_), both / max(1, all_), both > 0 and den * both >= num * all_
+        return both > 0 and den * both >= num * (len(x) + len(y) - both)
+
+    return _compared(pairs, texts, 200, prepare, passes)
+
+
+def _leads(listed: DataFrame) -> DataFrame:
+    """v, lead: the leader of each list of several rows."""
+    return keep(listed.groupBy("v").agg(F.count("*").alias("many"), F.min(F.struct("rare", "id", "n")).alias("lead")).filter("many > 1").select("v", "lead"))
+
+
+def _placed(rows: DataFrame, found: DataFrame, col: str = "id", to: str = "at") -> DataFrame:
+    """rows with the component ``to`` of the document ``col``."""
+    return hot_join(rows, found.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
+
 
-    return _compared(pairs, texts, 200, prepare, measure)
+def _several(placed: DataFrame) -> DataFrame:
+    """v: the lists that hold several components."""
+    return placed.groupBy("v").agg(F.min("at").alias("one"), F.max("at").alias("other")).filter("one <> other").select("v")
 
 
-def _between(listed: DataFrame, leads: DataFrame, bounds: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, block: pairs of documents of one list and different components; ``found`` gives components, ``bounds`` those of the distances from leaders.
+def _between(listed: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, block: pairs of documents of one list and different components; ``found`` gives components.
 
     The leader's component meets the others, and they meet each other. In the
     first list that two documents share, their places bound what they share.
     """
-    at = lambda rows, col, to: hot_join(rows, found.select(F.col("node").alias(col), F.col("component").alias(to)), col, "left").withColumn(to, F.coalesce(to, col))
-    placed = keep(at(listed, "id", "at"))
-    several = placed.groupBy("v").agg(F.min("at").alias("one"), F.max("at").alias("other")).filter("one <> other").select("v")
-    several = keep(at(leads.join(several, "v").select("v", F.col("lead.id").alias("lead")), "lead", "lead_at"))
+    placed, leads = keep(_placed(listed, found)), _leads(listed)
+    several = keep(_placed(leads.join(_several(placed), "v").select("v", F.col("lead.id").alias("lead")), found, "lead", "lead_at").select("v", "lead_at"))
     blocks = F.ceil(F.col("df") / F.lit(float(BLOCK))).cast("int")
-    mixed = hot_join(placed, several, "v", hot=HOT).withColumn("block", F.pmod(F.hash("id"), blocks))
-    mixed = mixed.join(bounds.select(F.col("a").alias("lead"), F.col("b").alias("id"), "near", "far"), ["lead", "id"], "left")
-    # A leader is no distance from itself; nothing is known of a document that its size keeps from its leader.
-    near, far = (F.when(F.col("id") == F.col("lead"), 0.0).otherwise(F.coalesce(x, F.lit(y))) for x, y in (("near", 1.0), ("far", 0.0)))
-    mixed = keep(mixed.withColumns({"near": near, "far": far}))
-    probe = mixed.filter("at <> lead_at").select("v", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("place").alias("pa"), F.col("near").alias("near_a"), F.col("far").alias("far_a"), F.col("at").alias("a_at"))
+    mixed = keep(hot_join(placed, several, "v", hot=HOT).withColumn("block", F.pmod(F.hash("id"), blocks)))
+    probe = mixed.filter("at <> lead_at").select("v", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("place").alias("pa"), F.col("at").alias("a_at"))
     asked = _asked(F.col("whole"), F.col("n") + F.col("na"), num, den)
     room = 1 + F.least(F.col("s") - F.col("place"), F.col("sa") - F.col("pa")) >= asked
     once = (F.col("at") == F.col("lead_at")) | (F.col("id") < F.col("a"))
-    apart = F.greatest(F.col("far") - F.col("near_a"), F.col("far_a") - F.col("near")) > 1 - num / den + 1e-9
-    pairs = mixed.join(probe, ["v", "block"]).filter((F.col("at") != F.col("a_at")) & once & ~apart & _size_ok(F.col("n"), F.col("na"), num, den) & room)
+    pairs = mixed.join(probe, ["v", "block"]).filter((F.col("at") != F.col("a_at")) & once & _size_ok(F.col("n"), F.col("na"), num, den) & room)
     return pairs.groupBy("a", F.col("id").alias("b")).agg(F.min("block").alias("block"))
 
 
@@ -331,32 +318,31 @@ def _texts(texts: DataFrame, linkable: DataFrame) -> DataFrame:
 
 def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, hot: int = HOT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links), kept."""
-    drawn = keep(sketches(df, id, text, words).withColumn("row", F.monotonically_increasing_id()))
+    drawn = keep(sketches(df, id, text, words))
     linkable = drawn.filter("n > 0 and id is not null")
     # Documents with equal sets are one from the start.
     equal = grouped(linkable.select(F.col("row").alias("__row"), F.col("id").alias("__id"), F.col("digest").alias("__digest")))
     copies = keep(equal.filter("not kept").select(F.col("__row").alias("row"), F.col("keep_id").alias("rep")))
     reps = anti(linkable, copies, "row")
     listed = keep(_lists(linkable, reps, num, den, hot))
-    leads = keep(listed.groupBy("v").agg(F.count("*").alias("many"), F.min(F.struct("rare", "id", "n")).alias("lead")).filter("many > 1").select("v", "lead"))
 
     # Each document of a list meets the leader.
-    star = hot_join(listed, leads, "v", hot=HOT).filter((F.col("id") != F.col("lead.id")) & _size_ok(F.col("n"), F.col("lead.n"), num, den))
+    star = hot_join(listed, _leads(listed), "v", hot=HOT).filter((F.col("id") != F.col("lead.id")) & _size_ok(F.col("n"), F.col("lead.n"), num, den))
     block = F.pmod(F.hash("id"), F.ceil(F.col("df") / F.lit(float(BLOCK))).cast("int"))
     tried = keep(star.groupBy(F.col("lead.id").alias("a"), F.col("id").alias("b")).agg(F.min(block).alias("block")))
     texts = _texts(df.select(F.col(id).cast("long").alias("id"), text_of(text).cast("binary").alias("t")), linkable)
-    likelies = keep(estimated(tried, reps, num, den))
-    exact = keep(verified(likelies.filter("passes"), texts, words, num, den))
-    found = components(exact.filter("passes"))
-
-    # Then documents of one list in different components.
-    known = likelies.join(exact.select("a", "b", F.col("low").alias("j")), ["a", "b"], "left")
-    bounds = keep(known.select("a", "b", (1 - F.coalesce("j", "low")).alias("near"), (1 - F.coalesce("j", "high")).alias("far")))
-    sides = lambda rows: rows.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
-    rest = keep(sides(_between(listed, leads, bounds, found, num, den)).join(sides(tried).select("lo", "hi"), ["lo", "hi"], "left_anti").select("a", "b", "block"))
-    if not rest.isEmpty():
-        more = verified(keep(estimated(rest, reps, num, den)).filter("passes"), texts, words, num, den).filter("passes")
-        found = components(keep(more).select("a", "b").union(found.select("node", "component")))
+    linked = lambda pairs: keep(verified(keep(estimated(pairs, reps, num, den)), texts, words, num, den))
+    found = components(linked(tried))
+
+    # Then documents of lists that hold several components, by their whole sets.
+    placed = keep(_placed(listed, found))
+    left = keep(hot_join(placed, _several(placed), "v", hot=HOT).select("id").distinct())
+    if not left.isEmpty():
+        whole = keep(sketches(semi(texts, left), "id", "t", words, None))
+        exact = keep(_lists(whole, whole, num, den, hot, None))
+        sides = lambda rows: rows.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+        rest = keep(sides(_between(exact, found, num, den)).join(sides(tried).select("lo", "hi"), ["lo", "hi"], "left_anti").select("a", "b", "block"))
+        found = components(linked(rest).select("a", "b").union(found.select("node", "component")))
 
     out = drawn.join(copies, "row", "left").select("id", "n", F.coalesce("rep", "id").alias("node"))
     out = hot_join(out, found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))

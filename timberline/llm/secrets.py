@@ -11,10 +11,11 @@ on some of the features each, learns from labelled findings; scoring is one
 column expression.
 
 ``labelled`` takes any findings with a column ``label`` (1 secret, 0 false alarm,
-else null). The given tables have none, so :func:`weak_labels` states a rule:
-hexadecimal strings of 32 or more characters that are assigned in quotes are
-secrets; strings of digits alone are not, nor are plain words or separators that
-are not assigned to a keyword; the rest is for the forest to judge.
+else null). The given tables have none, so :func:`generated_findings` writes
+some of many kinds, in which neither the string nor its surroundings alone
+decide: the same forms are secrets where they are assigned to a keyword, and
+false alarms as commits, checksums and ids or in the paths of tests; words,
+paths and placeholders are false alarms also where they are assigned.
 
 Defined cases: null or empty texts have no candidates; long texts are scanned
 whole; each occurrence is a finding, also in repeated rows; a null path is
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import keep, text_of
@@ -37,7 +38,9 @@ from timberline.options import CART
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+(?![A-Za-z0-9+/_=-])"
 #: Characters beside a candidate that are looked at; words of the dictionary.
 BESIDE, DICTIONARY = 48, 200
-TREES, DEPTH, LEAST = 8, 4, 4
+TREES, DEPTH, LEAST = 12, 6, 4
+#: Texts with labelled findings that are generated where none are given.
+GENERATED = 6_000
 #: Labelled findings that the forest learns from at most, by a hash.
 SAMPLE = 50_000
 KEYWORD = r"(?i)(secret|token|passw|passphrase|api.?key|credential|auth|private)"
@@ -46,8 +49,6 @@ ASSIGNED = KEYWORD + r"[\w.\]-]{0,64}[\"'`]?[ \t]{0,16}[:=>]{1,3}[ \t]{0,16}[\"'
 #: A run that is itself a keyword's assignment gives its value only, which may hold other characters.
 FOUND = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})(?![\w-]{0,64}" + KEYWORD + r"[\w-]{0,64}=[^=\s\"'`])(?-i)" + CANDIDATE
 FOUND += r"|(?<=[:=>\s\"'`])(?<=[:=>][ \t]{0,16}[\"'`]?)(?![:=>])(?<=" + ASSIGNED + r")[^\s\"'`]++"
-#: Letters in words of one case or with a capital, between separators.
-PLAIN = r"^[+/_=-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++)(?:[+/_=-]++|$))*+$"
 TRIAL = r"(?i)(test|example|sample|fixture|mock|doc|spec)"
 
 
@@ -97,12 +98,60 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     return found.withColumn("features", F.array(*[v.cast("float") for v in values]))
 
 
-def weak_labels(found: DataFrame) -> DataFrame:
-    """found with ``label`` by the stated rule."""
-    hexadecimal = F.col("candidate").rlike("(?i)^[0-9a-f]{32,}$") & F.col("candidate").rlike("(?i)[a-f]")
-    assigned = F.col("left").rlike(r"[=:]\s*[\"']$") & F.col("right").rlike(r"^[\"']")
-    plain = F.col("candidate").rlike(PLAIN) & ~F.col("left").rlike(ASSIGNED + "$")
-    return found.withColumn("label", F.when(hexadecimal & assigned, 1).when(F.col("candidate").rlike("^[0-9]+$") | plain, 0))
+def generated_texts(spark: SparkSession, rows: int = GENERATED) -> DataFrame:
+    """id, text, source, label: a text with one finding, or several of one label, drawn by hashes of the id."""
+    draw = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    pick = lambda salt, *of: F.element_at(F.array(*map(F.lit, of)), (draw(salt, len(of)) + 1).cast("int"))
+
+    def run(salt: int, letters: str, least: int, most: int) -> Column:
+        n = (draw(salt, most - least + 1) + least).cast("int")
+        sign = lambda i: F.substring(F.lit(letters), (F.pmod(F.xxhash64("id", F.lit(salt), i), F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+        return F.array_join(F.transform(F.sequence(F.lit(1), n), sign), "")
+
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    hexes, mixed = "0123456789abcdef", lower + lower.upper() + digits
+    hexadecimal = lambda salt: F.element_at(F.array(*[run(salt + n, hexes, n, n) for n in (32, 40, 64)]), (draw(salt, 3) + 1).cast("int"))
+    word = lambda salt: pick(salt, "build", "server", "user", "report", "engine", "worker", "archive", "network", "internal", "schedule", "customer", "release")
+    key = pick(1, "api_key", "API_KEY", "secret", "client_secret", "token", "auth_token", "ACCESS_TOKEN", "private_key", "credential", "db_password", "passphrase")
+    sign, quote, blank = pick(2, " = ", "=", ": ", " := ", " => "), pick(3, '"', "'"), F.lit(" ")
+    assigned = lambda what: F.concat(key, sign, quote, what, quote)
+    bare = lambda what: F.concat(F.upper(key), F.lit("="), what)
+    plain = F.concat(word(4), pick(5, "-", "_", "/"), word(6), pick(7, "-", "_", "/"), word(8), pick(9, "-", "_", "/"), word(10))
+    secrets = [
+        assigned(hexadecimal(100)),
+        assigned(run(210, mixed + "+/", 24, 64)),
+        assigned(run(220, mixed, 16, 48)),
+        bare(run(230, mixed, 20, 40)),
+        bare(hexadecimal(300)),
+        F.concat(pick(11, "password", "db_passwd", "PASSPHRASE"), sign, quote, run(410, mixed + "!$%*#", 9, 15), quote),
+        F.concat(F.lit("Authorization: token "), run(420, mixed + "_", 30, 44)),
+    ]
+    alarms = [
+        F.concat(pick(12, "commit ", "merged ", "see revision ", "reverts "), run(510, hexes, 40, 40)),
+        F.concat(pick(13, "sha256: ", "md5 = ", "checksum: ", "digest="), quote, hexadecimal(600), quote),
+        F.concat(pick(14, "id=", "request ", "session id: "), *[x for i, n in enumerate((8, 4, 4, 4, 12)) for x in ([F.lit("-")] if i else []) + [run(710 + i, hexes, n, n)]]),
+        F.concat(pick(15, "order ", "account ", "serial = ", "phone: "), run(720, digits, 16, 24)),
+        F.concat(pick(16, "in ", "file: ", "see "), plain, F.lit("/"), word(17)),
+        F.concat(pick(18, "call ", "class ", "the "), F.initcap(word(19)), F.initcap(word(20)), F.initcap(word(21)), F.initcap(word(22))),
+        F.concat(pick(23, "-", "=", "_"), F.repeat(pick(24, "-", "=", "_"), 40)),
+        assigned(plain),
+        assigned(pick(25, "your-api-key-goes-here", "xxxxxxxxxxxxxxxxxxxx", "changeme", "REPLACE_WITH_YOUR_TOKEN", "placeholder", "none", "0000000000000000")),
+        F.concat(word(26), sign, quote, run(730, digits, 16, 20), quote),
+    ]
+    kinds = [(x, 1) for x in secrets] * 2 + [(x, 0) for x in alarms]
+    which, trial = draw(0, len(kinds)), draw(27, 5) == 0
+    text, label = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for i, (x, y) in enumerate(kinds):
+        text, label = F.when(which == i, x).otherwise(text), F.when(which == i, y).otherwise(label)
+    text = F.concat(word(28), blank, word(29), pick(30, " ", "\n", ", "), text, pick(31, " ", "\n", "; "), word(32), blank, word(33))
+    path = F.concat(F.when(trial, pick(34, "tests/fixtures/", "examples/", "docs/")).otherwise(pick(35, "src/", "deploy/", "config/", "web", "")), word(36), pick(37, ".py", ".yaml", ".env", "", ""))
+    return spark.range(rows).select("id", text.alias("text"), path.alias("source"), F.when(trial, 0).otherwise(label).alias("label"))
+
+
+def generated_findings(spark: SparkSession, rows: int = GENERATED) -> DataFrame:
+    """Findings as :func:`candidates` gives them, with ``label``."""
+    texts = generated_texts(spark, rows)
+    return candidates(texts, "id").join(texts.select("id", "label"), "id")
 
 
 def grow_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[dict[int, tuple]]:
@@ -159,7 +208,7 @@ def scan(df: DataFrame, labelled: DataFrame | None = None, id: str = "doc_id", t
     found = keep(candidates(df, id, text, path))
     words = dictionary(found)
     featured = features(found, words)
-    teach = weak_labels(featured) if labelled is None else features(labelled, words)
-    score = forest_score(grow_forest(teach))
+    teach = generated_findings(df.sparkSession) if labelled is None else labelled
+    score = forest_score(grow_forest(features(teach, words)))
     out = featured.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     return out.select(F.col("id").alias(id), "path", "number", "start", "candidate", "score", "predicted")
