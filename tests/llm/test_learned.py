@@ -206,3 +206,91 @@ def test_features_of_a_finding(spark, make):
     covered = len("abc") + len("gh") + len("kl")
     want = [20, changes, changes / 20, 6 / 20, sum(x in "aeiou" for x in c.lower()) / 20, 2 / 20, covered / 20, 12, 2, 1, 1, 0, 1, 1, 7]
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def class_rows(spark, n=240, groups=4, seed=13):
+    """Texts of a chain over groups of words, with rare words in each group."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        g, words = rng.randrange(groups), []
+        for _ in range(rng.randint(5, 40)):
+            g = (g + 1) % groups if rng.random() < 0.85 else rng.randrange(groups)
+            words.append(f"g{g}w{min(int(rng.paretovariate(0.9)), 60)}")
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def clustered(df, head):
+    docs = df.selectExpr("monotonically_increasing_id() AS row", "doc_id AS id", "crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 1 AS held", "cast(coalesce(text, '') AS binary) AS t")
+    words = brown.frequent_words(docs.filter("not held"), head)
+    classes, counts, texts = brown.cluster(brown.encoded(docs, words), len(words))
+    out = {}
+    for r in texts.collect():
+        rest = iter(r.tails or b"")
+        out[r.id] = (r.held, [int(classes[i]) if i >= 0 else next(rest) for i in r.ids])
+    return int(classes[0]), out
+
+
+def test_score_of_given_classes(spark, make):
+    """The scores, worked out from the classes word by word, with words outside the head and unseen ones."""
+    rows = [*class_rows(spark), (500, "g1w1 never seen g2w1"), (501, ""), (502, None)]
+    texts = {i: [*(t or "").lower().split(), "\n"] for i, t in rows}
+    end, placed = clustered(make(rows), 30)
+    word_class, n1, n2, n3, count, total = {}, Counter(), Counter(), Counter(), Counter(), Counter()
+    for i, (held, classes) in placed.items():
+        history = [end, end, *classes]
+        for w, c, h2, h1 in zip(texts[i], classes, history, history[1:]):
+            assert word_class.setdefault(w, c) == c
+            if not held:
+                n3[h2, h1, c] += 1
+                n2[h1, c] += 1
+                n1[c] += 1
+                count[w] += 1
+    n = sum(n1.values())
+    once = sum(x == 1 for x in count.values())
+    unseen = min(0.5, max(once / n, 0.5 / (n + 0.5 * (len(count) + 1))))
+    assert set(word_class.values()) <= {*range(brown.CLASSES), 255} and len({word_class[w] for w in count}) > 20
+
+    def p(c, h2, h1):
+        out = n1[c] / n
+        for counts, of in ((n2, (h1,)), (n3, (h2, h1))):
+            below = {k[-1]: x for k, x in counts.items() if k[:-1] == of}
+            if below:
+                out = (below.get(c, 0) + len(below) * out) / (sum(below.values()) + len(below))
+        return out
+
+    got = {r.doc_id: r for r in brown.score(make(rows), head=30).collect()}
+    for i in [*range(0, 240, 9), 500, 501, 502]:
+        history, want = [end, end, *placed[i][1]], 0.0
+        for w, c, h2, h1 in zip(texts[i], placed[i][1], history, history[1:]):
+            want += math.log10(unseen if not count[w] else p(c, h2, h1) * count[w] / n1[c] * (1 - unseen))
+        assert got[i].score == pytest.approx(want, abs=1e-6)
+        assert got[i].perplexity == pytest.approx(10 ** (-want / len(texts[i])), rel=1e-6)
+
+
+def test_exchange_finds_classes_as_good_as_a_plain_one(spark, make, monkeypatch):
+    monkeypatch.setattr(brown, "CLASSES", 6)
+    rows = [(i, t) for i, t in class_rows(spark, 700) if crc(i) % 5 != 1]
+    texts = [[*t.split(), "\n"] for _, t in rows]
+    pairs = Counter(p for t in texts for p in zip(["\n", *t], t))
+
+    def likelihood(of):
+        table, left, right = Counter(), Counter(), Counter()
+        for (a, b), x in pairs.items():
+            table[of[a], of[b]] += x
+            left[of[a]] += x
+            right[of[b]] += x
+        g = lambda t: sum(x * math.log(x) for x in t.values())
+        return g(table) - g(left) - g(right)
+
+    count = Counter(w for t in texts for w in t)
+    words = [w for w, _ in count.most_common()]
+    plain = {w: min(i, 5) for i, w in enumerate(words)}
+    for _ in range(3):  # one word after the other, each to its best class
+        for w in words:
+            plain[w] = max(range(6), key=lambda c: likelihood(plain | {w: c}))
+    _, placed = clustered(make(rows), 40)
+    ours = {w: c for i, t in zip((i for i, _ in rows), texts) for w, c in zip(t, placed[i][1])}
+    none = likelihood(dict.fromkeys(words, 0))
+    assert likelihood(ours) - none > 0.8 * (likelihood(plain) - none) > 0

@@ -6,14 +6,15 @@ shorter histories, the second is exact, and the share of words seen once stands
 for all unseen words together, so probabilities of all words and the unseen one
 add up to 1.
 
-Frequent words (``HEAD`` of them, a broadcast of fixed size) are clustered by
-exchange: each round counts the classes beside each word over the whole corpus,
-and a word moves to the class where the likelihood of class pairs gains most.
-Words of a round move at once, half of the words in turn. Every other word, in
-one shuffle by word, is counted and exchanged into the class that its own
-neighbours favour; as history all of them are one class. So each word of the
-training texts has a count and a class, and no table of all words reaches the
-driver or is broadcast.
+All words are clustered by exchange: a word moves to the class where the
+likelihood of class pairs gains most, given the classes beside it over the
+whole corpus. Words of a round move at once. The classes of frequent words
+(``HEAD`` of them, a broadcast of fixed size) are exchanged in ``ROUNDS``
+rounds, half of the words in turn. Every other word is counted and exchanged in
+a shuffle by word, in the round before the last; its class then goes back to
+where it stands, by a shuffle by text, so that in the last round and in the
+model all words are histories by their own classes. No table of all words
+reaches the driver or is broadcast.
 
 Defined cases: a null or empty text is one end token; with no training texts an
 unseen token has probability 1; ids decide the fold and may repeat or be null
@@ -97,24 +98,37 @@ def encoded(docs: DataFrame, head: list[bytes]) -> DataFrame:
 
 
 class Tokens:
-    """The tokens of some texts in a row, with the classes of their neighbours."""
+    """The tokens of some texts in a row, with the classes of their neighbours. ``tails``: the classes of words outside the head, None for one class of all."""
 
-    def __init__(self, lists: pa.ListArray, classes: np.ndarray):
+    def __init__(self, lists: pa.ListArray, classes: np.ndarray, tails: np.ndarray | None):
         k = CLASSES
         self.ids = lists.flatten().to_numpy()
-        length = np.diff(lists.offsets.to_numpy())
-        self.text = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        self.length = np.diff(lists.offsets.to_numpy())
+        first = np.cumsum(self.length) - self.length
         own = np.append(classes, k).astype(np.int32)[self.ids]  # -1 is the class of all other words
-        first = np.cumsum(length) - length
+        if tails is not None:
+            own[self.ids < 0] = tails
         pad = classes[0]
         self.own = own
         self.h1 = np.concatenate([own[:1], own[:-1]])
-        self.h2 = np.concatenate([own[:2], own[:-2]])[: len(own)]
-        self.h1[first], self.h2[first] = pad, pad
-        longer = first[length > 1] + 1
-        self.h2[longer] = pad
-        self.next = np.append(own[1:], np.int32(k))
-        self.last = np.cumsum(length) - 1
+        self.h1[first] = pad
+        self.h2 = np.concatenate([self.h1[:1], self.h1[:-1]])
+        self.h2[first] = pad
+        self.last = np.cumsum(self.length) - 1
+
+    @property
+    def text(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.length), dtype=np.int32), self.length)
+
+    @property
+    def next(self) -> np.ndarray:
+        return np.append(self.own[1:], np.int32(CLASSES))
+
+
+def _tails(batch: pa.RecordBatch) -> np.ndarray | None:
+    if "tails" not in batch.schema.names:
+        return None
+    return np.frombuffer(b"".join(x or b"" for x in batch.column("tails").to_pylist()), np.uint8)
 
 
 def _lists(column: pa.Array) -> pa.ListArray:
@@ -131,17 +145,27 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def _gathered(batches: Batches, column: str) -> Iterator[pa.ListArray]:
+def _gathered(batches: Batches, classes: np.ndarray) -> Iterator[Tokens]:
+    """Tokens of about GATHER at most, from batches with ids and perhaps tails."""
+
+    def made(held: list) -> Tokens:
+        tails = [t for _, t in held if t is not None]
+        return Tokens(pa.concat_arrays([x for x, _ in held]), classes, np.concatenate(tails) if tails else None)
+
     held, n = [], 0
     for b in batches:
-        for part in _slices(b, column):
-            held.append(_lists(part.column(column)))
-            n += len(held[-1].flatten())
+        for part in _slices(b, "ids"):
+            held.append((_lists(part.column("ids")), _tails(part)))
+            n += len(held[-1][0].flatten())
             if n >= GATHER // 2:
-                yield pa.concat_arrays(held)
+                yield made(held)
                 held, n = [], 0
     if held:
-        yield pa.concat_arrays(held)
+        yield made(held)
+
+
+def _token_columns(df: DataFrame) -> DataFrame:
+    return df.select("ids", *[c for c in df.columns if c == "tails"])
 
 
 def _sums(parts: DataFrame) -> DataFrame:
@@ -174,16 +198,17 @@ def beside(train: DataFrame, classes: np.ndarray) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         table = np.zeros(len(classes) * 2 * width, np.int32)
-        for lists in _gathered(batches, "ids"):
-            t = Tokens(lists, classes)
+        for t in _gathered(batches, classes):
             head = t.ids >= 0
             at = t.ids.astype(np.int64) * (2 * width)
-            table += np.bincount((at + t.h1)[head], minlength=len(table)).astype(np.int32)
+            key, times = np.unique((at + t.h1)[head], return_counts=True)
+            table[key] += times.astype(np.int32)
             head[t.last] = False
-            table += np.bincount((at + width + t.next)[head], minlength=len(table)).astype(np.int32)
+            key, times = np.unique((at + width + t.next)[head], return_counts=True)
+            table[key] += times.astype(np.int32)
         yield from _counts(table.reshape(len(classes), -1))
 
-    return keep(_sums(train.select("ids").mapInArrow(run, "k int, v binary")))
+    return keep(_sums(_token_columns(train).mapInArrow(run, "k int, v binary")))
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -205,7 +230,7 @@ def class_pairs(vectors: DataFrame, classes: np.ndarray) -> np.ndarray:
     table = np.zeros((CLASSES, 2 * width))
     for a, c, n in vectors.mapInArrow(run, "a int, c int, n long").groupBy("a", "c").agg(F.sum("n")).collect():
         table[a, c] = n
-    return np.vstack([table[:, width:], np.append(table[:, CLASSES], 0)])
+    return np.vstack([table[:, width:], np.append(table[:, CLASSES], 0)])  # rows: the class before
 
 
 def exchanged(vectors: DataFrame, classes: np.ndarray, pairs: np.ndarray, moves: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -241,65 +266,46 @@ def exchanged(vectors: DataFrame, classes: np.ndarray, pairs: np.ndarray, moves:
     return out
 
 
-def cluster(train: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes and counts of the head's words, and counts of class pairs."""
-    classes = np.minimum(np.arange(size), CLASSES - 1)  # the most frequent words begin alone
-    for r in range(ROUNDS):
-        vectors = beside(train, classes)
-        pairs = class_pairs(vectors, classes)
-        moves = (lambda w: w >= CLASSES - 1) if r == 0 else (lambda w, r=r: w % 2 == r % 2)
-        classes = exchanged(vectors, classes, pairs, moves)
-    vectors = beside(train, classes)
-    counts = np.zeros(size, np.int64)
-
-    def total(batches: Batches) -> Batches:
-        for b in batches:
-            n = [int(np.frombuffer(v, np.int64)[: CLASSES + 1].sum()) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["w", "n"])
-
-    for w, n in vectors.mapInArrow(total, "w int, n long").collect():
-        counts[w] = n
-    return classes, counts, class_pairs(vectors, classes)
-
-
-def other_words(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """Each token outside the head: row, held, h2, h1, its word's training count n and class c (-1: unseen), first (of its word in training)."""
+def tail_round(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """Words outside the head: row, tails (their classes in order, 255 for words not in training), known, plus_half and logs (sums of log10 of count + 0.5 and of known counts); and what they add to the distinct words, in all and seen once."""
     k = CLASSES
 
     def tokens(batches: Batches) -> Batches:
         for b in batches:
             for part in _slices(b, "ids"):
-                t = Tokens(_lists(part.column(2)), classes)
+                t = Tokens(_lists(part.column(2)), classes, None)
                 at = np.flatnonzero(t.ids < 0)
                 where = t.text[at]
-                code = ((t.h2[at] * (k + 1) + t.h1[at]) * (k + 1) + t.next[at]).astype(np.int32)
                 held = part.column(1).to_numpy(zero_copy_only=False)[where].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(3).flatten(), pa.array(part.column(0).to_numpy()[where]), pa.array(code * 2 + held)], ["word", "row", "code"])
+                code = (t.h1[at] * (k + 1) + t.next[at]) * 2 + held
+                many = np.bincount(where, minlength=part.num_rows)
+                place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([part.column(3).flatten(), pa.array(part.column(0).to_numpy()[where]), pa.array(place.astype(np.int32)), pa.array(code.astype(np.int32))], ["word", "row", "place", "code"])
 
-    after, before = np.log(pairs[:k] + 0.5), np.log(pairs[:, :k].T + 0.5)
-    size = np.log(pairs.sum(1)[:k] + 1) + np.log(pairs.sum(0)[:k] + 1)
-    favour = lambda h1, nxt: before[:, h1].T + after[:, nxt].T - size  # noqa: E731  the likelihood's change to first order
+    # What one more pair adds; a word's own pairs are few beside those of a class.
+    after, before = _g(pairs[:k] + 1) - _g(pairs[:k]), (_g(pairs[:, :k] + 1) - _g(pairs[:, :k])).T
+    sides = pairs.sum(1)[:k], pairs.sum(0)[:k]
 
     def words(batches: Batches) -> Batches:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
 
-        def done(word: np.ndarray, row: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+        def done(word: np.ndarray, row: np.ndarray, place: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
             start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, int)
-            size_of = np.diff(np.append(start, len(word)))
-            train = code % 2 == 0
-            h2, h1, nxt = code // 2 // (k + 1) // (k + 1), code // 2 // (k + 1) % (k + 1), code // 2 % (k + 1)
+            size = np.diff(np.append(start, len(word)))
+            train, h1, nxt = code % 2 == 0, code // 2 // (k + 1), code // 2 % (k + 1)
             n = np.add.reduceat(train.astype(np.int32), start) if len(start) else np.zeros(0, np.int32)
-            best = np.zeros(len(start), np.int32)
+            best = np.zeros(len(start), np.uint8)
             for lo in range(0, len(start), 4096):
-                s = start[lo : lo + 4096]
-                end = s[-1] + size_of[lo : lo + 4096][-1]
-                value = favour(h1[s[0] : end], nxt[s[0] : end]) * train[s[0] : end, None]
-                best[lo : lo + 4096] = np.add.reduceat(value, s - s[0]).argmax(1)
-            best[n == 0] = -1
-            group = np.repeat(np.arange(len(start)), size_of)
-            rank = np.cumsum(train) - np.repeat((np.cumsum(train) - train)[start] if len(start) else [], size_of)
-            first = train & (rank == 1)
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(~train), *(pa.array(x.astype(np.int32)) for x in (h2, h1, n[group], best[group])), pa.array(first)], ["row", "held", "h2", "h1", "n", "c", "first"])
+                s, m = start[lo : lo + 4096], n[lo : lo + 4096, None]
+                a, b = s[0], s[-1] + size[lo : lo + 4096][-1]
+                value = np.add.reduceat((before[:, h1[a:b]].T + after[:, nxt[a:b]].T) * train[a:b, None], s - a)
+                value -= sum(_g(side + m) - _g(side) for side in sides)
+                best[lo : lo + 4096] = value.argmax(1)
+            best[n == 0] = 255
+            group = np.repeat(np.arange(len(start)), size)
+            first = np.zeros(len(word), dtype=bool)
+            first[start[n > 0]] = True
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(best[group].astype(np.int32)), pa.array(n[group].astype(np.int32)), pa.array(first)], ["row", "place", "c", "n", "first"])
 
         for b in batches:
             cols = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
@@ -309,36 +315,67 @@ def other_words(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> Dat
             held = [c[last:] for c in cols]
         yield done(*held)
 
-    rows = coded.select("row", "held", "ids", "others").mapInArrow(tokens, "word long, row long, code int")
-    rows = rows.repartition("word").sortWithinPartitions("word")
-    return keep(rows.mapInArrow(words, "row long, held boolean, h2 int, h1 int, n int, c int, first boolean"))
+    def texts(batches: Batches) -> Batches:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)]
 
+        def done(row: np.ndarray, c: np.ndarray, n: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
+            add = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0, x.dtype)
+            raw, ends = c.astype(np.uint8).tobytes(), np.append(start, len(row)).tolist()
+            sums = [add((n > 0).astype(np.int64)), add(np.log10(n + 0.5)), add(np.log10(np.maximum(n, 1))), add(first.astype(np.int64)), add((first & (n == 1)).astype(np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array(row[start]), pa.array([raw[x:y] for x, y in zip(ends, ends[1:])], pa.binary()), *map(pa.array, sums)], ["row", "tails", "known", "plus_half", "logs", "new", "once"])
+
+        for b in batches:
+            cols = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last text may go on
+            if last:
+                yield done(*(c[:last] for c in cols))
+            held = [c[last:] for c in cols]
+        yield done(*held)
+
+    rows = coded.select("row", "held", "ids", "others").mapInArrow(tokens, "word long, row long, place int, code int")
+    rows = rows.repartition("word").sortWithinPartitions("word").mapInArrow(words, "row long, place int, c int, n int, first boolean")
+    rows = rows.repartition("row").sortWithinPartitions("row", "place").select("row", "c", "n", "first")
+    return rows.mapInArrow(texts, "row long, tails binary, known long, plus_half double, logs double, new long, once long")
 
-def class_trigrams(coded: DataFrame, others: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Counts of [h2, h1, c] over all training tokens."""
-    k, width = CLASSES, CLASSES + 1
 
-    def head(batches: Batches) -> Batches:
-        table = np.zeros(width * width * k, np.int64)
-        for lists in _gathered(batches, "ids"):
-            t = Tokens(lists, classes)
-            at = t.ids >= 0
-            table += np.bincount(((t.h2 * width + t.h1) * k + t.own)[at], minlength=len(table))
-        yield from _counts(table.astype(np.int32).reshape(width, -1))
+def cluster(coded: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Classes and counts of the head's words, and the texts with the classes of all other words."""
+    classes = np.minimum(np.arange(size), CLASSES - 1)  # the most frequent words begin alone
+    texts, counts = coded, np.zeros(size, np.int64)
 
-    def rest(batches: Batches) -> Batches:
-        table = np.zeros(width * width * k, np.int64)
+    def total(batches: Batches) -> Batches:
         for b in batches:
-            h2, h1, c = (b.column(x).to_numpy().astype(np.int64) for x in ("h2", "h1", "c"))
-            table += np.bincount((h2 * width + h1) * k + c, minlength=len(table))
-        yield from _counts(table.astype(np.int32).reshape(width, -1))
-
-    parts = coded.filter("not held").select("ids").mapInArrow(head, "k int, v binary")
-    parts = parts.unionByName(others.filter("not held").select("h2", "h1", "c").mapInArrow(rest, "k int, v binary"))
-    out = np.zeros((width, width * k))
-    for h2, v in _sums(parts).collect():  # one row for each class
+            n = [int(np.frombuffer(v, np.int64)[: CLASSES + 1].sum()) for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["w", "n"])
+
+    for r in range(ROUNDS):
+        vectors = beside(texts.filter("not held"), classes)
+        pairs = class_pairs(vectors, classes)
+        if r == 0:
+            for w, n in vectors.mapInArrow(total, "w int, n long").collect():  # at most a row for each word of the head
+                counts[w] = n
+        if r == ROUNDS - 2:
+            texts = keep(coded.select("row", "id", "held", "ids").join(tail_round(coded, classes, pairs), "row", "left"))
+        moves = (lambda w: w >= CLASSES - 1) if r == 0 else (lambda w, r=r: w % 2 == r % 2)
+        classes = exchanged(vectors, classes, pairs, moves)
+    return classes, counts, texts
+
+
+def class_trigrams(train: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts of [h2, h1, c] over all training tokens."""
+    k = CLASSES
+
+    def run(batches: Batches) -> Batches:
+        table = np.zeros(k * k * k, np.int64)
+        for t in _gathered(batches, classes):
+            table += np.bincount((t.h2 * k + t.h1) * k + t.own, minlength=len(table))
+        yield from _counts(table.astype(np.int32).reshape(k, -1))
+
+    out = np.zeros((k, k * k))
+    for h2, v in _sums(_token_columns(train).mapInArrow(run, "k int, v binary")).collect():  # one row for each class
         out[h2] = np.frombuffer(v, np.int64)
-    return out.reshape(width, width, k)
+    return out.reshape(k, k, k)
 
 
 def smoothed(n3: np.ndarray) -> np.ndarray:
@@ -353,46 +390,39 @@ def smoothed(n3: np.ndarray) -> np.ndarray:
 
 
 def score(df: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 1, head: int = HEAD) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10); held-out rows teach nothing."""
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity; held-out rows teach nothing."""
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), (id_crc(id) % folds == fold).alias("held"), text_of(text).cast("binary").alias("t"))
     words = frequent_words(docs.filter("not held"), head)
-    coded, size = encoded(docs, words), len(words)
-    train = coded.filter("not held")
-    classes, counts, pairs = cluster(train, size)
-    others = other_words(coded, classes, pairs)
-    new = others.filter("first").agg(F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
-    n3 = class_trigrams(coded, others, classes)
-    n, kinds, once = n3.sum(), int((counts > 0).sum()) + new[0], int((counts == 1).sum()) + new[1]
+    classes, counts, texts = cluster(encoded(docs, words), len(words))
+    new, new_once = (x or 0 for x in texts.agg(F.sum("new"), F.sum("once")).first())
+    n3 = class_trigrams(texts.filter("not held"), classes)
+    n, kinds, once = n3.sum(), int((counts > 0).sum()) + new, int((counts == 1).sum()) + new_once
     unseen = min(0.5, max(once / n, 0.5 / (n + 0.5 * (kinds + 1)))) if n else 1.0
+    # Histories also have the class of words that training did not see: then shorter ones tell.
+    n3 = np.pad(n3, ((0, 1), (0, 1), (0, 0)))
     log3 = np.log10(np.maximum(smoothed(n3), 1e-300))
     in_class = np.log10(np.maximum(n3.sum((0, 1)), 1)) - np.log10(max(1 - unseen, 1e-300))
     whole = float(n + 0.5 * (kinds + 1))
-    of_head = np.append(np.log10(np.maximum(counts, 1)) - in_class[classes], 0)
+    of_head = np.append(np.log10(np.maximum(counts, 1)), 0)
     base_head = np.append(np.log10((counts + 0.5) / whole), 0)
     known_head = np.append(counts > 0, False)
 
-    def by_head(batches: Batches) -> Batches:
+    def run(batches: Batches) -> Batches:
         for b in batches:
             for part in _slices(b, "ids"):
-                t = Tokens(_lists(part.column(1)), classes)
-                ours = t.ids >= 0
-                known = known_head[t.ids]
-                value = np.where(known, log3[t.h2, t.h1, np.minimum(t.own, CLASSES - 1)] + of_head[t.ids], np.log10(unseen) * ours)
-                sums = [np.bincount(t.text, w, part.num_rows) for w in (base_head[t.ids], value, known)]
-                length = np.bincount(t.text, minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["row", "tokens", "known", "base", "value"])
-
-    def by_rest(batches: Batches) -> Batches:
-        for b in batches:
-            h2, h1, m, c = (b.column(x).to_numpy() for x in ("h2", "h1", "n", "c"))
-            value = np.where(m > 0, log3[h2, h1, c] + np.log10(np.maximum(m, 1)) - in_class[c], np.log10(unseen))
-            rows, at = np.unique(b.column("row").to_numpy(), return_inverse=True)
-            sums = [np.bincount(at, w, len(rows)) for w in (m > 0, np.log10((m + 0.5) / whole), value)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.zeros(len(rows), np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["row", "tokens", "known", "base", "value"])
-
-    schema = "row long, tokens long, known long, base double, value double"
-    heads = coded.select("row", "ids").mapInArrow(by_head, schema)
-    rest = others.select("row", "h2", "h1", "n", "c").mapInArrow(by_rest, schema)
-    sums = heads.unionByName(rest).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "value")])
-    out = coded.select("row", "id", "held").join(sums, "row")
-    return out.select(F.col("id").alias(id), F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("value").alias("score"))
+                tails = _tails(part)
+                t = Tokens(_lists(part.column("ids")), classes, np.minimum(tails, CLASSES))
+                own, ours = t.own, t.ids >= 0
+                known = np.where(ours, known_head[t.ids], own < CLASSES)
+                c = np.minimum(own, CLASSES - 1)
+                value = np.where(known, log3[t.h2, t.h1, c] - in_class[c] + of_head[t.ids], np.log10(unseen))
+                at, many = t.text, part.num_rows
+                number = lambda name: np.nan_to_num(part.column(name).to_numpy(zero_copy_only=False).astype(float))  # noqa: B023, E731
+                base = np.bincount(at, base_head[t.ids], many) + number("plus_half") - np.log10(whole) * np.bincount(at, ~ours, many)
+                scores = np.bincount(at, value, many) + number("logs")
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held"), pa.array(t.length.astype(np.int64)), pa.array(np.bincount(at, known, many).astype(np.int64)), pa.array(base), pa.array(scores)], ["id", "held", "tokens", "known", "base", "value"])
+
+    sums = texts.select("id", "held", "ids", "tails", "plus_half", "logs").mapInArrow(run, "id long, held boolean, tokens long, known long, base double, value double")
+    named = {id: "id", "held_out": "held", "n_tokens": "tokens", "n_known": "known"}
+    perplexity = F.pow(F.lit(10.0), -F.col("value") / F.col("tokens"))
+    return sums.select(*[F.col(c).alias(name) for name, c in named.items()], F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("value").alias("score"), perplexity.alias("perplexity"))
