@@ -5,21 +5,22 @@ cut into pieces of that length, of which only the first may be shorter. A full
 piece is a sequence of its own. Of the other pieces only the number of each
 length, at most ``capacity`` counters, reaches the driver. There, from the
 longest length down, the gap that a length leaves is looked up among single
-lengths, sums of pairs and sums of triples; a combination that fills the gap
+lengths and an index of the sums of pairs and triples; a combination that fills the gap
 exactly is used as often as its counts allow. What remains is packed best-fit
 by decreasing length, again by counts. The plan maps the n-th piece of a length
 to a sequence and an offset; pieces are numbered by a distributed running count.
 
 Defined cases: a null text is an empty text, one end id; long texts are cut and
 nothing is dropped; repeated rows are packed each; an empty table gives an
-empty result; the input's other columns are not read.
+empty result; the input's other columns are not read. Ids are whole numbers;
+others are refused by the cast to long.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,41 +128,46 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         have[length] = n
     made: Counter = Counter()
 
-    def use(combo: tuple[int, ...]) -> bool:
-        need = Counter(combo)
-        times = min(int(have[k]) // v for k, v in need.items())
-        if times:
-            for k, v in need.items():
-                have[k] -= v * times
-            made[combo] += times
-        return times > 0
-
-    def pair(gap: int, most: int) -> tuple[int, int] | None:
-        """The pair of available lengths with this sum whose larger part is largest, at most `most`."""
-        if gap < 2:
-            return None
-        a = np.arange(min(gap - 1, most), (gap - 1) // 2, -1)
-        found = a[(have[a] > 0) & (have[gap - a] > 0) & ((2 * a != gap) | (have[a] > 1))]
-        return (int(found[0]), gap - int(found[0])) if found.size else None
+    # The index: each sum below the capacity with the pairs, larger part first, and the largest parts of triples that make it.
+    lengths = [k for k in range(1, capacity) if have[k]]
+    pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    triples: dict[int, list[int]] = defaultdict(list)
+    for a in reversed(lengths):
+        for b in lengths:
+            if b > a or a + b >= capacity:
+                break
+            pairs[a + b].append((a, b))
+    for a in reversed(lengths):
+        for two in list(pairs):
+            if a + two < capacity and pairs[two][-1][0] <= a:
+                triples[a + two].append(a)
+
+    def usable(combo: tuple[int, ...]) -> bool:
+        return all(have[k] >= combo.count(k) for k in combo)
+
+    def exact(length: int) -> tuple[int, ...] | None:
+        """A combination with this length that fills a sequence exactly; used-up lengths leave the index."""
+        gap = capacity - length
+        if usable((length, gap)):
+            return length, gap
+        pairs[gap] = [p for p in pairs[gap] if have[p[0]] and have[p[1]]]
+        for two in pairs[gap]:
+            if usable((length, *two)):
+                return length, *two
+        triples[gap] = [a for a in triples[gap] if have[a]]
+        for a in triples[gap]:
+            pairs[gap - a] = [p for p in pairs[gap - a] if have[p[0]] and have[p[1]]]
+            for two in pairs[gap - a]:
+                if two[0] <= a and usable((length, a, *two)):
+                    return length, a, *two
+        return None
 
     for length in range(capacity - 1, 0, -1):
-        while have[length]:
-            gap = capacity - length
-            if use((length, gap)):
-                continue
-            have[length] -= 1  # the piece itself is not available to fill its own gap
-            combo = (length, *two) if (two := pair(gap, gap)) else None
-            if not combo:
-                for a in (np.flatnonzero(have[1 : gap - 1]) + 1)[::-1]:
-                    have[a] -= 1
-                    two = pair(gap - int(a), int(a))
-                    have[a] += 1
-                    if two:
-                        combo = (length, int(a), *two)
-                        break
-            have[length] += 1
-            if not combo or not use(combo):
-                break
+        while have[length] and (combo := exact(length)):
+            times = min(int(have[k]) // combo.count(k) for k in combo)
+            for k in combo:
+                have[k] -= times
+            made[combo] += times
 
     opened: dict[int, Counter] = {}  # gap -> begun sequences and how many
 
