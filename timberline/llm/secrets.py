@@ -124,13 +124,13 @@ def generated_texts(spark: SparkSession, rows: int = GENERATED) -> DataFrame:
         bare(run(230, mixed, 20, 40)),
         bare(hexadecimal(300)),
         F.concat(pick(11, "password", "db_passwd", "PASSPHRASE"), sign, quote, run(410, mixed + "!$%*#", 9, 15), quote),
-        F.concat(F.lit("Authorization: token "), run(420, mixed + "_", 30, 44)),
+        F.concat(pick(38, "X-Auth-Token: ", "Authorization: ", "private-token="), run(420, mixed + "_", 30, 44)),
     ]
     alarms = [
-        F.concat(pick(12, "commit ", "merged ", "see revision ", "reverts "), run(510, hexes, 40, 40)),
+        F.concat(pick(12, "commit ", "merged ", "see revision ", "reverts ", ""), run(510, hexes, 40, 40)),
         F.concat(pick(13, "sha256: ", "md5 = ", "checksum: ", "digest="), quote, hexadecimal(600), quote),
         F.concat(pick(14, "id=", "request ", "session id: "), *[x for i, n in enumerate((8, 4, 4, 4, 12)) for x in ([F.lit("-")] if i else []) + [run(710 + i, hexes, n, n)]]),
-        F.concat(pick(15, "order ", "account ", "serial = ", "phone: "), run(720, digits, 16, 24)),
+        F.concat(pick(15, "order ", "account ", "serial = ", "phone: ", "", "and "), run(720, digits, 16, 24)),
         F.concat(pick(16, "in ", "file: ", "see "), plain, F.lit("/"), word(17)),
         F.concat(pick(18, "call ", "class ", "the "), F.initcap(word(19)), F.initcap(word(20)), F.initcap(word(21)), F.initcap(word(22))),
         F.concat(pick(23, "-", "=", "_"), F.repeat(pick(24, "-", "=", "_"), 40)),
