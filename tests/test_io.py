@@ -160,3 +160,7 @@ def test_kept_tables_are_released(spark):
     assert table.count() == 3 and kept(spark) == since + 1
     release(spark, since)
     assert not Path(path).exists() and kept(spark) == since
+    tables = [keep(spark.range(i)) for i in (3, 4, 5)]
+    release(spark, since, 1)
+    assert kept(spark) == since + 1 and tables[2].count() == 5
+    release(spark, since)

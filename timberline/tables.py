@@ -30,14 +30,15 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Remove the tables that this application kept, from the ``since``-th on. Call it when nothing reads them any more."""
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Remove the tables that this application kept, from the ``since``-th on but for the ``last`` ones. Call it when nothing reads them any more."""
     paths = _KEPT.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - last]
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in paths[since:]:
+    for path in gone:
         where = hadoop(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del paths[since:]
+    del paths[since : since + len(gone)]
 
 
 def kept(spark: SparkSession) -> int:
