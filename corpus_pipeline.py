@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from timberline.llm import exact_dedup, mixture, near_dedup, packing, quality
-from timberline.llm.common import keep
+from timberline.tables import keep, kept, release
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order, each written and read again by the next; what it kept for itself goes when it is done."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), kept(spark)
     for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir))
+        release(spark, since, last=1)
     return STAGES[-1][1](spark, docs, sf_dir)
