@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.impurity import extra_errors, impurity, normal_quantile
 from timberline.operators.grow import fit
-from timberline.operators.predict import evaluate, predict
+from timberline.operators.predict import evaluate, predict, route
 from timberline.operators.prune import prune
 from timberline.operators.render import tree_text
 from timberline.operators.sweep import boundaries, tile_of, value_histogram
@@ -135,11 +135,17 @@ def test_rows_routed_by_joins(spark, monkeypatch):
     assert tree_text(fit(df, replace(CART, max_depth=4, finish_rows=60))) == whole
 
 
-def test_unlimited_depth_ends(spark):
+def test_unlimited_depth_ends(spark, monkeypatch):
     df = noisy(spark, 20_000)
     tree = fit(df, replace(CART, finish_rows=3000))
     assert sum(n for _, n in leaves(tree)) == 20_000 and tree.depth() > 10
+    some = df.limit(500).withColumn("a", F.when(F.col("b") > 3, F.col("a")))
     assert evaluate(df.limit(2000), tree).first().accuracy > 90
+    monkeypatch.setattr("timberline.operators.predict.EXPRESSION_LEAVES", 10**9)
+    small = fit(df.limit(2000), replace(CART, finish_rows=3000, max_depth=7))
+    by_expression = [r.leaf_id for r in route(some, small).collect()]
+    monkeypatch.setattr("timberline.operators.predict.EXPRESSION_LEAVES", 1)
+    assert [r.leaf_id for r in route(some, small).collect()] == by_expression and len(set(by_expression)) > 9
 
 
 def test_null_labels_are_refused(spark):

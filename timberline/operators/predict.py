@@ -1,7 +1,9 @@
-"""Prediction as column expressions: batch or stream, no shuffle."""
+"""Prediction as a column: batch or stream, no shuffle and no join."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +26,44 @@ def leaf_expression(tree: Tree) -> Column:
     return made[tree.root().node_id]
 
 
+def _large(tree: Tree) -> bool:
+    return sum(n.is_leaf for n in tree.nodes.values()) > EXPRESSION_LEAVES
+
+
+def _walked(tree: Tree, kind: str, of) -> Column:
+    """``of(node)`` of the leaf that each row reaches; all rows of a batch go down a level at a time."""
+    nodes = tree.preorder()
+    at = {n.node_id: i for i, n in enumerate(nodes)}
+    feature = np.array([-1 if n.is_leaf else n.feature_index for n in nodes])
+    threshold = np.array([0.0 if n.is_leaf else n.threshold for n in nodes])
+    below = np.array([[i, i] if n.is_leaf else [at[n.left_id], at[n.right_id]] for i, n in enumerate(nodes)])
+    result = np.array([of(n) if n.is_leaf else None for n in nodes], dtype=object)
+
+    @F.pandas_udf(kind)
+    def walk(rows: pd.Series) -> pd.Series:
+        values = np.array([[np.nan if v is None else v for v in r] for r in rows], dtype=np.float32).reshape(len(rows), -1)
+        place, going = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
+        while len(going := going[feature[place[going]] >= 0]):
+            here = place[going]
+            # NaN is above every threshold; a null is, too.
+            place[going] = below[here, np.where(values[going, feature[here]] <= threshold[here], 0, 1)]
+        return pd.Series(result[place])
+
+    return walk(F.array(*[F.col(f"`{c}`").cast("float") for c in tree.features]))
+
+
 def route(df: DataFrame, tree: Tree) -> DataFrame:
-    """df with ``leaf_id``. A large tree goes level by level through a broadcast of its nodes, which the driver holds."""
-    if sum(n.is_leaf for n in tree.nodes.values()) <= EXPRESSION_LEAVES:
-        return df.withColumn("leaf_id", leaf_expression(tree))
-    nodes = F.broadcast(tree.to_df(df.sparkSession).select(F.col("node_id").alias("leaf_id"), F.col("feature_index").alias("__f"), F.col("threshold").alias("__t"), F.col("left_id").alias("__l"), F.col("right_id").alias("__r"), F.col("is_leaf").alias("__leaf")))
-    values = F.array(*[F.col(f"`{c}`").cast("float") for c in tree.features])
-    out = df.withColumn("leaf_id", F.lit(0).cast("long"))
-    for _ in range(tree.depth()):
-        side = F.when(F.element_at(values, F.col("__f") + 1) <= F.col("__t"), F.col("__l")).otherwise(F.col("__r"))
-        out = out.join(nodes, "leaf_id").withColumn("leaf_id", F.when(F.col("__leaf"), F.col("leaf_id")).otherwise(side)).drop("__f", "__t", "__l", "__r", "__leaf")
-    return out
+    """df with ``leaf_id``: one expression, or for a large tree its nodes as arrays in each task, which the driver holds anyway."""
+    leaf = _walked(tree, "long", lambda n: n.node_id) if _large(tree) else leaf_expression(tree)
+    return df.withColumn("leaf_id", leaf)
 
 
 def predict(df: DataFrame, tree: Tree) -> DataFrame:
     """df with ``prediction``."""
+    if _large(tree):
+        return df.withColumn("prediction", _walked(tree, "string", lambda n: n.leaf_label))
     labels = [x for n in tree.preorder() if n.is_leaf for x in (F.lit(n.node_id).cast("long"), F.lit(n.leaf_label))]
-    return route(df, tree).withColumn("prediction", F.create_map(*labels)[F.col("leaf_id")]).drop("leaf_id")
+    return df.withColumn("prediction", F.create_map(*labels)[leaf_expression(tree)])
 
 
 def evaluate(df: DataFrame, tree: Tree, label: str = "label") -> DataFrame:
