@@ -63,7 +63,7 @@ HOT = 512
 BLOCK = 128
 #: What tells values of lists of documents beyond ``WHOLE`` and their partners from others.
 _OTHER = 0x5DEECE66D1B3F27A
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _TURN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
 
