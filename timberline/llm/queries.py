@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import brown, quality, toxicity
+from timberline.llm.alignment import align
 from timberline.llm.chat import format_chats
 from timberline.llm.exact_dedup import exact_groups
 from timberline.llm.merkle import against_edit
@@ -120,6 +121,10 @@ FROM p
 """
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_scores": op1_brown_scores,
@@ -132,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_snapshots": op8_chat_snapshots,
         "op9_quality": op9_quality,
         "op10_curriculum_mix": op10_curriculum_mix,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
