@@ -16,6 +16,7 @@ from timberline.llm.mixture import curriculum
 from timberline.llm.near_dedup import near_groups
 from timberline.llm.packing import pack
 from timberline.llm.secrets import scan
+from timberline.llm.spelling import variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +126,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_scores": op1_brown_scores,
@@ -138,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_curriculum_mix": op10_curriculum_mix,
         "op11_token_alignment": op11_token_alignment,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
