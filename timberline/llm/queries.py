@@ -11,6 +11,7 @@ from timberline.llm import brown, quality, toxicity
 from timberline.llm.alignment import align
 from timberline.llm.chat import format_chats
 from timberline.llm.exact_dedup import exact_groups
+from timberline.llm.language import identify
 from timberline.llm.merkle import against_edit
 from timberline.llm.mixture import curriculum
 from timberline.llm.near_dedup import near_groups
@@ -126,6 +127,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(_table(spark, sf_dir, "documents"))
 
@@ -143,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_curriculum_mix": op10_curriculum_mix,
         "op11_token_alignment": op11_token_alignment,
+        "op12_language_id": op12_language_id,
         "op13_spelling_variants": op13_spelling_variants,
     }
 
