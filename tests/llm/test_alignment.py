@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from timberline.llm import alignment
-from timberline.llm.alignment import PerfectHash, Tokenizers, _WORD, align, paths
+from timberline.llm.alignment import PerfectHash, Tokenizers, _after_letter, _WORD, align, paths
 
 
 @pytest.fixture(scope="module")
@@ -86,12 +86,20 @@ def test_chunks_trees_and_small_memory(spark, make, tokenizers, monkeypatch, fan
 
 def test_words_are_encoded_as_in_their_text(tokenizers):
     rng = random.Random(2)
-    for _ in range(300):
-        text = " " + "".join(rng.choice("ab'sZ.,-0 \n\t\r\r}é漢_") for _ in range(rng.randrange(1, 40)))
+    for _ in range(3000):
+        text = " " + "".join(rng.choice("aab'sZ.,.-0 \n\t\r\r}é²×漢_") for _ in range(rng.randrange(1, 40)))
         whole = tokenizers.ids(text)
-        parts = [tokenizers.ids(w) for w in _WORD.findall(text)]
-        for side in (0, 1):
-            assert whole[side].tolist() == [i for p in parts for i in p[side].tolist()]
+        words = _WORD.findall(text)
+        assert "".join(words) == text and words.pop() == "" and "" not in words
+        parts = [tokenizers.ids(_after_letter(w)) for w in words]
+        for side, letter in zip((0, 1), tokenizers.ids(" a")):
+            assert whole[side].tolist() == [i for w, p in zip(words, parts) for i in p[side].tolist()[len(letter) * (w[0] in ".,") :]]
+
+
+def test_ranks_encode_as_the_file_does(tokenizers):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäéß 'TH.漢") for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    assert tokenizers.fast and all(tokenizers.fast.encode_ordinary(t) == tokenizers.a.encode(t, add_special_tokens=False).ids for t in [*texts, "<|endoftext|>", "don't I'll x's"])
 
 
 def test_perfect_hash():

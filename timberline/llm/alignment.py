@@ -20,10 +20,10 @@ a shard at most 1/256 of all pairs of both vocabularies, a node of a tree at mos
 about ``FAN`` children that are read one after another, and the driver sees the
 highest count of each A id only, no more rows than A has ids.
 
-No token of B crosses from a character to white space after it, and A splits
-there too, so words with the white space before them are aligned once and
-remembered by a worker. Where a vocabulary has such tokens, or a text has white
-space other than ASCII, whole texts are aligned.
+No token of B crosses from a character to white space after it or from a Latin
+letter to punctuation, and A splits there too, so words with the white space
+before them are aligned once and remembered by a worker. Where a vocabulary has
+such tokens, or a text has white space other than ASCII, whole texts are aligned.
 
 Defined cases: texts that are null or empty, or that a tokenizer does not give
 back byte for byte, have no tokens: zeros and an empty ``groups_sha256``; they count
@@ -52,14 +52,17 @@ FAN = 64
 #: Characters of a chunk's documents; the last document may exceed them.
 CHUNK = 16_000_000
 #: Words that a worker remembers, and their characters.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 8_000_000
+REMEMBERED, REMEMBERED_CHARS = 400_000, 8_000_000
 #: Bits for each pair of the first bit array of a hash function, and arrays before pairs are merely listed.
 GAMMA, ARRAYS = 2.0, 40
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 _BLANKS = " \t\n\v\f"
-#: White space and what follows it up to white space. B has tokens that end in a carriage return, so there is no cut before one.
-_WORD = re.compile(rf"[{_BLANKS}\r]*[^{_BLANKS}\r]+(?:\r[{_BLANKS}\r]*[^{_BLANKS}\r]+)*(?:\r[{_BLANKS}\r]*$)?|[{_BLANKS}\r]+$")
+#: Punctuation that parts are cut before where a Latin letter precedes it.
+_STOPS = ".,;:!?|)"
+_LATIN = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)))
+#: White space and what follows it. B has tokens that end in a carriage return, so there is no cut before one or after it.
+_WORD = re.compile(rf"[{_BLANKS}]*[{_STOPS}]*(?:[^{_BLANKS}\r{_STOPS}]+|\r[{_BLANKS}\r]*[{_STOPS}]*|(?<![{_LATIN}])[{_STOPS}]+)*")
 #: White space that the tokenizers may see and _WORD does not, and B's own sign for a blank.
 _OTHER_BLANKS = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF, 0x2581))) + "]")
 _BLANK_SIGN = "\u2581"
@@ -91,6 +94,7 @@ class Tokenizers:
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings are plain text
+        self.fast = self._ranked(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = _byte_of()
         self.bytes_a = [b""] * (max(self.a.get_vocab().values()) + 1)
@@ -99,13 +103,35 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_BLANK_SIGN, " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.shown_a, self.shown_b = ([x for i in range(len(ids)) for x in (f"{i},", f"{i}{last}")] for ids, last in ((self.bytes_a, "|"), (self.bytes_b, ";")))
         self.blank = self.b.piece_to_id(_BLANK_SIGN)
-        #: No token of B crosses from another character to white space.
-        self.cuts = pieces[self.blank] == _BLANK_SIGN and not any(len(p) > 1 and re.search(rf"[^{_BLANK_SIGN}]{_BLANK_SIGN}|[{_BLANKS[1:]}]", p) for p in pieces)
+        #: No token of B crosses from another character to white space, or from a letter to punctuation.
+        self.cuts = pieces[self.blank] == _BLANK_SIGN and not any(len(p) > 1 and re.search(rf"[^{_BLANK_SIGN}]{_BLANK_SIGN}|[{_BLANKS[1:]}]|[{_LATIN}][{_STOPS}]", p) for p in pieces)
+
+    def _ranked(self, path: str):
+        """The same encoding by ranks, which is faster, where the file's ids are in the order of its merges and it splits as byte-level files do."""
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        file = json.loads(open(path, encoding="utf-8").read())
+        vocab, merges = file["model"]["vocab"], file["model"].get("merges", [])
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        made, byte = [vocab.get("".join(m), -1) for m in pairs], _byte_of()
+        known = set(made)
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        plain = file["normalizer"] is None and level.items() <= (file["pre_tokenizer"] or {}).items()
+        if not plain or made != sorted(made) or len(known) < len(made) or -1 in known:
+            return None
+        ranks = {bytes(byte[c] for c in entry): i for entry, i in vocab.items() if i in known or len(entry) == 1}
+        if len(ranks) < len(made) + 256:
+            return None
+        return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a text that begins with white space, by A, and by B without the blank that B adds; None unless both give back all bytes."""
-        a = self.a.encode(text, add_special_tokens=False).ids
+        a = self.fast.encode_ordinary(text) if self.fast else self.a.encode(text, add_special_tokens=False).ids
         if text[0] == " ":
             b = self.b.encode(text[1:]) if len(text) > 1 else [self.blank]
         else:
@@ -137,7 +163,7 @@ class Aligned:
         of_a, of_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
         part = np.searchsorted(ends, common)
         n = len(ends)
-        self.a, self.b, self.group_a, self.group_b, self.of_a, self.of_b, self.part = a, b, group_a, group_b, of_a, of_b, part
+        self.t, self.a, self.b, self.group_a, self.group_b, self.of_a, self.of_b, self.part = t, a, b, group_a, group_b, of_a, of_b, part
         totals = [np.bincount(part, weights=w, minlength=n).astype(np.int64) for w in (of_a, of_b, np.ones(len(part)), of_a * of_b)]
         self.sums = np.stack(totals, axis=1)
         # Links of small groups one by one, those of large groups by distinct ids.
@@ -161,18 +187,26 @@ class Aligned:
 
     def shown(self) -> list[str]:
         """``a1,a2|b1;`` for each group of each part."""
-        text = [""] * (len(self.a) + len(self.b))
+        text = np.empty(len(self.a) + len(self.b), dtype=object)
         before_a, before_b = np.cumsum(self.of_a) - self.of_a, np.cumsum(self.of_b) - self.of_b
         at_a = np.arange(len(self.a)) + before_b[self.group_a]
         at_b = np.arange(len(self.b)) + (before_a + self.of_a)[self.group_b]
-        for ids, at, groups, last in ((self.a, at_a, self.group_a, "|"), (self.b, at_b, self.group_b, ";")):
+        for ids, at, groups, table in ((self.a, at_a, self.group_a, self.t.shown_a), (self.b, at_b, self.group_b, self.t.shown_b)):
             ends = np.append(groups[1:] != groups[:-1], True)
-            for i, where, end in zip(ids.tolist(), at.tolist(), ends.tolist()):
-                text[where] = f"{i}{last}" if end else f"{i},"
+            text[at] = list(map(table.__getitem__, (2 * ids + ends).tolist()))
+        text = text.tolist()
         cuts = np.concatenate([[0], np.cumsum(np.bincount(self.part, weights=self.of_a + self.of_b, minlength=len(self.sums)).astype(np.int64))]).tolist()
         return ["".join(text[i:j]) for i, j in zip(cuts, cuts[1:])]
 
 
+#: Stands before a part that begins with punctuation, where parts are encoded together: in its text a letter does.
+_LETTER = " a"
+
+
+def _after_letter(part: str) -> str:
+    return _LETTER + part if part[0] in _STOPS else part
+
+
 class Memory:
     """Words that a worker has aligned: number of a word -> its sums, its pairs, and what ``more`` adds to them."""
 
@@ -208,27 +242,35 @@ class Memory:
         """Align new words. ``more`` gives two further sums a word; with it groups are shown too."""
         joined = [w for w in words if not w[-1].isspace()]
         for some in [joined[i : i + 4000] for i in range(0, len(joined), 4000)] + [[w] for w in words if w[-1].isspace()]:
-            if (ids := self.t.ids("".join(some))) is not None:
+            if (ids := self.t.ids("".join(map(_after_letter, some)))) is not None:
                 self._add(some, ids, more)
             else:
                 for w in some:
-                    self._add([w], self.t.ids(w), more)
+                    self._add([w], self.t.ids(_after_letter(w)), more)
 
     def _add(self, words: list[str], ids: tuple[np.ndarray, np.ndarray] | None, more) -> None:
+        parts = [p for w in words for p in ((_LETTER, w) if w[0] in _STOPS else (w,))]
+        real = np.array([p is not _LETTER for p in parts])
         n = len(self.good)
         self.known.update((w, n + i) for i, w in enumerate(words))
         self.chars += sum(map(len, words))
         self.good = np.append(self.good, np.full(len(words), ids is not None))
-        ends = np.cumsum([len(w.encode()) for w in words]) if ids else np.zeros(len(words), dtype=np.int64)
-        empty = np.zeros(0, dtype=np.int64)
-        x = Aligned(self.t, *(ids or (empty, empty)), ends)
-        size = np.bincount(x.pair_part, minlength=len(words))
-        self.start = np.append(self.start, len(self.pairs) + np.cumsum(size) - size)
-        self.size, self.pairs = np.append(self.size, size), np.append(self.pairs, x.pairs)
-        self.sums = np.concatenate([self.sums, np.concatenate([x.sums, more(x) if more else np.zeros((len(words), 2), dtype=np.int64)], axis=1)])
         self.used = np.append(self.used, np.zeros(len(words), dtype=np.int64))
+        if ids is None:
+            self.start, self.size = (np.append(x, np.zeros(len(words), dtype=np.int64)) for x in (self.start, self.size))
+            self.sums = np.concatenate([self.sums, np.zeros((len(words), 6), dtype=np.int64)])
+            self.text += [""] * len(words) if more else []
+            return
+        x = Aligned(self.t, *ids, np.cumsum([len(p.encode()) for p in parts]))
+        own = real[x.pair_part]
+        x.pair_part, x.pairs, x.times = x.pair_part[own], x.pairs[own], x.times[own]
+        size = np.bincount(x.pair_part, minlength=len(parts))
+        start = len(self.pairs) + np.cumsum(size) - size
+        self.start, self.size, self.pairs = np.append(self.start, start[real]), np.append(self.size, size[real]), np.append(self.pairs, x.pairs)
+        sums = np.concatenate([x.sums, more(x) if more else np.zeros((len(parts), 2), dtype=np.int64)], axis=1)
+        self.sums = np.concatenate([self.sums, sums[real]])
         if more:
-            self.text += x.shown() if ids else [""] * len(words)
+            self.text += [t for t, r in zip(x.shown(), real.tolist()) if r]
 
     def numbers(self, texts: list[str], more=None) -> Iterator[np.ndarray | None]:
         """The numbers of each text's words, or None where it has no tokens. All texts must be read before the next call."""
@@ -246,7 +288,7 @@ def _words(text: str | None, cuts: bool) -> list[str]:
     if not text:
         return []
     text = " " + text
-    return [text] if not cuts or _OTHER_BLANKS.search(text) else _WORD.findall(text)
+    return [text] if not cuts or _OTHER_BLANKS.search(text) else _WORD.findall(text)[:-1]  # but for the empty match at the end
 
 
 def _batches(texts: pa.Array, most: int = 2_000_000) -> Iterator[slice]:
