@@ -50,11 +50,40 @@ def test_packed_query_takes_added_tokens(spark, make, tmp_path):
     assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
 
 
+def decreasing(counts, capacity):
+    """Sequences of best-fit decreasing, one piece after another."""
+    gaps = [0] * (capacity + 1)
+    n = 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            gap = next((g for g in range(length, capacity + 1) if gaps[g]), None)
+            if gap is None:
+                n, gap = n + 1, capacity
+            else:
+                gaps[gap] -= 1
+            gaps[gap - length] += 1
+    return n
+
+
+@pytest.mark.parametrize("kind", ["uniform", "skewed", "large", "few"])
+def test_plan_is_no_worse_than_best_fit_decreasing(kind):
+    rng = random.Random(len(kind))
+    for capacity in (64, 200):
+        draw = {"uniform": lambda k: rng.randint(1, 60), "skewed": lambda k: int(2000 / k**1.1) + 1, "large": lambda k: 40 if k > capacity // 3 else rng.randint(0, 2), "few": lambda k: rng.choice([0, 0, 0, 90])}[kind]
+        counts = {k: n for k in range(1, capacity) if (n := draw(k))}
+        made = plan(counts, capacity)
+        used = Counter()
+        for combo, n in made:
+            assert sum(combo) <= capacity
+            for k in combo:
+                used[k] += n
+        assert used == counts and sum(n for _, n in made) <= decreasing(counts, capacity)
+
+
 def test_pack(make, odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     expected = Counter()
     for i, t, *_ in odd:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")

@@ -5,9 +5,11 @@ cut into pieces of that length, of which only the first may be shorter. A full
 piece is a sequence of its own. Of the other pieces only the number of each
 length, at most ``capacity`` counters, reaches the driver. There, from the
 longest length down, the gap that a length leaves is looked up among single
-lengths and an index of the sums of pairs and triples; a combination that fills the gap
-exactly is used as often as its counts allow. What remains is packed best-fit
-by decreasing length, again by counts. The plan maps the n-th piece of a length
+lengths, then, for what remains, in an index of the sums of pairs, then of triples; a
+combination that fills the gap exactly is used as often as its counts allow. What
+remains is packed best-fit by decreasing length, again by counts. Of the plans
+that stop after no, one, two or three kinds of exact fits the one with the fewest
+sequences is taken. The plan maps the n-th piece of a length
 to a sequence and an offset; pieces are numbered by a distributed running count.
 
 Defined cases: a null text is an empty text, one end id; long texts are cut and
@@ -145,15 +147,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     def usable(combo: tuple[int, ...]) -> bool:
         return all(have[k] >= combo.count(k) for k in combo)
 
-    def exact(length: int) -> tuple[int, ...] | None:
-        """A combination with this length that fills a sequence exactly; used-up lengths leave the index."""
+    def exact(length: int, parts: int) -> tuple[int, ...] | None:
+        """``parts`` lengths that fill the gap of a length exactly, with it; used-up lengths leave the index."""
         gap = capacity - length
-        if usable((length, gap)):
-            return length, gap
-        pairs[gap] = [p for p in pairs[gap] if have[p[0]] and have[p[1]]]
-        for two in pairs[gap]:
-            if usable((length, *two)):
-                return length, *two
+        if parts == 1:
+            return (length, gap) if usable((length, gap)) else None
+        if parts == 2:
+            pairs[gap] = [p for p in pairs[gap] if have[p[0]] and have[p[1]]]
+            return next(((length, *two) for two in pairs[gap] if usable((length, *two))), None)
         triples[gap] = [a for a in triples[gap] if have[a]]
         for a in triples[gap]:
             pairs[gap - a] = [p for p in pairs[gap - a] if have[p[0]] and have[p[1]]]
@@ -162,20 +163,31 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
                     return length, a, *two
         return None
 
-    for length in range(capacity - 1, 0, -1):
-        while have[length] and (combo := exact(length)):
-            times = min(int(have[k]) // combo.count(k) for k in combo)
-            for k in combo:
-                have[k] -= times
-            made[combo] += times
-
+    # Singles of all lengths first, then pairs, then triples: a small piece is spent only where nothing larger fits.
+    plans = [best_fit(have, made, capacity)]
+    for parts in (1, 2, 3):
+        for length in range(capacity - 1, 0, -1):
+            while have[length] and (combo := exact(length, parts)):
+                times = min(int(have[k]) // combo.count(k) for k in combo)
+                for k in combo:
+                    have[k] -= times
+                made[combo] += times
+        plans.append(best_fit(have, made, capacity))
+    # Where exact fits take what larger gaps need, fewer kinds of them leave fewer sequences.
+    least = min(reversed(plans), key=lambda x: sum(x.values()))
+    return sorted(least.items(), key=lambda x: (-x[1], x[0]))
+
+
+def best_fit(counts: np.ndarray, made: Counter, capacity: int) -> Counter:
+    """The sequences made, and those of the remaining lengths: each, the longest first, goes to the begun sequence with the smallest gap that takes it."""
+    out = Counter(made)
     opened: dict[int, Counter] = {}  # gap -> begun sequences and how many
 
     def put(combo: tuple[int, ...], n: int) -> None:
         opened.setdefault(capacity - sum(combo), Counter())[combo] += n
 
     for length in range(capacity, 0, -1):
-        left = int(have[length])
+        left = int(counts[length])
         while left:
             gap = min((g for g in opened if g >= length), default=None)
             if gap is None:
@@ -196,8 +208,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
                 put((*combo, length), n)
                 left -= n
     for begun in opened.values():
-        made.update(begun)
-    return sorted(made.items(), key=lambda x: (-x[1], x[0]))
+        out.update(begun)
+    return out
 
 
 def _slots(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -217,7 +229,7 @@ def _slots(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {k: np.array([r[i] for r in rows], dtype=np.int64) for i, k in enumerate(names)} | {"offsets": np.array(offsets, dtype=np.int64)}
 
 
-def pack(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+def pack(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, added: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Full pieces have negative sequence ids.
