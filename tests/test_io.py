@@ -3,12 +3,14 @@
 from dataclasses import replace
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from timberline.operators.grow import fit
 from timberline.operators.render import layout, parse_text, render_report, report, summary, tree_text
 from timberline.options import CART, Backend, Options, apply_command_line
 from timberline.sources import dataset_summary, load_inferred, load_positional
+from timberline.sources.lines import numbered_lines
 
 
 def write(tmp_path, text):
@@ -34,6 +36,44 @@ def test_refused(spark, tmp_path, text, message):
         load_positional(spark, write(tmp_path, text)).collect()
 
 
+def test_cells_with_any_character(spark, tmp_path):
+    path = write(tmp_path, "id,a,b,y\n1,1.5,2,x\x01y\n2,3,4,\x00\x02 \u2028z\"'\\\n")
+    assert sorted(map(tuple, load_positional(spark, path).collect())) == [(1.5, 2.0, "x\x01y"), (3.0, 4.0, "\x00\x02 \u2028z\"'\\")]
+
+
+def test_malformed_rows_are_named(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("id,a,y\n" + "1,2,p\n" * 40 + ("1,2\n" if i == 1 else ""))
+    with pytest.raises(Exception, match=r"Malformed CSV row: .*1\.csv, line 42"):
+        load_positional(spark, str(tmp_path)).collect()
+
+
+def test_headers_of_files_in_many_splits(spark, tmp_path):
+    """Several files in a task and several tasks for a file: each header goes, and equal lines elsewhere stay."""
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("1,2,p\n" + "".join(f"{k},{k % 7},p\n" if k % 50 else "1,2,p\n" for k in range(1, 400)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("500", "3000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = load_positional(spark, str(tmp_path))
+            assert got.columns == ["2", "label"] and got.count() == 3 * 399
+            lines = numbered_lines(spark, str(tmp_path))
+            assert lines.count() == 1200 and lines.filter("start = 0 and line = 0").count() == 3 and lines.select("file", "start", "line").distinct().count() == 1200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_long_hexadecimal_numbers(spark, tmp_path):
+    cells = ["0x1" + "0" * 20, "0x0." + "0" * 20 + "8", "-0x" + "0" * 30 + "ff", "0x1000001" + "0" * 20, "0x1000001" + "0" * 20 + "1", "0x1000003" + "0" * 12, "0x" + "f" * 25, "0x0p99999999999", "0x1.8p3"]
+    got = load_positional(spark, write(tmp_path, "id,a,y\n" + "".join(f"{i},{c},{i}\n" for i, c in enumerate(cells)))).collect()
+    want = {i: float(np.float32(float.fromhex(c) if "999" not in c else 0.0)) for i, c in enumerate(cells)}
+    want[4] = float.fromhex("0x1000002" + "0" * 21)  # just above the middle of two floats; by way of a double it would go down
+    assert {int(r.label): r.a for r in got} == want
+    with pytest.raises(Exception, match="out of range"):
+        load_positional(spark, write(tmp_path, "id,a,y\n1,0x1p99999999999,p\n")).collect()
+
+
 def test_inferred(spark, tmp_path):
     df = load_inferred(spark, write(tmp_path, "Id,island,size,Species\n1,x,2.5,a\n2,y,NA,b\n3,z,3,c\n"))
     assert df.columns == ["size", "label"] and sorted(map(tuple, df.collect())) == [(2.5, "a"), (3.0, "c")]

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = Path("/root/testdata/sf0.001")
-SOME = ["class_mapping_l_returnflag", "entropy_by_group", "partition_gain_five_way", "threshold_candidates_part", "best_split_root_embeddings_c45", "min_samples_per_leaf_split", "prune_cost_complexity", "prune_pessimistic", "tree_text", "tree_layout", "csv_positional", "csv_inferred"]
+SOME = ["tree_nodes_many_classes", "tree_nodes_band_finished_in_tasks", "score_candidates_part_c45", "class_mapping_l_returnflag", "entropy_by_group", "partition_gain_five_way", "threshold_candidates_part", "best_split_root_embeddings_c45", "min_samples_per_leaf_split", "prune_cost_complexity", "prune_pessimistic", "tree_text", "tree_layout", "csv_positional", "csv_inferred"]
 
 
 def plain(value):

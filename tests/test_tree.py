@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions.impurity import extra_errors, impurity, normal_quantile
-from timberline.operators.grow import fit
-from timberline.operators.predict import evaluate, predict, route
-from timberline.operators.prune import prune
+from timberline.operators.grow import Model, fit, grow, tiles_of
+from timberline.operators.predict import evaluate, predict, predict_table, route
+from timberline.operators.prune import prune, prune_table
 from timberline.operators.render import tree_text
-from timberline.operators.sweep import boundaries, tile_of, value_histogram
+from timberline.operators.scan import tile_candidates
+from timberline.operators.sweep import boundaries, candidates, swept, tile_of, value_histogram
 from timberline.options import C45, CART, Impurity, Pruning
 
 
@@ -126,15 +127,103 @@ def test_small_subtrees_grow_by_the_same_rule(spark, options):
     assert all(n.sample_count == sum(n.class_counts) for n in mixed.preorder())
 
 
-def test_rows_routed_by_joins(spark, monkeypatch):
+def test_rows_written_at_any_level(spark, monkeypatch):
     from timberline.operators import grow
 
     df = noisy(spark, 600)
     whole = tree_text(fit(df, replace(CART, max_depth=4)))
-    monkeypatch.setattr(grow, "EXPRESSION_NODES", 2)
+    monkeypatch.setattr(grow, "REWRITE", 1)
     assert tree_text(fit(df, replace(CART, max_depth=4, finish_rows=60))) == whole
 
 
+def test_thousands_of_nodes_and_classes(spark):
+    """16,384 classes of one row each: by entropy the best split is the middle one, so the last level but one has 8,192 growing nodes."""
+    n = 1 << 14
+    df = spark.range(n).select(F.col("id").cast("float").alias("v"), F.format_string("k%05d", "id").alias("label"))
+    model = grow(df, replace(CART, impurity=Impurity.Entropy, finish_rows=0))
+    levels = {r.depth: (r.nodes, r.rows, r.leaves) for r in model.nodes.groupBy("depth").agg(F.count("*").alias("nodes"), F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)")).alias("rows"), F.count(F.when(F.col("feature_index").isNull(), 1)).alias("leaves")).collect()}
+    assert levels == {d: (1 << d, n, n if d == 14 else 0) for d in range(15)}
+    middle = model.nodes.filter("depth = 1").select(F.element_at("class_id", 1), F.element_at("class_id", -1), "threshold").orderBy("path").collect()
+    assert [tuple(r) for r in middle] == [(0, n // 2 - 1, n / 4 - 0.5), (n // 2, n - 1, 3 * n / 4 - 0.5)]
+    with pytest.raises(ValueError, match="table of nodes"):
+        import timberline.operators.grow as module
+
+        few, module.TREE_NODES = module.TREE_NODES, 100
+        try:
+            model.tree()
+        finally:
+            module.TREE_NODES = few
+
+
+def test_children_are_counted_by_the_smaller_one(spark, monkeypatch):
+    from timberline.operators import counts
+
+    rows = spark.range(1000).select(F.lit(7).cast("long").alias("node_id"), F.array((F.col("id") % 50).cast("float"), F.pmod(F.hash("id"), F.lit(9)).cast("float")).alias("features"), (F.col("id") % 3).cast("int").alias("class_id"))
+    tiles = counts.tiled(counts.summed(counts.counted(rows)))
+    seen = []
+    plain = counts.counted
+    monkeypatch.setattr(counts, "counted", lambda r: seen.append(r.count()) or plain(r))
+    for limit, smaller in ((12.0, 260), (40.0, 180)):
+        split = spark.createDataFrame([(7, 0, limit, limit < 25, 71 if limit < 25 else 72, 72 if limit < 25 else 71)], "node_id long, feature_index int, split_value float, left_smaller boolean, small_id long, large_id long")
+        got = counts.child_counts(tiles, split, rows)
+        sides = rows.withColumn("node_id", F.when(F.col("features")[0] <= limit, 71).otherwise(72).cast("long"))
+        want = counts.summed(plain(sides))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and seen.pop() == smaller
+        only = counts.child_counts(tiles, split.withColumn("small_id", F.lit(None).cast("long")), rows)
+        assert {r.node_id for r in only.collect()} == {72 if limit < 25 else 71} and seen.pop() == smaller
+    assert counts.counts_of(tiles).count() == counts.summed(plain(rows)).count()
+
+
+def test_wide_rows_leave_tasks_as_counts(spark):
+    """64 features of four values: a task hands on a row for each value and class, not one for each row and feature."""
+    from timberline.operators.counts import counted
+
+    wide = spark.range(0, 5000, 1, 2).select(F.lit(0).alias("node_id"), F.array(*[F.pmod(F.hash("id", F.lit(f)), F.lit(4)).cast("float") for f in range(64)]).alias("features"), (F.col("id") % 2).cast("int").alias("class_id"))
+    made = counted(wide)
+    assert made.count() <= 2 * 64 * 4 * 2 and made.agg(F.sum("n")).first()[0] == 64 * 5000
+
+
+@pytest.mark.parametrize("options", [CART, C45, replace(CART, impurity=Impurity.Entropy, candidates="all", min_samples_per_leaf=7)])
+def test_scan_equals_the_dense_sweep(spark, options):
+    """Candidates from sparse running sums against those from a column for each class."""
+    df = spark.range(3000).select((F.col("id") % 2).alias("node_id"), F.array((F.pmod(F.hash("id"), F.lit(1700)) / 16 - 40).cast("float"), (F.col("id") % 13 - 6).cast("float")).alias("features"), F.pmod(F.hash("id", F.lit(1)), F.lit(4)).cast("int").alias("class_id"))
+    shown = ["node_id", "feature_index", "threshold", "split_value", "n_left", "n_right", *[F.round(c, 10) for c in ("gain", "split_info", "gain_ratio")]]
+    dense = candidates(swept(df, 4), 4, options).select(*shown).collect()
+    sparse = tile_candidates(tiles_of(df), options, every=True).select(*shown).collect()
+    assert sorted(map(tuple, sparse)) == sorted(map(tuple, dense)) and len(dense) > 100
+
+
+@pytest.mark.parametrize("options", [replace(CART, pruning=Pruning.CostComplexity, ccp_alpha=2.0), replace(C45, pruning=Pruning.PessimisticError)])
+def test_tables_predict_and_prune_as_trees_do(spark, options):
+    df = noisy(spark, 900)
+    model = grow(df, replace(options, max_depth=9))
+    tree = model.tree()
+    some = df.withColumn("a", F.when(F.col("b") > 3, F.col("a"))).withColumn("c", F.when(F.col("a") > 5, float("nan")).otherwise(F.col("c")).cast("float"))
+    order = [*df.columns, "prediction"]
+    assert sorted(map(repr, predict_table(some, model).select(order).collect())) == sorted(map(repr, predict(some, tree).select(order).collect()))
+    other = df.limit(700).unionByName(df.limit(5).withColumn("label", F.lit("unknown")))
+    assert tree_text(prune_table(model, other, options).tree()) == tree_text(prune(tree, other, options))
+    assert 1 < len(prune(tree, other, options).nodes) < len(tree.nodes)
+
+
+def test_a_million_leaves_predict(spark):
+    """A complete tree of 20 levels over one feature: a value's leaf is its whole part."""
+    depth = 20
+    levels = [spark.range(1 << d).select(F.lit(d).alias("depth"), F.col("id"), F.lpad(F.bin("id"), d, "0").alias("bits")) for d in range(depth + 1)]
+    nodes = levels[0]
+    for more in levels[1:]:
+        nodes = nodes.unionByName(more)
+    size = F.pow(F.lit(2.0), depth - F.col("depth"))
+    inner = F.col("depth") < depth
+    nodes = nodes.select(
+        F.translate("bits", "01", "LR").alias("path"), "depth", F.array((F.col("id") % 3).cast("int")).alias("class_id"), F.array(F.lit(1).cast("long")).alias("n"), F.when(inner, 0).alias("feature_index"), F.when(inner, (F.col("id") + 0.5) * size - 0.5).alias("threshold"), F.when(inner, F.lit(0.0)).cast("float").alias("split_value")
+    )
+    model = Model(nodes.withColumn("node_id", F.xxhash64("path")), spark.createDataFrame([(f"k{i}", i) for i in range(3)], "label string, class_id int"), ["v"])
+    rows = spark.range(4000).select((F.pmod(F.hash("id"), F.lit(1 << depth))).cast("float").alias("v"))
+    got = predict_table(rows, model).collect()
+    assert len(got) == 4000 and all(r.prediction == f"k{int(r.v) % 3}" for r in got)
+
+
 def test_unlimited_depth_ends(spark, monkeypatch):
     df = noisy(spark, 20_000)
     tree = fit(df, replace(CART, finish_rows=3000))

@@ -18,6 +18,13 @@ def encode(df: DataFrame, labels: list[str], label: str = "label") -> DataFrame:
     return df.select(F.array(*[F.col(f"`{c}`").cast("float") for c in features]).alias("features"), ids[F.col(label)].alias("class_id"))
 
 
+def joined(df: DataFrame, mapping: DataFrame, label: str = "label") -> DataFrame:
+    """features array<float>, class_id, by a join with the dictionary, which may have any number of classes."""
+    features = [c for c in df.columns if c != label]
+    rows = df.select(F.array(*[F.col(f"`{c}`").cast("float") for c in features]).alias("features"), F.col(label).alias("label"))
+    return rows.join(mapping.select("label", "class_id"), "label").select("features", "class_id")
+
+
 def class_counts(k: int, prefix: str = "c"):
     """Aggregates that count each class, for partial aggregation."""
     return [F.count(F.when(F.col("class_id") == i, 1)).alias(f"{prefix}{i}") for i in range(k)]

@@ -8,28 +8,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from timberline.operators.scan import gain_of, terms_of, weighted
 from timberline.options import Impurity, Options, Selection
 
-GROWN = "node_id long, path string, feature_index int, threshold double, split_value float, class_counts array<long>"
+GROWN = "path string, depth int, class_id array<int>, n array<long>, feature_index int, threshold double, split_value float"
 
 
-def _weighted(counts: np.ndarray, kind: Impurity) -> np.ndarray:
-    """Rows times impurity, for class counts along the last axis."""
-    counts = counts.astype(float)
-    n = np.maximum(counts.sum(-1), 1.0)
-    if kind is Impurity.Gini:
-        return n - (counts * counts).sum(-1) / n
-    return n * np.log2(n) - (counts * np.log2(np.maximum(counts, 1.0))).sum(-1)
-
-
-def _best_of_feature(values: np.ndarray, classes: np.ndarray, k: int, o: Options) -> tuple | None:
-    """(score, gain, ratio, threshold, split value) of the feature's best candidate."""
+def _best_of_feature(values: np.ndarray, classes: np.ndarray, every: np.ndarray, o: Options) -> tuple | None:
+    """(score, gain, ratio, threshold, split value) of the feature's best candidate; ``every``: rows of each class."""
     order = np.argsort(values, kind="stable")
     v, c = values[order], classes[order]
     first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     if len(first) < 2:
         return None
-    below = np.cumsum(np.eye(k, dtype=np.int64)[c], axis=0)[first[1:] - 1]
+    # How many of its class are before each row, and thereby how each row changes the sums of terms at both sides.
+    by_class = np.argsort(c, kind="stable")
+    left = np.empty(len(c), dtype=np.int64)
+    left[by_class] = np.arange(len(c)) - (np.cumsum(every) - every)[c[by_class]]
+    right = every[c] - left
+    left_terms = np.cumsum(terms_of(left + 1, o.impurity) - terms_of(left, o.impurity))[first[1:] - 1]
+    all_terms = terms_of(every, o.impurity).sum()
+    right_terms = all_terms + np.cumsum(terms_of(right - 1, o.impurity) - terms_of(right, o.impurity))[first[1:] - 1]
     before, after = v[first[:-1]], v[first[1:]]
     ok = np.abs(before - after).astype(float) >= o.epsilon
     if o.candidates == "adjacent":
@@ -38,12 +37,13 @@ def _best_of_feature(values: np.ndarray, classes: np.ndarray, k: int, o: Options
     ok &= (n_left >= least) & (len(v) - n_left >= least)
     if not ok.any():
         return None
-    left, n_left, before, after = below[ok], n_left[ok], before[ok], after[ok]
-    every = np.bincount(c, minlength=k)
-    gain = (_weighted(every, o.impurity) - _weighted(left, o.impurity) - _weighted(every - left, o.impurity)) / len(v)
+    n_left, before, after = n_left[ok], before[ok], after[ok]
+    gain = gain_of(n_left, len(v) - n_left, left_terms[ok], right_terms[ok], all_terms, o.impurity)
     keep, ratio = gain > o.epsilon, np.zeros(len(gain))
     if o.selection is Selection.MeanGainFiltered:
-        info = _weighted(np.stack([n_left, len(v) - n_left], axis=1), Impurity.Entropy) / len(v)
+        terms = terms_of(n_left, Impurity.Entropy) + terms_of(len(v) - n_left, Impurity.Entropy)
+        info = weighted(np.array(len(v)), terms, Impurity.Entropy) / len(v)
+        info = info.astype(np.float64)
         keep &= info > o.epsilon
         ratio = gain / np.where(info > 0, info, 1.0)
     if not keep.any():
@@ -56,9 +56,9 @@ def _best_of_feature(values: np.ndarray, classes: np.ndarray, k: int, o: Options
     return float(score[at]), float(gain[at]), float(ratio[at]), float(before[at] + after[at]) / 2.0, float(before[at])
 
 
-def _best_split(x: np.ndarray, classes: np.ndarray, k: int, o: Options) -> tuple[int, float, float] | None:
+def _best_split(x: np.ndarray, classes: np.ndarray, every: np.ndarray, o: Options) -> tuple[int, float, float] | None:
     """(feature, threshold, split value)."""
-    found = [(i, b) for i in range(x.shape[1]) if (b := _best_of_feature(x[:, i], classes, k, o))]
+    found = [(i, b) for i in range(x.shape[1]) if (b := _best_of_feature(x[:, i], classes, every, o))]
     if not found:
         return None
     ratio = o.selection is Selection.MeanGainFiltered
@@ -73,28 +73,25 @@ def _best_split(x: np.ndarray, classes: np.ndarray, k: int, o: Options) -> tuple
     return (found[0][0], found[0][1][3], found[0][1][4]) if found else None
 
 
-def subtree(x: np.ndarray, classes: np.ndarray, k: int, depth: int, o: Options) -> Iterator[tuple]:
-    """(path below the node, feature, threshold, split value, class counts) of every node, the node first."""
-    left_to_grow = [("", np.arange(len(classes)))]
+def subtree(x: np.ndarray, classes: np.ndarray, path: str, depth: int, o: Options) -> Iterator[tuple]:
+    """A row of GROWN for every node of the subtree, the node itself first."""
+    left_to_grow = [(path, depth, np.arange(len(classes)))]
     while left_to_grow:
-        path, rows = left_to_grow.pop()
-        counts = np.bincount(classes[rows], minlength=k)
-        done = counts.max() == len(rows) or 0 <= o.max_depth <= depth + len(path) or len(rows) < o.min_samples_to_split
-        split = None if done else _best_split(x[rows], classes[rows], k, o)
-        if split is None:
-            yield path, None, None, None, counts.tolist()
-            continue
-        yield path, *split, counts.tolist()
-        below = x[rows, split[0]] <= np.float32(split[2])
-        left_to_grow += [(path + "R", rows[~below]), (path + "L", rows[below])]
+        path, depth, rows = left_to_grow.pop()
+        present, own, every = np.unique(classes[rows], return_inverse=True, return_counts=True)
+        done = len(present) == 1 or 0 <= o.max_depth <= depth or len(rows) < o.min_samples_to_split
+        split = None if done else _best_split(x[rows], own, every, o)
+        yield path, depth, present.astype(np.int32), every, *(split or (None, None, None))
+        if split is not None:
+            below = x[rows, split[0]] <= np.float32(split[2])
+            left_to_grow += [(path + "R", depth + 1, rows[~below]), (path + "L", depth + 1, rows[below])]
 
 
-def finish(rows: DataFrame, depths: dict[int, int], k: int, options: Options) -> DataFrame:
-    """rows(node_id, features, class_id) -> GROWN: the nodes of each node's subtree, the node itself with an empty path."""
+def finish(rows: DataFrame, nodes: DataFrame, options: Options) -> DataFrame:
+    """GROWN: the nodes of the subtree of each of nodes(node_id, path, depth), from rows(node_id, features, class_id)."""
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
-        node = int(part["node_id"].iloc[0])
-        found = subtree(np.stack(part["features"].to_numpy()).astype(np.float32), part["class_id"].to_numpy(np.int64), k, depths[node], options)
-        return pd.DataFrame([(node, *n) for n in found], columns=[c.split()[0] for c in GROWN.split(", ")]).astype({"feature_index": "Int32"})
+        found = subtree(np.stack(part["features"].to_numpy()).astype(np.float32), part["class_id"].to_numpy(np.int64), part["path"].iloc[0], int(part["depth"].iloc[0]), options)
+        return pd.DataFrame(found, columns=[c.split()[0] for c in GROWN.split(", ")]).astype({"feature_index": "Int32"})
 
-    return rows.groupBy("node_id").applyInPandas(grow, GROWN)
+    return rows.join(nodes, "node_id").groupBy("node_id").applyInPandas(grow, GROWN)

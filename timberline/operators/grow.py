@@ -1,138 +1,203 @@
-"""Level-wise growth: one Spark job a level for all large nodes, then one for all small subtrees.
-
-The sweep of a level gives the class counts of both children of each split, so
-rows are not counted again. Rows find their node by one expression over the
-tree so far; they are written down once, and again only when the expression
-gets long, without the rows of finished nodes. Nodes of at most
-``finish_rows`` rows wait for the end, where each is grown to its leaves in one
-task. The tree is held by the driver: ``max_depth`` or ``min_samples_per_leaf``
-bound it where labels are noisy.
+"""Level-wise growth: nodes, frontier and class counts are tables, whatever their number.
+
+A level counts the rows of the smaller child of each split; the larger child's
+counts are its parent's less those. The counts are written a row a tile, swept,
+and reduced to one split a node. Splits give the next frontier with the class
+counts of its nodes, and rows find their node by a join with the splits. Nodes of
+at most ``finish_rows`` rows wait until the rows are written again, every ``REWRITE``
+levels; each is then grown to its leaves in one task. The driver sees how many
+nodes wait and grow, and nothing else.
+
+A node's id is a hash of its path. ``Model`` holds the table of nodes; ``fit`` makes a
+``Tree`` of it, which the driver holds, for up to ``TREE_NODES`` nodes.
 """
 
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.encode import class_counts, class_mapping, encode, majority
+from timberline.operators.counts import child_counts, class_totals, counted, summed, tiled
+from timberline.operators.encode import class_mapping, joined
 from timberline.operators.finish import finish
 from timberline.operators.model import Node, Tree
+from timberline.operators.scan import tile_candidates
 from timberline.operators.select import best_per_feature, best_split
 from timberline.operators.sweep import candidates, swept
 from timberline.options import Options, Pruning
 from timberline.tables import keep
 
-#: Nodes that one routing expression names at most; beyond, rows are routed by a join and written.
-EXPRESSION_NODES = 200
+#: Levels after which the rows are written with their nodes, and small nodes are grown.
+REWRITE = 4
+#: Nodes that a tree on the driver may have.
+TREE_NODES = 1_000_000
+NODE = ["node_id", "path", "depth", "class_id", "n"]
+SPLIT = ["feature_index", "threshold", "split_value"]
+SPLIT_TYPES = ["int", "double", "float"]
 
 
 def level_splits(rows: DataFrame, k: int, options: Options) -> DataFrame:
-    """The best split of each node of rows(node_id, features, class_id), with class counts left (l0..) and of the node (t0..)."""
+    """The best split of each node of rows(node_id, features, class_id), with a column for each of a few classes: l0.. left, t0.. of the node."""
     return best_split(best_per_feature(candidates(swept(rows, k), k, options), options), options)
 
 
-class _Rows:
-    """The training rows, each at a node of ``roots``, and the way from there to the nodes that still grow."""
-
-    def __init__(self, rows: DataFrame, tree: Tree):
-        self.rows, self.tree, self.roots, self.splits = rows, tree, [0], 0
-
-    def at(self, live: set[int]) -> DataFrame:
-        """The rows at the live nodes; others are left out."""
-        nodes, last = self.tree.nodes, F.lit(None).cast("long")
-
-        def way(i: int) -> Column:
-            node = nodes[i]
-            if i in live:
-                return F.lit(i).cast("long")
-            return last if node.is_leaf else F.when(F.col("features")[node.feature_index] <= F.lit(node.split_value).cast("float"), way(node.left_id)).otherwise(way(node.right_id))
-
-        to = last
-        for root in self.roots:
-            to = F.when(F.col("node_id") == root, way(root)).otherwise(to)
-        return self.rows.withColumn("node_id", to).filter("node_id is not null")
-
-    def write(self, live: set[int]) -> None:
-        """Write the rows at the live nodes where the expression would get long."""
-        if self.splits + len(self.roots) <= EXPRESSION_NODES:
-            return
-        nodes, moves = self.tree.nodes, []
-        for root in self.roots:
-            node = nodes[root]
-            if root in live:
-                moves.append((root, None, None, root, root))
-            elif not node.is_leaf:
-                moves.append((root, node.feature_index, node.split_value, node.left_id, node.right_id))
-        if len(self.roots) <= EXPRESSION_NODES:
-            self.rows = keep(self.at(live))
-        else:  # one level below the roots, which may be many
-            to = self.rows.sparkSession.createDataFrame(moves, "node_id long, f int, v float, l long, r long")
-            side = F.when(F.col("f").isNull() | (F.element_at("features", F.col("f") + 1) <= F.col("v")), F.col("l")).otherwise(F.col("r"))
-            ends = self.rows.sparkSession.createDataFrame([(i,) for i in live], "node_id long")
-            self.rows = keep(self.rows.join(to, "node_id").select("features", "class_id", side.alias("node_id")).join(ends, "node_id", "left_semi"))
-        self.roots, self.splits = sorted(live), 0
+def tiles_of(rows: DataFrame) -> DataFrame:
+    """The written class counts of rows(node_id, features, class_id), a row a tile."""
+    return keep(tiled(summed(counted(rows))))
+
 
-
-def fit(df: DataFrame, options: Options, label: str = "label") -> Tree:
-    """Grow a tree on float features and a string label; prunes if the options say so."""
+def splits_of(tiles: DataFrame, options: Options) -> DataFrame:
+    """The best split of each node that has one, from its tiles."""
+    return best_split(best_per_feature(tile_candidates(tiles, options), options), options)
+
+
+def node_id(path: Column) -> Column:
+    return F.xxhash64(path)
+
+
+@dataclass
+class Model:
+    """A grown tree as a table of nodes: NODE, with the classes of its rows and how many each has, and SPLIT, null at leaves."""
+
+    nodes: DataFrame
+    labels: DataFrame
+    features: list[str]
+    build_seconds: float = 0.0
+
+    def tree(self) -> Tree:
+        """The tree on the driver, its nodes numbered by depth and path."""
+        found = self.nodes.limit(TREE_NODES + 1).collect()
+        if len(found) > TREE_NODES:
+            raise ValueError(f"The tree has over {TREE_NODES} nodes; use the table of nodes.")
+        found.sort(key=lambda r: (r["depth"], r["path"]))
+        labels = [r[0] for r in self.labels.orderBy("class_id").collect()]
+        number = {r["path"]: i for i, r in enumerate(found)}
+        tree = Tree(labels, self.features, build_seconds=self.build_seconds)
+        for i, r in enumerate(found):
+            path, counts = r["path"], [0] * len(labels)
+            for c, n in zip(r["class_id"], r["n"]):
+                counts[c] = n
+            node = Node(i, number[path[:-1]] if path else None, path, r["depth"], {"": "ROOT", "L": "yes", "R": "no"}[path[-1:]], sample_count=sum(r["n"]), class_counts=counts)
+            if r["feature_index"] is None:
+                node.leaf_label = labels[min(zip((-n for n in r["n"]), r["class_id"]), default=(0, 0))[1]]
+            else:
+                node.is_leaf, node.feature_index, node.feature_name = False, r["feature_index"], self.features[r["feature_index"]]
+                node.threshold, node.split_value = r["threshold"], r["split_value"]
+                node.left_id, node.right_id = number[path + "L"], number[path + "R"]
+            tree.nodes[i] = node
+        return tree
+
+
+def _stated(nodes: DataFrame, o: Options) -> DataFrame:
+    """The nodes with their rows and what becomes of them: a level grows them, or one task, or they are leaves."""
+    done = (F.size("class_id") <= 1) | (F.col("rows") < o.min_samples_to_split)
+    if o.max_depth >= 0:
+        done = done | (F.col("depth") >= o.max_depth)
+    nodes = nodes.withColumn("rows", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))
+    return nodes.withColumn("state", F.when(done, "leaf").when(F.col("rows") <= o.finish_rows, "small").otherwise("grow"))
+
+
+def _children(splits: DataFrame, growing: DataFrame, tiles: DataFrame) -> DataFrame:
+    """NODE of both children of each split: below it are the classes of the tiles before it, and those of its own tile below it."""
+    at = splits.select("node_id", "feature_index", "at_tile")
+    earlier = class_totals(tiles).join(at, ["node_id", "feature_index"]).filter("tile < at_tile").select("node_id", "class_id", "n")
+    inside = splits.select("node_id", F.inline(F.arrays_zip(F.col("below_class").alias("class_id"), F.col("below_n").alias("n"))))
+    left = earlier.unionByName(inside).groupBy("node_id", "class_id").agg(F.sum("n").alias("left"))
+    every = growing.join(splits.select("node_id"), "node_id", "left_semi").select("node_id", "path", "depth", F.inline(F.arrays_zip("class_id", "n")))
+    both = every.join(left, ["node_id", "class_id"], "left").withColumn("left", F.coalesce("left", F.lit(0).cast("long")))
+    sides = F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("m")), F.struct(F.lit("R").alias("side"), (F.col("n") - F.col("left")).alias("m")))
+    counts = both.select("path", "depth", "class_id", F.inline(sides)).filter("m > 0").select(F.concat("path", "side").alias("path"), (F.col("depth") + 1).alias("depth"), "class_id", F.col("m").alias("n"))
+    return _gathered(counts, "path", "depth")
+
+
+def _gathered(counts: DataFrame, *by: str) -> DataFrame:
+    """NODE from a row for each class of a node."""
+    found = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("class_id", "n"))).alias("c"))
+    return found.select(node_id(F.col("path")).alias("node_id"), "path", "depth", F.col("c.class_id").alias("class_id"), F.col("c.n").alias("n"))
+
+
+def _moves(splits: DataFrame, growing: DataFrame, children: DataFrame) -> DataFrame:
+    """One row for each split: node_id, SPLIT, and of each child its id, rows and state."""
+    out = splits.select("node_id", *SPLIT).join(growing.select("node_id", "path"), "node_id")
+    for side in ("L", "R"):
+        child = children.filter(F.endswith("path", F.lit(side))).select(F.expr("left(path, length(path) - 1)").alias("path"), *[F.col(c).alias(f"{side}_{c}") for c in ("node_id", "rows", "state")])
+        out = out.join(child, "path")
+    return out.drop("path")
+
+
+def _smaller(moves: DataFrame) -> DataFrame:
+    """The splits with a child that grows by the level: which child is smaller, and the ids of those that grow."""
+    left = F.col("L_rows") <= F.col("R_rows")
+    grows = lambda side: F.when(F.col(f"{side}_state") == "grow", F.col(f"{side}_node_id"))
+    out = moves.select("node_id", "feature_index", "split_value", left.alias("left_smaller"), F.when(left, grows("L")).otherwise(grows("R")).alias("small_id"), F.when(left, grows("R")).otherwise(grows("L")).alias("large_id"))
+    return out.filter("small_id is not null or large_id is not null")
+
+
+def _routed(rows: DataFrame, moves: DataFrame, waiting: DataFrame) -> DataFrame:
+    """The rows at children that grow or wait, and those that wait already."""
+    left = F.element_at("features", F.col("feature_index") + 1) <= F.col("split_value")
+    live = lambda side: F.when(F.col(f"{side}_state") != "leaf", F.col(f"{side}_node_id"))
+    ways = moves.select("node_id", "feature_index", "split_value", live("L").alias("below"), live("R").alias("above"))
+    ways = ways.unionByName(waiting.select("node_id", F.lit(0).alias("feature_index"), F.lit(0.0).cast("float").alias("split_value"), F.col("node_id").alias("below"), F.col("node_id").alias("above")))
+    return rows.join(ways, "node_id").select("features", "class_id", F.when(left, F.col("below")).otherwise(F.col("above")).alias("node_id")).filter("node_id is not null")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def grow(df: DataFrame, options: Options, label: str = "label") -> Model:
+    """Grow a tree on float features and a string label, as a table."""
     began = time.perf_counter()
-    labels = [r[0] for r in class_mapping(df, label).orderBy("class_id").collect()]  # one row a class
-    if not labels:
+    labels = keep(class_mapping(df, label))
+    classes, named = labels.agg(F.count("*"), F.count("label")).first()
+    if not classes:
         raise ValueError("Cannot train on an empty dataset.")
-    if None in labels:
+    if classes > named:
         raise ValueError("Every row needs a label.")
     features = [c for c in df.columns if c != label]
-    tree, k, next_id = Tree(labels, features), len(labels), 1
     bad = F.exists("features", lambda x: F.isnan(x) | x.isNull())
-    base = keep(encode(df, labels, label).withColumn("features", F.when(bad, F.raise_error(F.lit("Features must be numbers."))).otherwise(F.col("features"))).withColumn("node_id", F.lit(0).cast("long")))
-    large: list[Node] = []
-    small: list[Node] = []
-
-    def add(node: Node, counts: list[int]) -> None:
-        node.class_counts, node.sample_count, node.leaf_label = counts, sum(counts), labels[majority(counts)]
-        tree.nodes[node.node_id] = node
-        pure = max(counts) == node.sample_count
-        full = 0 <= options.max_depth <= node.depth
-        if not (pure or full or node.sample_count < options.min_samples_to_split):
-            (small if node.sample_count <= options.finish_rows else large).append(node)
-
-    def split(node: Node, feature: int, threshold: float, split_value: float) -> tuple[Node, Node]:
-        nonlocal next_id
-        node.is_leaf, node.leaf_label = False, None
-        node.feature_index, node.feature_name, node.threshold, node.split_value = feature, features[feature], threshold, split_value
-        node.left_id, node.right_id = next_id, next_id + 1
-        next_id += 2
-        return Node(node.left_id, node.node_id, node.path + "L", node.depth + 1, "yes"), Node(node.right_id, node.node_id, node.path + "R", node.depth + 1, "no")
-
-    add(Node(0, None, "", 0, "ROOT"), list(base.agg(*class_counts(k)).first()))
-    rows = _Rows(base, tree)
-    while large:
-        growing, large = large, []
-        splits = {r["node_id"]: r for r in level_splits(rows.at({n.node_id for n in growing}), k, options).collect()}  # at most one row a node
-        for node in growing:
-            if got := splits.get(node.node_id):
-                below = [got[f"l{i}"] for i in range(k)]
-                left, right = split(node, got["feature_index"], got["threshold"], got["split_value"])
-                add(left, below)
-                add(right, [got[f"t{i}"] - below[i] for i in range(k)])
-                rows.splits += 1
-        rows.write({n.node_id for n in (*large, *small)})
-    if small:
-        here = rows.at({n.node_id for n in small}) if len(small) <= EXPRESSION_NODES else rows.rows
-        grown: dict[int, list] = {}
-        for r in finish(here, {n.node_id: n.depth for n in small}, k, options).collect():  # one row a node of the tree
-            grown.setdefault(r["node_id"], []).append(r)
-        for top in small:
-            at = {"": top}
-            for r in sorted(grown[top.node_id], key=lambda r: len(r["path"])):
-                node = at[r["path"]]
-                node.class_counts, node.sample_count, node.leaf_label = r["class_counts"], sum(r["class_counts"]), labels[majority(r["class_counts"])]
-                tree.nodes[node.node_id] = node
-                if r["feature_index"] is not None:
-                    at[r["path"] + "L"], at[r["path"] + "R"] = split(node, r["feature_index"], r["threshold"], r["split_value"])
-    tree.build_seconds = time.perf_counter() - began
+    rows = joined(df, labels, label).withColumn("features", F.when(bad, F.raise_error(F.lit("Features must be numbers."))).otherwise(F.col("features")))
+    rows = keep(rows.withColumn("node_id", node_id(F.lit(""))))
+    root = rows.groupBy("class_id").agg(F.count("*").alias("n")).withColumns({"path": F.lit(""), "depth": F.lit(0)})
+    frontier = keep(_stated(_gathered(root, "path", "depth"), options))
+    none = frontier.filter(F.lit(False)).select("node_id", "path", "depth")
+    waiting, waits, finished, tiles, moves = none, False, [], None, None
+    for level in count():
+        states = dict(frontier.groupBy("state").count().collect())  # three rows at most
+        if grows := "grow" in states:
+            tiles = tiles_of(rows) if moves is None else keep(tiled(child_counts(tiles, _smaller(moves), rows)))
+        if moves is not None and (grows or waits or "small" in states):
+            rows = _routed(rows, moves, waiting)
+        if "small" in states:
+            waiting, waits = waiting.unionByName(frontier.filter("state = 'small'").select("node_id", "path", "depth")), True
+        if "leaf" in states:
+            finished.append(frontier.filter("state = 'leaf'").select(*NODE, *[F.lit(None).cast(t).alias(c) for c, t in zip(SPLIT, SPLIT_TYPES)]))
+        if level and level % REWRITE == 0 and grows:
+            rows = keep(rows)
+        if waits and (not grows or level % REWRITE == 0):
+            finished.append(keep(finish(rows, waiting, options).withColumn("node_id", node_id(F.col("path"))).select(*NODE, *SPLIT)))
+            waiting, waits = none, False
+        if len(finished) > 20:
+            finished = [keep(_union(finished))]
+        if not grows:
+            break
+        growing = frontier.filter("state = 'grow'")
+        splits = keep(splits_of(tiles, options))
+        finished.append(growing.join(splits.select("node_id", *SPLIT), "node_id", "left").select(*NODE, *SPLIT))
+        children = keep(_stated(_children(splits, growing, tiles), options))
+        frontier, moves = children, keep(_moves(splits, growing, children))
+    return Model(keep(_union(finished)), labels, features, time.perf_counter() - began)
+
+
+def fit(df: DataFrame, options: Options, label: str = "label") -> Tree:
+    """Grow a tree on float features and a string label, for the driver; prunes if the options say so."""
+    tree = grow(df, options, label).tree()
     if options.pruning is not Pruning.NoPruning:
         from timberline.operators.prune import prune
 

@@ -48,6 +48,7 @@ DATA = {
     "part": _of("part", ("p_size", "p_retailprice"), "p_type", 6),
     "events": _of("events", ("value",), "event_type", 5),
     "orders": _of("orders", ("o_totalprice",), "o_orderstatus", 3),
+    "customers": _of("orders", ("o_totalprice", "o_orderkey"), "o_custkey", 0),
     "embeddings": Data(tuple(f"d{i + 1}" for i in range(VECTOR)), 10, _vectors, "SELECT " + ", ".join(f"embedding[{i + 1}]::FLOAT AS f{i}" for i in range(VECTOR)) + ", label::VARCHAR AS label FROM embeddings"),
     "quality": Data(("n_chars",), 2, _quality, "SELECT n_chars::FLOAT AS f0, quality::VARCHAR AS label FROM documents JOIN labels USING (doc_id)"),
 }

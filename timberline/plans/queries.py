@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -10,19 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.impurity import impurity, pessimistic_errors, total
-from timberline.operators.encode import class_counts, class_mapping, encode
-from timberline.operators.grow import fit
+from timberline.operators.encode import class_counts, class_mapping, encode, joined
+from timberline.operators.grow import fit, grow, tiles_of
 from timberline.operators.model import Tree
 from timberline.operators.predict import evaluate, predict
 from timberline.operators.prune import prune
 from timberline.operators.render import Box, layout, parse_text, tree_text
+from timberline.operators.scan import tile_candidates
 from timberline.operators.select import best_per_feature, best_split, mean_gain_filter
-from timberline.operators.sweep import boundaries, candidates, partition_measures, swept, value_histogram
+from timberline.operators.sweep import boundaries, partition_measures, value_histogram
 from timberline.options import C45, CART, Impurity, Options, Pruning
 from timberline.plans import sql
 from timberline.plans.data import DATA, Data
 from timberline.sources import dataset_summary, load_inferred, load_positional
-from timberline.tables import shared_dir
+from timberline.tables import new_place
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,9 +189,11 @@ _OPTIONS = {"cart": CART, "c45": C45}
 _MEASURES = ("gain", "split_info", "gain_ratio")
 
 
-def _scored(name: str, o: Options, spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, labels = _rows(DATA[name], spark, sf_dir)
-    return candidates(swept(rows, len(labels)), len(labels), o)
+def _scored(name: str, o: Options, spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Candidates of the whole table: all, or those that may be chosen."""
+    df = DATA[name].load(spark, sf_dir)
+    rows = joined(df, class_mapping(df)).withColumn("node_id", F.lit(0).cast("long"))
+    return tile_candidates(tiles_of(rows), o, every)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def _sql_shown(name: str, o: Options, table: str) -> str:
 
 
 def _sweep_queries(name: str, mode: str, o: Options) -> None:
-    _add(f"score_candidates_{name}_{mode}", lambda s, d: _shown(_scored(name, o, s, d)), _sql_shown(name, o, "s0"))
+    _add(f"score_candidates_{name}_{mode}", lambda s, d: _shown(_scored(name, o, s, d, True)), _sql_shown(name, o, "s0"))
     _add(f"best_threshold_per_feature_{name}_{mode}", lambda s, d: _shown(best_per_feature(_scored(name, o, s, d), o)), _sql_shown(name, o, "pf0"))
     _add(f"best_split_root_{name}_{mode}", lambda s, d: _shown(best_split(best_per_feature(_scored(name, o, s, d), o), o)), _sql_shown(name, o, "b0"))
 
@@ -225,7 +227,8 @@ _add("best_split_gini_gain_ratio", lambda s, d: _shown(best_split(best_per_featu
 
 
 def _tree(name: str, o: Options, spark: SparkSession, sf_dir: str) -> Tree:
-    return fit(DATA[name].load(spark, sf_dir), o)
+    """Grown by levels to the end, whatever the size of the table."""
+    return fit(DATA[name].load(spark, sf_dir), replace(o, finish_rows=0))
 
 
 def _nodes(tree: Tree, spark: SparkSession) -> DataFrame:
@@ -242,6 +245,21 @@ for _n in ("band", "embeddings"):
         _deep = replace(_o, max_depth=3 if _n == "band" else 2)
         _add(f"tree_nodes_{_n}_{_m}", lambda s, d, n=_n, o=_deep: _nodes(_tree(n, o, s, d), s), sql.query(sql.grown(DATA[_n], _deep), _sql_nodes("nodes")))
 
+_FINISHED = replace(CART, max_depth=3, finish_rows=20_000)
+_add("tree_nodes_band_finished_in_tasks", lambda s, d: _nodes(fit(DATA["band"].load(s, d), _FINISHED), s), SQL["tree_nodes_band_cart"])
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three levels of a tree on as many classes as there are customers with orders."""
+    table = grow(DATA["customers"].load(spark, sf_dir), replace(CART, max_depth=2, finish_rows=0))
+    of = F.array_min(F.zip_with("n", "class_id", lambda n, c: F.struct((-n).alias("n"), c.alias("c"))))["c"]
+    leaves = table.nodes.withColumn("class_id_of", of).join(table.labels.select(F.col("class_id").alias("class_id_of"), "label"), "class_id_of")
+    rows = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    return leaves.select("path", "depth", F.col("feature_index").isNull().alias("is_leaf"), "feature_index", "threshold", F.when(F.col("feature_index").isNull(), F.col("label")).alias("leaf_label"), rows.alias("sample_count"), F.size("class_id").alias("classes"))
+
+
+_add("tree_nodes_many_classes", _many, sql.many_classes(DATA["customers"], 2))
+
 _D1, _D3 = replace(CART, max_depth=1), replace(CART, max_depth=3)
 _add("grow_level1", lambda s, d: _nodes(_tree("lineitem", _D1, s, d), s), sql.query(sql.grown(DATA["lineitem"], _D1), _sql_nodes("nodes")))
 
@@ -351,7 +369,7 @@ _add("tree_edges", tree_edges, sql.query(sql.grown(_band, _D3), f"SELECT path[:-
 
 
 def _as_csv(df: DataFrame) -> str:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/timberline-csv-{uuid.uuid4().hex}"
+    path = new_place(df.sparkSession, "csv-")
     df.write.option("header", True).csv(path)
     return path
 

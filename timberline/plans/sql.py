@@ -134,5 +134,26 @@ def pruned(data: Data, o: Options, mode: str) -> list[str]:
     return out
 
 
+def many_classes(data: Data, depth: int) -> str:
+    """Nodes of a tree by Gini and highest gain, for any number of classes: sums of squared counts as running sums of (2 * count before + 1) over rows."""
+    out = ["src AS (%s)" % data.sql, "r0 AS (SELECT '' AS path, * FROM src)"]
+    for i in range(depth):
+        long = " UNION ALL ".join(f"SELECT path, label, {f} AS fi, f{f} AS v FROM r{i}" for f in range(len(data.features)))
+        value = "CASE b.fi " + " ".join(f"WHEN {f} THEN f{f}" for f in range(len(data.features))) + " END"
+        out += [
+            f"h{i} AS (SELECT path, fi, v, label, count(*) AS n FROM ({long}) GROUP BY ALL)",
+            f"l{i} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY path, fi, label ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS l, sum(n) OVER (PARTITION BY path, fi, label)::BIGINT AS t FROM h{i})",
+            f"v{i} AS (SELECT path, fi, v, min(label) AS mn, max(label) AS mx, sum(n)::BIGINT AS n, sum(n * n + 2 * l * n)::BIGINT AS dl, sum(n * n - 2 * (t - l) * n)::BIGINT AS dr FROM l{i} GROUP BY ALL)",
+            f"w{i} AS (SELECT path, fi, v, mn, lag(v) OVER o AS pv, lag(mx) OVER o AS pmx, sum(n) OVER e AS nl, sum(dl) OVER e AS sl, sum(dr) OVER e AS sr, sum(n) OVER (PARTITION BY path, fi) AS nn, sum(dl) OVER (PARTITION BY path, fi) AS s FROM v{i} WINDOW o AS (PARTITION BY path, fi ORDER BY v), e AS (PARTITION BY path, fi ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+            f"g{i} AS (SELECT *, (nn - s::DOUBLE / nn - (nl - sl::DOUBLE / nl) - ((nn - nl) - (s + sr)::DOUBLE / (nn - nl))) / nn AS gain FROM w{i} WHERE pv IS NOT NULL AND abs(pv - v) >= 1e-9 AND pmx <> mn)",
+            f"b{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY fi, (pv + v)::DOUBLE) AS k FROM (SELECT *, max(gain) OVER (PARTITION BY path) AS top FROM g{i} WHERE gain > 1e-9) WHERE gain >= top - 1e-9) WHERE k = 1)",
+            f"r{i + 1} AS (SELECT r.path || CASE WHEN {value} <= b.pv THEN 'L' ELSE 'R' END AS path, r.* EXCLUDE (path) FROM r{i} r JOIN b{i} b ON r.path = b.path)",
+        ]
+    counts = " UNION ALL ".join(f"SELECT {i} AS depth, path, label, count(*) AS n FROM r{i} GROUP BY ALL" for i in range(depth + 1))
+    splits = " UNION ALL ".join(f"SELECT path, fi, (pv + v)::DOUBLE / 2.0 AS threshold FROM b{i}" for i in range(depth))
+    out += [f"c AS ({counts})", "nodes AS (SELECT path, depth, sum(n)::BIGINT AS n, count(*)::INT AS classes FROM c GROUP BY ALL)", "major AS (SELECT path, label FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, label) AS k FROM c) WHERE k = 1)", f"splits AS ({splits})"]
+    return query(out, "SELECT path, depth, fi IS NULL AS is_leaf, fi AS feature_index, threshold, CASE WHEN fi IS NULL THEN label END AS leaf_label, n AS sample_count, classes FROM nodes JOIN major USING (path) LEFT JOIN splits USING (path)")
+
+
 def query(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.sources.lines import numbered_lines
+
 #: Label columns looked for by name, and spellings of a missing value.
 TARGETS = ("Species", "Outcome", "species")
 MISSING = ("NA", "na", "?", "N/A")
@@ -20,11 +22,15 @@ def _number(cell: Column) -> Column:
     """The number that a cell begins with, as a float; what follows it is ignored. A cell without a number, and one beyond the floats, is an error."""
     of = lambda i: F.regexp_extract(cell, HEXADECIMAL, i)
     digits = F.concat(of(2), of(3))
-    power = F.coalesce(of(4).try_cast("int"), F.lit(0))
-    scaled = F.conv(digits, 16, 10).cast("double") * F.pow(F.lit(2.0), power - 4 * F.length(of(3))) * F.when(of(1) == "-", -1.0).otherwise(1.0)
-    many = F.raise_error(F.lit("A hexadecimal number has too many digits")).cast("double")
+    power = F.coalesce(of(4).try_cast("int"), F.when(of(4) == "", 0).when(of(4).startswith("-"), -100_000).otherwise(100_000))
+    # 13 digits and a bit that tells whether more follow are a whole number that a double holds, and decide how a float is rounded.
+    leading = F.regexp_replace(digits, "^0+", "")
+    head, rest = F.left(leading, F.lit(13)), F.substring(leading, 14, 2**30)
+    exponent = power - 4 * F.length(of(3)) + 4 * F.length(rest) - 1
+    whole = F.coalesce(F.conv(F.when(head == "", "0").otherwise(head), 16, 10).cast("double"), F.lit(0.0)) * 2 + F.when(rest.rlike("[^0]"), 1.0).otherwise(0.0)
+    scaled = F.when(whole == 0, 0.0).otherwise(whole * F.pow(F.lit(2.0), exponent)) * F.when(of(1) == "-", -1.0).otherwise(1.0)
     text = F.regexp_extract(cell, DECIMAL, 1)
-    value = F.when(cell.rlike(HEXADECIMAL), F.when(F.length(digits) > 15, many).otherwise(scaled)).otherwise(text.cast("double"))
+    value = F.when(cell.rlike(HEXADECIMAL), scaled).otherwise(text.cast("double"))
     beyond = (F.abs(value.cast("float")) == float("inf")) & ~text.rlike("(?i)inf")
     below = (F.abs(value) < LEAST_FLOAT) & F.when(cell.rlike(HEXADECIMAL), digits.rlike("[^0]")).otherwise(F.split(text, "[eE]")[0].rlike("[1-9]"))
     return F.when(beyond | below, F.raise_error(F.lit("A number is out of range")).cast("float")).otherwise(value.cast("float"))
@@ -45,14 +51,13 @@ def load_positional(spark: SparkSession, path: str, strict_lines: bool = False)
     header = first.removesuffix(",").split(",")
     if len(header) < 3:
         raise ValueError("Unexpected CSV header format")
-    # Lines as cells of one column, for the reader leaves out the header of each file.
-    lines = spark.read.schema("value string").options(header=True, enforceSchema=True, sep="\x01", quote="", escape="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    lines = numbered_lines(spark, path).filter("start > 0 or line > 0")  # but for the header of each file
     if not strict_lines:
-        lines = lines.select(F.regexp_replace("value", "\r$", "").alias("value"))
+        lines = lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
     cells = F.split(F.regexp_replace("value", ",$", ""), ",", -1)
-    rows = lines.filter(F.length("value") > 0).select(cells.alias("c"))
-    whole = F.when(F.size("c") == len(header), F.col("c")).otherwise(F.raise_error(F.lit("Malformed CSV row")))
-    rows = rows.select(whole.alias("c"))
+    rows = lines.filter(F.length("value") > 0).withColumn("c", cells)
+    place = F.concat(F.lit("Malformed CSV row: "), "file", F.lit(", line "), (F.col("line") + 1).cast("string"), F.when(F.col("start") > 0, F.concat(F.lit(" after byte "), F.col("start").cast("string"))).otherwise(""))
+    rows = rows.select(F.when(F.size("c") == len(header), F.col("c")).otherwise(F.raise_error(place)).alias("c"))
     return rows.select(*[_number(F.col("c")[i]).alias(header[i]) for i in range(1, len(header) - 1)], F.col("c")[len(header) - 1].alias("label"))
 
 

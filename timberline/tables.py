@@ -21,11 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "timberline")
 
 
+def new_place(spark: SparkSession, kind: str) -> str:
+    """A path for a new table, which ``release`` removes."""
+    path = f"{shared_dir(spark)}/timberline-{kind}{uuid.uuid4().hex}"
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: later jobs neither recompute nor depend on executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/timberline-{uuid.uuid4().hex}"
-    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = new_place(spark, "")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
