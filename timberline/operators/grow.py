@@ -34,8 +34,8 @@ from timberline.tables import keep
 
 #: Levels after which the rows are written with their nodes, and small nodes are grown.
 REWRITE = 4
-#: Nodes that a tree on the driver may have.
-TREE_NODES = 1_000_000
+#: Nodes that a tree on the driver may have, and nodes times classes.
+TREE_NODES, TREE_COUNTS = 1_000_000, 50_000_000
 NODE = ["node_id", "path", "depth", "class_id", "n"]
 SPLIT = ["feature_index", "threshold", "split_value"]
 SPLIT_TYPES = ["int", "double", "float"]
@@ -76,6 +76,8 @@ class Model:
             raise ValueError(f"The tree has over {TREE_NODES} nodes; use the table of nodes.")
         found.sort(key=lambda r: (r["depth"], r["path"]))
         labels = [r[0] for r in self.labels.orderBy("class_id").collect()]
+        if len(found) * len(labels) > TREE_COUNTS:
+            raise ValueError(f"The tree has over {TREE_COUNTS} class counts; use the table of nodes.")
         number = {r["path"]: i for i, r in enumerate(found)}
         tree = Tree(labels, self.features, build_seconds=self.build_seconds)
         for i, r in enumerate(found):

@@ -1,6 +1,7 @@
-"""Threshold sweeps: value histograms, running class counts, scored candidates.
+"""Threshold sweeps of few classes with DataFrame functions alone: value histograms, running class counts, scored candidates.
 
-All nodes of a level and all features are swept by one plan. Rows are first
+Growth counts and scans as in counts.py and scan.py, for any number of classes; a
+test compares both. All nodes and features are swept by one plan. Rows are first
 counted by (node, feature, value), so later steps see one row a distinct value.
 Values fall into tiles by their size alone, and a tile holds at most 65,536
 different floats; running counts are taken within tiles, and a row a tile
@@ -45,7 +46,6 @@ def boundaries(hist: DataFrame, k: int) -> DataFrame:
     """Each value with its tile, the value before it, that value's largest class, counts below (l0..) and of the node (t0..)."""
     key, i = ["node_id", "feature_index"], range(k)
     tiles = hist.withColumn("tile", tile_of(F.col("value")))
-    # The same columns as below, so that both branches share one histogram.
     sums = tiles.groupBy(*key, "tile").agg(*[F.sum(f"c{c}").alias(f"s{c}") for c in i], F.max(F.struct("value", "max_class", "min_class")).alias("last"))
     of = Window.partitionBy(*key).orderBy("tile")
     earlier, whole = of.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
