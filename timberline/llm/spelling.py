@@ -9,7 +9,8 @@ word, so chains of single letters cost no step. The frontier is a table of state
 and leaves its word at every other edge, by another letter in place of its own or
 by one more letter; from then on only edges that agree with the rest of the word
 are followed. Each step joins the frontier with the nodes. States whose edge ends a
-word, with all letters of their own used, are neighbours.
+word, with all letters of their own used, are neighbours. A state with its edit
+looks for one word; a Bloom filter of bounded size drops most that look for none.
 
 One edit lies in one half of a word: states start at the node nearest to the middle
 of their word, and words written backwards find what differs in the first half. So
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.bloom import plausible
 from timberline.llm.common import keep
 
 LETTERS = 6
@@ -47,8 +49,11 @@ LOSES = 199
 COUNTED = 300_000
 #: Prefixes up to this length name their node themselves, longer ones by a digest.
 NAMED = 48
-_RUN = re.compile(rf"[A-Za-zÀ-ÿ]{{{LETTERS},}}")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: 64-bit words of the filter that spares states which look for no word; with very many words it lets all through.
+FILTER = 1 << 20
+#: In UTF-8 a letter is a-z, or C3 and a byte from 80 to BF. Runs of all these bytes are found first, and looked at once more if they are not ASCII.
+_BYTES = re.compile(rb"[a-z\x80-\xbf\xc3]{%d,}" % LETTERS)
+_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf]){%d,}" % LETTERS)
 
 
 def word_counts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,25 +63,31 @@ def word_counts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 for key, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     seed = zlib.crc32(f"{key or ''}:".encode())
-                    for word, n in Counter(_RUN.findall((body or "").translate(_LOWER))).items():
-                        h = zlib.crc32(word.encode(), seed)
+                    found = Counter(_BYTES.findall((body or b"").lower()))  # of bytes only A-Z change
+                    for some in [r for r in found if not r.isascii()]:
+                        n = found.pop(some)
+                        for word in _RUN.findall(some):
+                            found[word] += n
+                    for word, n in found.items():
+                        h = zlib.crc32(word, seed)
                         if h % LOSES == 0:
-                            at = h % len(word)
-                            word = word[:at] + word[at + 1 :]
+                            letters = word.decode()
+                            at = h % len(letters)
+                            word = (letters[:at] + letters[at + 1 :]).encode()
                         counts[word] += n
                 if len(counts) > COUNTED:
                     yield out()
                     counts.clear()
         yield out()
 
-    rows = docs.select(F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(id).cast("string").alias("id"), F.col(text).cast("binary").alias("text"))
     found = rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return found.filter((F.char_length("word") >= LETTERS) & (F.col("n") >= OCCURRENCES))
 
@@ -87,7 +98,7 @@ def _key() -> Column:
 
 
 def _places(words: DataFrame) -> DataFrame:
-    """key, at, node, next: each prefix of ``at`` letters from the middle of a word on, with the letter after it ('' at the end).
+    """key, at, node, next: each prefix of ``at`` letters from the middle of a word on, with the code point after it (-1 at the end).
 
     A prefix up to NAMED letters names its node; longer ones are digested in one pass over the word.
     """
@@ -107,11 +118,11 @@ def _places(words: DataFrame) -> DataFrame:
                             else:
                                 digest.update(word[at - 1].encode())
                             node = f"{at} {digest.hexdigest()}"
-                        for column, value in zip(out, (key, at, node, word[at : at + 1])):
+                        for column, value in zip(out, (key, at, node, ord(word[at]) if at < len(word) else -1)):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.string(), pa.string()))], ["key", "at", "node", "next"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.string(), pa.int32()))], ["key", "at", "node", "next"])
 
-    return words.select("word", _key()).mapInArrow(run, "key string, at int, node string, next string")
+    return words.select("word", _key()).mapInArrow(run, "key string, at int, node string, next int")
 
 
 def _trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +148,9 @@ def _trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _walked(words: DataFrame) -> DataFrame:
     """word, near: words that differ from a word behind a common beginning of at least half of it, by another letter or by one more."""
     nodes, frontier = _trie(words)
-    found, met = None, None
+    found = None
+    # About eight words share 64 bits, as long as the filter has no more than its bound.
+    size_of_filter = min(FILTER, max(1 << 10, words.count() // 8))
     while True:
         step = frontier.join(nodes, "node").select("word", "at", "edits", F.explode("edges").alias("e")).select("word", "at", "edits", "e.*")
         own = F.substring("word", F.col("at") + 1, 1)
@@ -152,10 +165,18 @@ def _walked(words: DataFrame) -> DataFrame:
         tail = F.expr("substring(letters, 2)")
         replaced = other & (own != "") & (tail == rest(1)) & (F.char_length("word") >= F.col("at") + size)
         more = other & (tail == F.substring("word", F.col("at") + 1, size - 1)) & (F.char_length("word") >= F.col("at") + size - 1)
-        to = lambda at, edits: F.struct((F.col("at") + at).alias("at"), F.lit(edits).alias("edits"))
-        moves = F.when(F.col("edits") == 1, F.array(F.when(agrees, to(size, 1)))).otherwise(F.array(F.when(agrees, to(size, 0)), F.when(replaced, to(size, 1)), F.when(more, to(size - 1, 1))))
-        moved = keep(step.select("word", "to", "ends", F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("m")).select("word", "m.at", F.col("to").alias("node"), "m.edits", "ends"))
-        done = moved.filter((F.col("edits") == 1) & F.col("ends").isNotNull() & (F.col("at") == F.char_length("word"))).select("word", F.col("ends").alias("near"))
+
+        def to(at: Column | int, edits: int, skipped: int | None = None) -> Column:
+            """The state behind the edge, and, where it is the edit, the word that the state looks for."""
+            sought = F.lit(None).cast("string") if skipped is None else F.concat(F.expr("left(word, at)"), "first", F.substring("word", F.col("at") + 1 + skipped, F.char_length("word")))
+            return F.struct((F.col("at") + at).alias("at"), F.lit(edits).alias("edits"), sought.alias("sought"))
+
+        moves = F.when(F.col("edits") == 1, F.array(F.when(agrees, to(size, 1)))).otherwise(F.array(F.when(agrees, to(size, 0)), F.when(replaced, to(size, 1, 1)), F.when(more, to(size - 1, 1, 0))))
+        moved = step.select("word", "to", "ends", F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("m")).select("word", "m.at", F.col("to").alias("node"), "m.edits", "ends", "m.sought")
+        moved = plausible(moved, words, "sought", "word", size_of_filter).drop("sought")
+        # States that go on, and ends that use the whole word; other ends lead nowhere.
+        moved = keep(moved.filter(F.col("node").isNotNull() | ((F.col("edits") == 1) & (F.col("at") == F.char_length("word")))))
+        done = moved.filter("node is null").select("word", F.col("ends").alias("near"))
         found = done if found is None else found.unionByName(done)
         frontier = moved.filter("node is not null").drop("ends")
         if frontier.isEmpty():
@@ -166,7 +187,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     """word, near: both ways, each pair once."""
     ahead = _walked(words.select("word"))
     back = _walked(words.select(F.reverse("word").alias("word"))).select(F.reverse("word").alias("word"), F.reverse("near").alias("near"))
-    pairs = ahead.unionByName(back).filter(F.levenshtein("word", "near") == 1)  # confirms what the digests of long prefixes say
+    pairs = keep(ahead.unionByName(back).filter(F.levenshtein("word", "near") == 1))  # confirms what the digests of long prefixes say
     return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
 
 
