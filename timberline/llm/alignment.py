@@ -82,6 +82,28 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def ranked(path: str):
+    """The same encoding by ranks, which is faster, where the file's ids are in the order of its merges and it splits as byte-level files do."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    file = json.loads(open(path, encoding="utf-8").read())
+    vocab, merges = file["model"]["vocab"], file["model"].get("merges", [])
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    made, byte = [vocab.get("".join(m), -1) for m in pairs], _byte_of()
+    known = set(made)
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = file["normalizer"] is None and level.items() <= (file["pre_tokenizer"] or {}).items()
+    if not plain or made != sorted(made) or len(known) < len(made) or -1 in known:
+        return None
+    ranks = {bytes(byte[c] for c in entry): i for entry, i in vocab.items() if i in known or len(entry) == 1}
+    if len(ranks) < len(made) + 256:
+        return None
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of each token."""
 
@@ -94,7 +116,7 @@ class Tokenizers:
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings are plain text
-        self.fast = self._ranked(path_a)
+        self.fast = ranked(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = _byte_of()
         self.bytes_a = [b""] * (max(self.a.get_vocab().values()) + 1)
@@ -108,27 +130,6 @@ class Tokenizers:
         #: No token of B crosses from another character to white space, or from a letter to punctuation.
         self.cuts = pieces[self.blank] == _BLANK_SIGN and not any(len(p) > 1 and re.search(rf"[^{_BLANK_SIGN}]{_BLANK_SIGN}|[{_BLANKS[1:]}]|[{_LATIN}][{_STOPS}]", p) for p in pieces)
 
-    def _ranked(self, path: str):
-        """The same encoding by ranks, which is faster, where the file's ids are in the order of its merges and it splits as byte-level files do."""
-        import json
-
-        import public_tokenizers
-        import tiktoken
-
-        file = json.loads(open(path, encoding="utf-8").read())
-        vocab, merges = file["model"]["vocab"], file["model"].get("merges", [])
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        made, byte = [vocab.get("".join(m), -1) for m in pairs], _byte_of()
-        known = set(made)
-        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        plain = file["normalizer"] is None and level.items() <= (file["pre_tokenizer"] or {}).items()
-        if not plain or made != sorted(made) or len(known) < len(made) or -1 in known:
-            return None
-        ranks = {bytes(byte[c] for c in entry): i for entry, i in vocab.items() if i in known or len(entry) == 1}
-        if len(ranks) < len(made) + 256:
-            return None
-        return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a text that begins with white space, by A, and by B without the blank that B adds; None unless both give back all bytes."""
         a = self.fast.encode_ordinary(text) if self.fast else self.a.encode(text, add_special_tokens=False).ids

@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.alignment import ranked
 from timberline.llm.common import in_worker, keep, running, text_of
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of text whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,20 +59,34 @@ class Encoder:
     other = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-˿]")
 
     def __init__(self, path: str, added: bool = False):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        if added and (tokens := [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]):
+        self.path, self.added, self.tokenizer = path, added, None
+        with open(path, encoding="utf-8") as file:
+            tokens = [t["content"] for t in json.load(file)["added_tokens"]] if added else []
+        self.special = re.compile("|".join(map(re.escape, tokens))) if tokens else None
+        if tokens:
             self.other = re.compile("|".join([self.other.pattern, *map(re.escape, tokens)]))
+        self.fast = ranked(path)
+        self.size = np.array([len(self.fast.decode_single_token_bytes(i)) for i in range(self.fast.n_vocab)]) if self.fast else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def encoded(self, text: str):
+        """By the file's own tokenizer, which is loaded when it is asked for."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = not self.added
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.fast and not (self.special and self.special.search(text)):
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.encoded(text).ids, "<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         young, old, joined = self.young, self.old, []
@@ -87,7 +102,16 @@ class Encoder:
                 young[p] = self.whole(p)
         for i in range(0, len(joined), 500):  # a piece that begins with a blank is cut off from what precedes it
             some = joined[i : i + 500]
-            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            if self.fast:
+                found = np.array(self.fast.encode_ordinary("".join(some)), "<u4")
+                sizes, raw = np.cumsum(self.size[found]), found.tobytes()
+                ends = np.cumsum([len(p.encode()) for p in some])
+                last = np.searchsorted(sizes, ends)
+                if (sizes[last] == ends).all():
+                    at = [0, *(4 * (last + 1)).tolist()]
+                    young.update(zip(some, (raw[a:b] for a, b in zip(at, at[1:]))))
+                    continue
+            e = self.encoded("".join(some))
             ids, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
             at = [0, *(4 * (np.flatnonzero(np.diff(word)) + 1)).tolist(), len(ids)]
             if len(at) == len(some) + 1:
@@ -102,7 +126,7 @@ class Encoder:
             yield self.whole(text) if pieces is None else b"".join(map(self.young.__getitem__, pieces))
 
 
-def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, added: bool = True) -> DataFrame:
     """One row per piece: row, doc_id, piece, start, length, ids_crc32."""
     path, end = path or tokenizer_path(), np.array([END_ID], "<u4").tobytes()
 
