@@ -4,9 +4,10 @@ A task counts its rows for all features at once, as arrays, so what leaves it is
 a row for each distinct combination and not one for each row and feature. The sum
 is dealt by value: a feature whose values all fall into one tile still spreads
 over all tasks. Tiles are the floats that agree in their upper 16 bits, at most
-65,536; a tile's row has its values, classes and counts as arrays and, small and
-beside them, the totals of its classes and its last value. So the table is
-written once: a reader of the totals does not read the values.
+65,536, cut into pieces of ``PIECE`` entries, even within a value, so that no row and
+nothing made of it grows with the table. A piece's row has its values, classes and
+counts as arrays and, small and beside them, the totals of its classes and its last
+value. So the table is written once: a reader of the totals does not read the values.
 
 The counts of a node whose parent's are kept need no look at the rows if its
 sibling's are known: they are the parent's less the sibling's.
@@ -21,10 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.operators.encode import FEW, few
+
 #: Values of rows that a task counts at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
+#: Entries (value, class) of one row of TILES, at most.
+PIECE = 4096
 COUNTS = "node_id long, feature_index int, tile int, value float, class_id int, n long"
-TILES = "node_id long, feature_index int, tile int, value array<float>, class_id array<int>, n array<long>, total_class array<int>, total_n array<long>, last float, last_class int"
+#: ``tile`` of these is the tile of COUNTS in the upper half and the number of the piece in the lower one.
+TILES = "node_id long, feature_index int, tile long, value array<float>, class_id array<int>, n array<long>, total_class array<int>, total_n array<long>, last float, last_class int"
 KEY = ["node_id", "feature_index", "tile"]
 
 
@@ -69,7 +75,7 @@ def counted(rows: DataFrame) -> DataFrame:
             if flat.null_count or len(flat) % batch.num_rows:
                 raise ValueError("Features must be numbers.")
             values = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1)
-            held.append((batch.column(0).to_numpy(), values, batch.column(2).to_numpy()))
+            held.append((batch.column(0).to_numpy().copy(), values, batch.column(2).to_numpy().copy()))  # no batch stays for its columns
             size += values.size
             if size >= AT_ONCE:
                 yield from _counted(*(np.concatenate(c) for c in zip(*held)))
@@ -87,7 +93,7 @@ def summed(counts: DataFrame) -> DataFrame:
 
 
 def tiled(counts: DataFrame) -> DataFrame:
-    """TILES from summed counts: one row a tile."""
+    """TILES from summed counts: one row a piece of a tile."""
 
     def packed(t: pa.Table) -> pa.RecordBatch:
         key = [t.column(c).to_numpy() for c in KEY]
@@ -107,12 +113,20 @@ def tiled(counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        of, before = None, 0  # the tile of the batch before, and its entries so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
             key = [batch.column(c).to_numpy() for c in KEY]
-            last = int(runs(*key)[-1])  # the last tile may go on in the next batch
+            first = runs(*key)
+            place = np.arange(batch.num_rows) - np.repeat(first, np.diff(np.append(first, batch.num_rows)))
+            if of == tuple(k[0] for k in key):
+                place[: first[1] if len(first) > 1 else None] += before
+            of, before = tuple(k[-1] for k in key), int(place[-1]) + 1
+            key[2] = (key[2].astype(np.int64) << 32) + place // PIECE
+            batch = pa.RecordBatch.from_arrays([*map(pa.array, key), *batch.columns[3:]], batch.schema.names)
+            held.append(batch)
+            last = int(runs(*key)[-1])  # the last piece may go on in the next batch
             if last:
                 yield packed(pa.Table.from_batches([*held[:-1], batch.slice(0, last)]))
                 held = [batch.slice(last)]
@@ -125,7 +139,7 @@ def tiled(counts: DataFrame) -> DataFrame:
 
 def counts_of(tiles: DataFrame, *more: str | Column) -> DataFrame:
     """Rows of COUNTS again, from the rows of tiles."""
-    return tiles.select(*KEY, *more, F.inline(F.arrays_zip("value", "class_id", "n")))
+    return tiles.select(*KEY[:2], F.shiftright("tile", 32).cast("int").alias("tile"), *more, F.inline(F.arrays_zip("value", "class_id", "n")))
 
 
 def class_totals(tiles: DataFrame, *more: str) -> DataFrame:
@@ -133,18 +147,18 @@ def class_totals(tiles: DataFrame, *more: str) -> DataFrame:
     return tiles.select(*KEY, *more, F.inline(F.arrays_zip(F.col("total_class").alias("class_id"), F.col("total_n").alias("n"))))
 
 
-def child_counts(tiles: DataFrame, split: DataFrame, rows: DataFrame) -> DataFrame:
+def child_counts(tiles: DataFrame, split: DataFrame, rows: DataFrame, nodes: int = FEW + 1) -> DataFrame:
     """Summed COUNTS of the growing children of ``split(node_id, feature_index, split_value, left_smaller, small_id, large_id)``.
 
     Of each node only the rows of its smaller child are counted; the larger one's
     counts are the node's, from its ``tiles``, less those. ``small_id`` or ``large_id``
-    is null where that child does not grow.
+    is null where that child does not grow. ``nodes``: how many rows ``split`` has, at most.
     """
     goes_left = F.element_at("features", F.col("feature_index") + 1) <= F.col("split_value")
-    smaller = rows.join(split, "node_id").filter(goes_left == F.col("left_smaller"))
-    ids = split.select("node_id", "small_id", "large_id")
+    smaller = rows.join(few(split, nodes), "node_id").filter(goes_left == F.col("left_smaller"))
+    ids = few(split.select("node_id", "small_id", "large_id"), nodes)
     new = counted(smaller.select("node_id", "features", "class_id")).join(ids, "node_id")
     both = F.array(F.struct(F.col("small_id").alias("node_id"), F.col("n")), F.struct(F.col("large_id").alias("node_id"), (-F.col("n")).alias("n")))
     new = new.select("feature_index", "tile", "value", "class_id", F.inline(both))
-    old = counts_of(tiles.join(ids.filter("large_id is not null").select("node_id", "large_id"), "node_id"), "large_id").withColumn("node_id", F.col("large_id"))
+    old = counts_of(tiles.join(few(split.filter("large_id is not null").select("node_id", "large_id"), nodes), "node_id"), "large_id").withColumn("node_id", F.col("large_id"))
     return summed(new.unionByName(old.select(*new.columns)).filter("node_id is not null"))

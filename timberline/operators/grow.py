@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators.counts import child_counts, class_totals, counted, summed, tiled
-from timberline.operators.encode import class_mapping, joined
+from timberline.operators.encode import class_mapping, few, joined
 from timberline.operators.finish import finish
 from timberline.operators.model import Node, Tree
 from timberline.operators.scan import tile_candidates
@@ -140,13 +140,13 @@ def _smaller(moves: DataFrame) -> DataFrame:
     return out.filter("small_id is not null or large_id is not null")
 
 
-def _routed(rows: DataFrame, moves: DataFrame, waiting: DataFrame) -> DataFrame:
-    """The rows at children that grow or wait, and those that wait already."""
+def _routed(rows: DataFrame, moves: DataFrame, waiting: DataFrame, nodes: int) -> DataFrame:
+    """The rows at children that grow or wait, and those that wait already; ``nodes``: how many split and wait, at most."""
     left = F.element_at("features", F.col("feature_index") + 1) <= F.col("split_value")
     live = lambda side: F.when(F.col(f"{side}_state") != "leaf", F.col(f"{side}_node_id"))
     ways = moves.select("node_id", "feature_index", "split_value", live("L").alias("below"), live("R").alias("above"))
     ways = ways.unionByName(waiting.select("node_id", F.lit(0).alias("feature_index"), F.lit(0.0).cast("float").alias("split_value"), F.col("node_id").alias("below"), F.col("node_id").alias("above")))
-    return rows.join(ways, "node_id").select("features", "class_id", F.when(left, F.col("below")).otherwise(F.col("above")).alias("node_id")).filter("node_id is not null")
+    return rows.join(few(ways, nodes), "node_id").select("features", "class_id", F.when(left, F.col("below")).otherwise(F.col("above")).alias("node_id")).filter("node_id is not null")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -169,26 +169,28 @@ def grow(df: DataFrame, options: Options, label: str = "label") -> Model:
     root = rows.groupBy("class_id").agg(F.count("*").alias("n")).withColumns({"path": F.lit(""), "depth": F.lit(0)})
     frontier = keep(_stated(_gathered(root, "path", "depth"), options))
     none = frontier.filter(F.lit(False)).select("node_id", "path", "depth")
-    waiting, waits, finished, tiles, moves = none, False, [], None, None
+    waiting, waits, finished, tiles, moves = none, 0, [], None, None
+    split = 0  # nodes that the level before grew
     for level in count():
         states = dict(frontier.groupBy("state").count().collect())  # three rows at most
         if grows := "grow" in states:
-            tiles = tiles_of(rows) if moves is None else keep(tiled(child_counts(tiles, _smaller(moves), rows)))
+            tiles = tiles_of(rows) if moves is None else keep(tiled(child_counts(tiles, _smaller(moves), rows, split)))
         if moves is not None and (grows or waits or "small" in states):
-            rows = _routed(rows, moves, waiting)
+            rows = _routed(rows, moves, waiting, split + waits)
         if "small" in states:
-            waiting, waits = waiting.unionByName(frontier.filter("state = 'small'").select("node_id", "path", "depth")), True
+            waiting, waits = waiting.unionByName(frontier.filter("state = 'small'").select("node_id", "path", "depth")), waits + states["small"]
         if "leaf" in states:
             finished.append(frontier.filter("state = 'leaf'").select(*NODE, *[F.lit(None).cast(t).alias(c) for c, t in zip(SPLIT, SPLIT_TYPES)]))
         if level and level % REWRITE == 0 and grows:
             rows = keep(rows)
         if waits and (not grows or level % REWRITE == 0):
             finished.append(keep(finish(rows, waiting, options).withColumn("node_id", node_id(F.col("path"))).select(*NODE, *SPLIT)))
-            waiting, waits = none, False
+            waiting, waits = none, 0
         if len(finished) > 20:
             finished = [keep(_union(finished))]
         if not grows:
             break
+        split = states["grow"]
         growing = frontier.filter("state = 'grow'")
         splits = keep(splits_of(tiles, options))
         finished.append(growing.join(splits.select("node_id", *SPLIT), "node_id", "left").select(*NODE, *SPLIT))

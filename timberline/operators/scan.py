@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from timberline.operators.counts import KEY, class_totals, runs
 from timberline.options import Impurity, Options, Selection
+from timberline.tables import keep
 
 #: Values and counts of tiles that are scored at once.
-AT_ONCE = 1_000_000
-CANDIDATES = "node_id long, feature_index int, tile int, threshold double, split_value float, n_left long, n_right long, gain double, split_info double, gain_ratio double, score double"
-BELOW = "at_tile int, below_class array<int>, below_n array<long>"
+AT_ONCE = 1 << 17
+CANDIDATES = "node_id long, feature_index int, tile long, threshold double, split_value float, n_left long, n_right long, gain double, split_info double, gain_ratio double, score double"
+BELOW = "at_tile long, below_class array<int>, below_n array<long>"
 BEFORE = ["before", "before_class", "n_before", "left_rest", "right_rest", "n_all", "all_rest"]
 
 
@@ -60,7 +61,7 @@ def before_tiles(tiles: DataFrame, kind: Impurity) -> DataFrame:
 
     Reads the totals of the tiles only. Counts before a tile are sums over the tiles
     of the same class, sums of terms over the tiles of the feature; neither
-    has more rows than a feature has tiles.
+    has more rows than a feature has tiles, nor lists of classes in its rows.
     """
     of = ["node_id", "feature_index"]
     ends = F.struct("last", "last_class")
@@ -70,7 +71,7 @@ def before_tiles(tiles: DataFrame, kind: Impurity) -> DataFrame:
     totals = totals.withColumns({"l": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "t": F.sum("n").over(by_class)})
     l, n, t = F.col("l"), F.col("n"), F.col("t")  # noqa: E741
     terms = {"left": _term(l, kind), "right": _term(t - l, kind), "all": _term(t, kind), "left_step": _term(l + n, kind) - _term(l, kind), "right_step": _term(t - l, kind) - _term(t - l - n, kind)}
-    own = totals.withColumns(terms).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in (*terms, "n")], F.first("end").alias("end"), F.collect_list(F.struct("class_id", "l", "t")).alias("own"))
+    own = keep(totals.withColumns(terms).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in (*terms, "n")], F.first("end").alias("end"), F.collect_list(F.struct("class_id", "l", "t")).alias("own")))
     whole = Window.partitionBy(*of)
     by_tile = whole.orderBy("tile")
     before, on = by_tile.rowsBetween(Window.unboundedPreceding, -1), by_tile.rowsBetween(0, Window.unboundedFollowing)
@@ -83,9 +84,9 @@ def before_tiles(tiles: DataFrame, kind: Impurity) -> DataFrame:
         (F.sum("right_step").over(on) - F.col("right")).cast("double").alias("right_rest"),
         F.sum("n").over(whole).alias("n_all"),
         (F.sum("right_step").over(whole) - F.col("all")).cast("double").alias("all_rest"),
-        *[F.col(f"own.{c}").alias(f"own_{c}") for c in ("class_id", "l", "t")],
     )
-    return found.select(*KEY, F.col("prior.last").alias("before"), F.col("prior.last_class").alias("before_class"), *BEFORE[2:], "own_class_id", "own_l", "own_t")
+    found = found.select(*KEY, F.col("prior.last").alias("before"), F.col("prior.last_class").alias("before_class"), *BEFORE[2:])
+    return found.join(own.select(*KEY, *[F.col(f"own.{c}").alias(f"own_{c}") for c in ("class_id", "l", "t")]), KEY)
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:

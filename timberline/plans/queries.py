@@ -22,7 +22,7 @@ from timberline.options import C45, CART, Impurity, Options, Pruning
 from timberline.plans import sql
 from timberline.plans.data import DATA, Data
 from timberline.sources import dataset_summary, load_inferred, load_positional
-from timberline.tables import new_place
+from timberline.tables import keep, new_place
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,7 +192,7 @@ _MEASURES = ("gain", "split_info", "gain_ratio")
 def _scored(name: str, o: Options, spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     """Candidates of the whole table: all, or those that may be chosen."""
     df = DATA[name].load(spark, sf_dir)
-    rows = joined(df, class_mapping(df)).withColumn("node_id", F.lit(0).cast("long"))
+    rows = joined(df, keep(class_mapping(df))).withColumn("node_id", F.lit(0).cast("long"))
     return tile_candidates(tiles_of(rows), o, every)
 
 
