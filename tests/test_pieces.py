@@ -56,3 +56,10 @@ def test_rows_of_few_classes_are_not_dealt_by_class(spark):
         assert "SortMergeJoin" not in plan(joined(df, keep(class_mapping(df))))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_candidates_hold_no_classes(spark):
+    """What is chosen from has rows of one size, however many classes a tile has."""
+    df = spark.range(3000).select(F.lit(0).cast("long").alias("node_id"), F.array((1 + F.col("id") / 524288).cast("float")).alias("features"), F.col("id").cast("int").alias("class_id"))
+    found = tile_candidates(tiles_of(df), CART)
+    assert found.count() and not [t for _, t in found.dtypes if t.startswith("array")]

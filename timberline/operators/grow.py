@@ -22,7 +22,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.counts import child_counts, class_totals, counted, summed, tiled
+from timberline.operators.counts import child_counts, class_totals, counted, counts_of, summed, tiled
 from timberline.operators.encode import class_mapping, few, joined
 from timberline.operators.finish import finish
 from timberline.operators.model import Node, Tree
@@ -104,11 +104,12 @@ def _stated(nodes: DataFrame, o: Options) -> DataFrame:
     return nodes.withColumn("state", F.when(done, "leaf").when(F.col("rows") <= o.finish_rows, "small").otherwise("grow"))
 
 
-def _children(splits: DataFrame, growing: DataFrame, tiles: DataFrame) -> DataFrame:
-    """NODE of both children of each split: below it are the classes of the tiles before it, and those of its own tile below it."""
-    at = splits.select("node_id", "feature_index", "at_tile")
+def _children(splits: DataFrame, growing: DataFrame, tiles: DataFrame, nodes: int) -> DataFrame:
+    """NODE of both children of each split, of at most ``nodes``: below it are the classes of the tiles before it, and those of its own tile up to its value."""
+    at = few(splits.select("node_id", "feature_index", "at_tile", "split_value"), nodes)
     earlier = class_totals(tiles).join(at, ["node_id", "feature_index"]).filter("tile < at_tile").select("node_id", "class_id", "n")
-    inside = splits.select("node_id", F.inline(F.arrays_zip(F.col("below_class").alias("class_id"), F.col("below_n").alias("n"))))
+    own = tiles.join(at.withColumnRenamed("at_tile", "tile"), ["node_id", "feature_index", "tile"])
+    inside = counts_of(own, "split_value").filter("value <= split_value").select("node_id", "class_id", "n")
     left = earlier.unionByName(inside).groupBy("node_id", "class_id").agg(F.sum("n").alias("left"))
     every = growing.join(splits.select("node_id"), "node_id", "left_semi").select("node_id", "path", "depth", F.inline(F.arrays_zip("class_id", "n")))
     both = every.join(left, ["node_id", "class_id"], "left").withColumn("left", F.coalesce("left", F.lit(0).cast("long")))
@@ -194,7 +195,7 @@ def grow(df: DataFrame, options: Options, label: str = "label") -> Model:
         growing = frontier.filter("state = 'grow'")
         splits = keep(splits_of(tiles, options))
         finished.append(growing.join(splits.select("node_id", *SPLIT), "node_id", "left").select(*NODE, *SPLIT))
-        children = keep(_stated(_children(splits, growing, tiles), options))
+        children = keep(_stated(_children(splits, growing, tiles, split), options))
         frontier, moves = children, keep(_moves(splits, growing, children))
     return Model(keep(_union(finished)), labels, features, time.perf_counter() - began)
 

@@ -22,7 +22,8 @@ from timberline.tables import keep
 #: Values and counts of tiles that are scored at once.
 AT_ONCE = 1 << 17
 CANDIDATES = "node_id long, feature_index int, tile long, threshold double, split_value float, n_left long, n_right long, gain double, split_info double, gain_ratio double, score double"
-BELOW = "at_tile long, below_class array<int>, below_n array<long>"
+#: Of a candidate that may be chosen: what stays of the tile when the best are.
+PLACE = "at_tile long"
 BEFORE = ["before", "before_class", "n_before", "left_rest", "right_rest", "n_all", "all_rest"]
 
 
@@ -171,15 +172,13 @@ def scored(batch: pa.RecordBatch, o: Options, every: bool) -> pa.RecordBatch | N
     out = [*(column(c)[rows] for c in KEY), threshold[pick], before[pick], n_left[pick], n_right[pick], gain[pick], info[pick], gain_ratio[pick], score[pick]]
     arrays, names = [pa.array(x) for x in out], [c.split()[0] for c in CANDIDATES.split(", ")]
     if not every:
-        below = [np.unique(cls[start[r] : at[i]], return_inverse=True) for r, i in zip(rows, pick)]
-        counts = [np.bincount(inverse, weights=n[start[r] : at[i]], minlength=len(c)).astype(np.int64) for (c, inverse), r, i in zip(below, rows, pick)]
-        arrays += [arrays[2], pa.array([c.astype(np.int32) for c, _ in below], pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))]
-        names += [c.split()[0] for c in BELOW.split(", ")]
+        arrays.append(arrays[2])
+        names.append(PLACE.split()[0])
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def tile_candidates(tiles: DataFrame, options: Options, every: bool = False) -> DataFrame:
-    """CANDIDATES of all tiles; unless ``every``, those that may be chosen, with BELOW, the counts of their tile below them."""
+    """CANDIDATES of all tiles; unless ``every``, those that may be chosen, with PLACE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,4 +196,4 @@ def tile_candidates(tiles: DataFrame, options: Options, every: bool = False) ->
         return pa.concat_arrays([c])
 
     swept = tiles.drop("total_class", "total_n", "last", "last_class").join(before_tiles(tiles, options.impurity), KEY)
-    return swept.mapInArrow(run, CANDIDATES if every else f"{CANDIDATES}, {BELOW}")
+    return swept.mapInArrow(run, CANDIDATES if every else f"{CANDIDATES}, {PLACE}")
