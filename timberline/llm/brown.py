@@ -280,16 +280,17 @@ def tail_round(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> Data
                 code = (t.h1[at] * (k + 1) + t.next[at]) * 2 + held
                 many = np.bincount(where, minlength=part.num_rows)
                 place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                yield pa.RecordBatch.from_arrays([part.column(3).flatten(), pa.array(part.column(0).to_numpy()[where]), pa.array(place.astype(np.int32)), pa.array(code.astype(np.int32))], ["word", "row", "place", "code"])
+                yield pa.RecordBatch.from_arrays([part.column(3).flatten(), pa.array(part.column(0).to_numpy()[where]), pa.array(place.astype(np.int64) << 16 | code)], ["word", "row", "at"])
 
     # What one more pair adds; a word's own pairs are few beside those of a class.
     after, before = _g(pairs[:k] + 1) - _g(pairs[:k]), (_g(pairs[:, :k] + 1) - _g(pairs[:, :k])).T
     sides = pairs.sum(1)[:k], pairs.sum(0)[:k]
 
     def words(batches: Batches) -> Batches:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
-        def done(word: np.ndarray, row: np.ndarray, place: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+        def done(word: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            place, code = at >> 16, at & 0xFFFF
             start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, int)
             size = np.diff(np.append(start, len(word)))
             train, h1, nxt = code % 2 == 0, code // 2 // (k + 1), code // 2 % (k + 1)
@@ -305,7 +306,7 @@ def tail_round(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> Data
             group = np.repeat(np.arange(len(start)), size)
             first = np.zeros(len(word), dtype=bool)
             first[start[n > 0]] = True
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(best[group].astype(np.int32)), pa.array(n[group].astype(np.int32)), pa.array(first)], ["row", "place", "c", "n", "first"])
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place << 16 | best[group].astype(np.int64) << 1 | first), pa.array(n[group].astype(np.int32))], ["row", "at", "n"])
 
         for b in batches:
             cols = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
@@ -316,9 +317,10 @@ def tail_round(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> Data
         yield done(*held)
 
     def texts(batches: Batches) -> Batches:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
 
-        def done(row: np.ndarray, c: np.ndarray, n: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        def done(row: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            c, first = at >> 1 & 0xFF, (at & 1).astype(bool)
             start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
             add = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0, x.dtype)
             raw, ends = c.astype(np.uint8).tobytes(), np.append(start, len(row)).tolist()
@@ -333,9 +335,10 @@ def tail_round(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> Data
             held = [c[last:] for c in cols]
         yield done(*held)
 
-    rows = coded.select("row", "held", "ids", "others").mapInArrow(tokens, "word long, row long, place int, code int")
-    rows = rows.repartition("word").sortWithinPartitions("word").mapInArrow(words, "row long, place int, c int, n int, first boolean")
-    rows = rows.repartition("row").sortWithinPartitions("row", "place").select("row", "c", "n", "first")
+    # Places, classes and marks share a number, which both shuffles write once for each word.
+    rows = coded.select("row", "held", "ids", "others").mapInArrow(tokens, "word long, row long, at long")
+    rows = rows.repartition("word").sortWithinPartitions("word").mapInArrow(words, "row long, at long, n int")
+    rows = rows.repartition("row").sortWithinPartitions("row", "at")
     return rows.mapInArrow(texts, "row long, tails binary, known long, plus_half double, logs double, new long, once long")
 
 
