@@ -63,3 +63,17 @@ def test_candidates_hold_no_classes(spark):
     df = spark.range(3000).select(F.lit(0).cast("long").alias("node_id"), F.array((1 + F.col("id") / 524288).cast("float")).alias("features"), F.col("id").cast("int").alias("class_id"))
     found = tile_candidates(tiles_of(df), CART)
     assert found.count() and not [t for _, t in found.dtypes if t.startswith("array")]
+
+
+def test_sums_are_dealt_by_size(spark, monkeypatch):
+    """Counts are summed behind the shuffle alone, in as many tasks as the values need, and come out the same."""
+    df = crowded(spark)
+    few = counts.summed(counts.counted(df))
+    want = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(counts, "IN_ONE", 1000)
+    many = counts.summed(counts.counted(df), 8000)
+    assert many.select(F.spark_partition_id()).distinct().count() == 8 and sorted(map(tuple, many.collect())) == want
+    for values in (0, 8000):  # from the top: no aggregate stands below the shuffle by value
+        shown = plan(counts.summed(counts.counted(df), values))
+        assert shown.count("HashAggregate") == 2 and shown.rindex("HashAggregate") < shown.index("Exchange hashpartitioning(node_id")
+    assert counts.tiled(many, 8000).agg(F.sum(F.size("value"))).first()[0] == len(want)

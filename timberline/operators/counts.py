@@ -3,7 +3,9 @@
 A task counts its rows for all features at once, as arrays, so what leaves it is
 a row for each distinct combination and not one for each row and feature. The sum
 is dealt by value: a feature whose values all fall into one tile still spreads
-over all tasks. Tiles are the floats that agree in their upper 16 bits, at most
+over all tasks, which are as many as the values need (``IN_ONE``). Nothing is summed
+before the shuffle but what a task counts at once, as a table of all that a task
+counts would grow with the distinct values of its rows. Tiles are the floats that agree in their upper 16 bits, at most
 65,536, cut into pieces of ``PIECE`` entries, even within a value, so that no row and
 nothing made of it grows with the table. A piece's row has its values, classes and
 counts as arrays and, small and beside them, the totals of its classes and its last
@@ -26,6 +28,8 @@ from timberline.operators.encode import FEW, few
 
 #: Values of rows that a task counts at once.
 AT_ONCE = 500_000
+#: Values of rows whose counts one task sums, about.
+IN_ONE = 4_000_000
 #: Entries (value, class) of one row of TILES, at most.
 PIECE = 4096
 COUNTS = "node_id long, feature_index int, tile int, value float, class_id int, n long"
@@ -86,14 +90,20 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("node_id").cast("long"), "features", F.col("class_id").cast("int")).mapInArrow(run, COUNTS)
 
 
-def summed(counts: DataFrame) -> DataFrame:
-    """COUNTS of all tasks; what adds up to nothing is left out."""
+def dealt(counts: DataFrame, values: int, keys: list[str]) -> DataFrame:
+    """By keys, into more tasks than the session has for a shuffle if the counts are of more than IN_ONE ``values`` for each of them."""
+    tasks = -(-values // IN_ONE)
+    return counts.repartition(*([tasks] if tasks > int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []), *keys)
+
+
+def summed(counts: DataFrame, values: int = 0) -> DataFrame:
+    """COUNTS of all tasks; what adds up to nothing is left out. ``values``: rows times features, about."""
     keys = [c.split()[0] for c in COUNTS.split(", ")[:-1]]
-    return counts.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n <> 0")
+    return dealt(counts, values, keys).groupBy(*keys).agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
-def tiled(counts: DataFrame) -> DataFrame:
-    """TILES from summed counts: one row a piece of a tile."""
+def tiled(counts: DataFrame, values: int = 0) -> DataFrame:
+    """TILES from summed counts: one row a piece of a tile. ``values`` as above."""
 
     def packed(t: pa.Table) -> pa.RecordBatch:
         key = [t.column(c).to_numpy() for c in KEY]
@@ -134,7 +144,7 @@ def tiled(counts: DataFrame) -> DataFrame:
             yield packed(pa.Table.from_batches(held))
 
     order = [*KEY, "value", "class_id"]
-    return counts.repartition(*KEY).sortWithinPartitions(*order).mapInArrow(run, TILES)
+    return dealt(counts, values, KEY).sortWithinPartitions(*order).mapInArrow(run, TILES)
 
 
 def counts_of(tiles: DataFrame, *more: str | Column) -> DataFrame:
@@ -147,12 +157,13 @@ def class_totals(tiles: DataFrame, *more: str) -> DataFrame:
     return tiles.select(*KEY, *more, F.inline(F.arrays_zip(F.col("total_class").alias("class_id"), F.col("total_n").alias("n"))))
 
 
-def child_counts(tiles: DataFrame, split: DataFrame, rows: DataFrame, nodes: int = FEW + 1) -> DataFrame:
+def child_counts(tiles: DataFrame, split: DataFrame, rows: DataFrame, nodes: int = FEW + 1, values: int = 0) -> DataFrame:
     """Summed COUNTS of the growing children of ``split(node_id, feature_index, split_value, left_smaller, small_id, large_id)``.
 
     Of each node only the rows of its smaller child are counted; the larger one's
     counts are the node's, from its ``tiles``, less those. ``small_id`` or ``large_id``
-    is null where that child does not grow. ``nodes``: how many rows ``split`` has, at most.
+    is null where that child does not grow. ``nodes``: how many rows ``split`` has, at most;
+    ``values``: rows of the children times features.
     """
     goes_left = F.element_at("features", F.col("feature_index") + 1) <= F.col("split_value")
     smaller = rows.join(few(split, nodes), "node_id").filter(goes_left == F.col("left_smaller"))
@@ -161,4 +172,4 @@ def child_counts(tiles: DataFrame, split: DataFrame, rows: DataFrame, nodes: int
     both = F.array(F.struct(F.col("small_id").alias("node_id"), F.col("n")), F.struct(F.col("large_id").alias("node_id"), (-F.col("n")).alias("n")))
     new = new.select("feature_index", "tile", "value", "class_id", F.inline(both))
     old = counts_of(tiles.join(few(split.filter("large_id is not null").select("node_id", "large_id"), nodes), "node_id"), "large_id").withColumn("node_id", F.col("large_id"))
-    return summed(new.unionByName(old.select(*new.columns)).filter("node_id is not null"))
+    return summed(new.unionByName(old.select(*new.columns)).filter("node_id is not null"), values)

@@ -46,9 +46,9 @@ def level_splits(rows: DataFrame, k: int, options: Options) -> DataFrame:
     return best_split(best_per_feature(candidates(swept(rows, k), k, options), options), options)
 
 
-def tiles_of(rows: DataFrame) -> DataFrame:
-    """The written class counts of rows(node_id, features, class_id), a row a tile."""
-    return keep(tiled(summed(counted(rows))))
+def tiles_of(rows: DataFrame, values: int = 0) -> DataFrame:
+    """The written class counts of rows(node_id, features, class_id), a row a tile. ``values``: rows times features."""
+    return keep(tiled(summed(counted(rows), values), values))
 
 
 def splits_of(tiles: DataFrame, options: Options) -> DataFrame:
@@ -173,9 +173,11 @@ def grow(df: DataFrame, options: Options, label: str = "label") -> Model:
     waiting, waits, finished, tiles, moves = none, 0, [], None, None
     split = 0  # nodes that the level before grew
     for level in count():
-        states = dict(frontier.groupBy("state").count().collect())  # three rows at most
+        found = frontier.groupBy("state").agg(F.count("*").alias("nodes"), F.sum("rows").alias("rows")).collect()  # three rows at most
+        states = {r["state"]: r["nodes"] for r in found}
         if grows := "grow" in states:
-            tiles = tiles_of(rows) if moves is None else keep(tiled(child_counts(tiles, _smaller(moves), rows, split)))
+            values = len(features) * sum(r["rows"] for r in found if r["state"] == "grow")
+            tiles = tiles_of(rows, values) if moves is None else keep(tiled(child_counts(tiles, _smaller(moves), rows, split, values), values))
         if moves is not None and (grows or waits or "small" in states):
             rows = _routed(rows, moves, waiting, split + waits)
         if "small" in states:

@@ -193,7 +193,7 @@ def _scored(name: str, o: Options, spark: SparkSession, sf_dir: str, every: bool
     """Candidates of the whole table: all, or those that may be chosen."""
     df = DATA[name].load(spark, sf_dir)
     rows = joined(df, keep(class_mapping(df))).withColumn("node_id", F.lit(0).cast("long"))
-    return tile_candidates(tiles_of(rows), o, every)
+    return tile_candidates(tiles_of(rows, df.count() * len(DATA[name].features)), o, every)
 
 
 def _shown(df: DataFrame) -> DataFrame:
