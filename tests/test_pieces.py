@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from timberline.operators import counts
 from timberline.operators.encode import class_mapping, joined
 from timberline.operators.grow import tiles_of
-from timberline.operators.scan import tile_candidates
+from timberline.operators.scan import before_tiles, tile_candidates
 from timberline.operators.sweep import candidates, swept
-from timberline.options import C45, CART
+from timberline.options import C45, CART, Impurity
 from timberline.tables import keep
 
 
@@ -77,3 +77,23 @@ def test_sums_are_dealt_by_size(spark, monkeypatch):
         shown = plan(counts.summed(counts.counted(df), values))
         assert shown.count("HashAggregate") == 2 and shown.rindex("HashAggregate") < shown.index("Exchange hashpartitioning(node_id")
     assert counts.tiled(many, 8000).agg(F.sum(F.size("value"))).first()[0] == len(want)
+
+
+def test_sums_are_dealt_by_size_in_sessions_of_many_partitions(spark, monkeypatch):
+    """Partitions of few compressed bytes are not merged into tasks of more values than IN_ONE."""
+    monkeypatch.setattr(counts, "IN_ONE", 1000)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = crowded(spark)
+        many = counts.summed(counts.counted(df), 8000)
+        assert many.select(F.spark_partition_id()).distinct().count() == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+@pytest.mark.parametrize("kind", list(Impurity))
+def test_sums_over_tiles_are_running_sums(spark, kind):
+    """A frame that ends with the partition costs the square of a feature's tiles, in one task."""
+    shown = plan(before_tiles(tiles_of(crowded(spark)), kind))
+    assert "unboundedpreceding$(), currentrow$()" in shown and "currentrow$(), unboundedfollowing$()" not in shown

@@ -29,7 +29,7 @@ from timberline.operators.encode import FEW, few
 #: Values of rows that a task counts at once.
 AT_ONCE = 500_000
 #: Values of rows whose counts one task sums, about.
-IN_ONE = 4_000_000
+IN_ONE = 2_000_000
 #: Entries (value, class) of one row of TILES, at most.
 PIECE = 4096
 COUNTS = "node_id long, feature_index int, tile int, value float, class_id int, n long"
@@ -91,9 +91,9 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def dealt(counts: DataFrame, values: int, keys: list[str]) -> DataFrame:
-    """By keys, into more tasks than the session has for a shuffle if the counts are of more than IN_ONE ``values`` for each of them."""
+    """By keys, into a task for each IN_ONE ``values``, at least as many as run at once; without a number given, small partitions would be merged by their compressed bytes."""
     tasks = -(-values // IN_ONE)
-    return counts.repartition(*([tasks] if tasks > int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []), *keys)
+    return counts.repartition(*([max(tasks, counts.sparkSession.sparkContext.defaultParallelism)] if tasks > 1 else []), *keys)
 
 
 def summed(counts: DataFrame, values: int = 0) -> DataFrame:

@@ -75,7 +75,9 @@ def before_tiles(tiles: DataFrame, kind: Impurity) -> DataFrame:
     own = keep(totals.withColumns(terms).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in (*terms, "n")], F.first("end").alias("end"), F.collect_list(F.struct("class_id", "l", "t")).alias("own")))
     whole = Window.partitionBy(*of)
     by_tile = whole.orderBy("tile")
-    before, on = by_tile.rowsBetween(Window.unboundedPreceding, -1), by_tile.rowsBetween(0, Window.unboundedFollowing)
+    before = by_tile.rowsBetween(Window.unboundedPreceding, -1)
+    # From the last tile down: a frame that ends with the partition is summed anew for each row.
+    on = whole.orderBy(F.desc("tile")).rowsBetween(Window.unboundedPreceding, 0)
     # Of the sums over all classes, only what the tile's own classes do not give goes on.
     found = own.select(
         *KEY,
