@@ -97,3 +97,18 @@ def test_sums_over_tiles_are_running_sums(spark, kind):
     """A frame that ends with the partition costs the square of a feature's tiles, in one task."""
     shown = plan(before_tiles(tiles_of(crowded(spark)), kind))
     assert "unboundedpreceding$(), currentrow$()" in shown and "currentrow$(), unboundedfollowing$()" not in shown
+
+
+def test_counts_leave_tasks_by_part(spark, monkeypatch):
+    """A row for each part of a feature's values, here eight, and not for each value and class: the shuffle's writer holds what it is given."""
+    monkeypatch.setattr(counts, "PARTS", 1 << 4)
+    df = crowded(spark)
+    made = counts.counted(df)
+    assert made.count() <= 3 * (8 + 3) and made.agg(F.sum("n")).first()[0] == 2 * 4000
+    want = df.select("node_id", F.posexplode("features").alias("feature_index", "value"), "class_id").groupBy("node_id", "feature_index", "value", "class_id").agg(F.count("*").alias("n"))
+    got = counts.summed(made, 8000).drop("tile").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    tiles = keep(counts.tiled(counts.summed(made, 8000)))
+    again = counts.repacked(tiles, 2)
+    assert again.count() <= 8 * (8 + 3) and again.agg(F.sum("n")).first()[0] == 2 * 4000
+    assert sorted(map(tuple, counts.summed(again).drop("tile").select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

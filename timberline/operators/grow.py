@@ -177,7 +177,7 @@ def grow(df: DataFrame, options: Options, label: str = "label") -> Model:
         states = {r["state"]: r["nodes"] for r in found}
         if grows := "grow" in states:
             values = len(features) * sum(r["rows"] for r in found if r["state"] == "grow")
-            tiles = tiles_of(rows, values) if moves is None else keep(tiled(child_counts(tiles, _smaller(moves), rows, split, values), values))
+            tiles = tiles_of(rows, values) if moves is None else keep(tiled(child_counts(tiles, _smaller(moves), rows, split, values, len(features)), values))
         if moves is not None and (grows or waits or "small" in states):
             rows = _routed(rows, moves, waiting, split + waits)
         if "small" in states:
