@@ -4,7 +4,7 @@ A task counts its rows for all features at once, as arrays, so what leaves it is
 each distinct combination and not one for each row and feature. The sum
 is dealt by parts of the values, by their bits: a feature whose values all fall into one tile still spreads
 over all tasks, which are as many as the values need (``IN_ONE``). Combinations of one part leave
-as the arrays of one row, so that the shuffle holds and writes a third of what a row for each would take. Nothing is summed
+as the arrays of one row, so that the writer of the shuffle holds a third of what a row for each would take. Nothing is summed
 before the shuffle but what a task counts at once, as a table of all that a task
 counts would grow with the distinct values of its rows. Tiles are the floats that agree in their upper 16 bits, at most
 65,536, cut into pieces of ``PIECE`` entries, even within a value, so that no row and
